@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .minhash_dedup import OP2_SQL, op2_minhash_near_dedup
+from .pii import op10_pii
+from .quality_rules import op9_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_minhash_near_dedup": OP2_SQL,
 }
