@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op4_language_id
+from .licenses import op5_license_scan
 from .minhash_dedup import OP2_SQL, op2_minhash_near_dedup
+from .packing import op6_best_fit_packing
 from .pii import op10_pii
+from .quality_model import op8_quality_classifier
 from .quality_rules import op9_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
