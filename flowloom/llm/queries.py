@@ -13,6 +13,7 @@ from .packing import op6_best_fit_packing
 from .pii import op10_pii
 from .quality_model import op8_quality_classifier
 from .quality_rules import op9_quality_rules
+from .sentencepiece import op7_sentencepiece
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
