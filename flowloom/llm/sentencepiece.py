@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
+#: Letters after which a mark may end a stretch: Latin ones.
+LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
 #: Stretches and pairs whose results are kept; tables are emptied when full.
 KEPT, KEPT_LENGTH = 400_000, 48
 
@@ -65,11 +67,11 @@ class Vocabulary:
                 follows.setdefault(b, set()).add(a)
         # a blank may only be reached from a blank; marks that no letter reaches
         blank_cuts = follows.get(BLANK, set()) <= {BLANK}
-        marks = [m for m in "!\"#$%&()*,.:;?@[]|<>" if not any(a.isalnum() and not a.isdecimal() for a in follows.get(m, ()))]
+        marks = [m for m in "!\"#$%&()*,.:;?@[]|<>" if not any(re.match(LETTERS, a) for a in follows.get(m, ()))]
         if not blank_cuts:
             self.cut = ""
         elif marks:
-            self.cut = rf"{BLANK}*[^\W\d_]+(?=[{re.escape(''.join(marks))}])|{BLANK}*[^{BLANK}]+|{BLANK}+"
+            self.cut = rf"{BLANK}*{LETTERS}+(?=[{re.escape(''.join(marks))}])|{BLANK}*[^{BLANK}]+|{BLANK}+"
         else:
             self.cut = rf"{BLANK}*[^{BLANK}]+|{BLANK}+"
 
