@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import OP3_SQL, op3_embedding_near_dedup
 from .language_id import op4_language_id
 from .licenses import op5_license_scan
 from .minhash_dedup import OP2_SQL, op2_minhash_near_dedup
@@ -19,6 +20,7 @@ from .substring_dedup import OP1_SQL, op1_substring_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -31,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_minhash_near_dedup": OP2_SQL,
+    "op3_embedding_near_dedup": OP3_SQL,
 }
