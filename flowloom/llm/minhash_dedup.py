@@ -12,8 +12,8 @@ are linked if 100 * |intersection| >= percent * |union|.
    one row from here on.
 3. Classes that share a band of registers are candidates. First each class meets only the
    smallest class of its bands; then, only where a bucket still holds several components,
-   the members of different components meet: pairwise in small buckets, in blocks of at
-   most BLOCK by BLOCK in large ones, where only what passes the estimate leaves the task.
+   the members of different components meet: pairwise in small buckets, and in large ones in
+   blocks of about BLOCK by BLOCK that compare full sets and let nothing but links out.
 4. A pair's similarity is estimated by maximum likelihood from the numbers of larger, equal
    and smaller registers and the two sizes; pairs far below the limit go, and the others are
    verified on the full sets.
@@ -41,7 +41,7 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: deviations of 128 registers at 0.75.
 MARGIN = 0.24
 #: Members of a bucket that are paired by a join; beyond, in blocks of so many.
-SMALL, BLOCK = 48, 256
+SMALL, BLOCK, BLOCK_SHINGLES = 48, 512, 1 << 20
 
 
 def _shingles(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ def _band_task(bands: int, rows: int):
             for k in range(rows):
                 key = mix(key ^ r[:, :, k], k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], names=["band", "rep"]
+                [pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(batch.column(k).to_numpy(), bands)) for k in (0, 2))], names=["band", "rep", "n"]
             )
 
     return task
@@ -180,20 +180,35 @@ def _estimate_task(count: int, percent: int):
     return task
 
 
-def _block_task(count: int, percent: int):
-    """applyInArrow on a pair of blocks of one bucket: passing pairs of different components."""
+def _block_task(percent: int):
+    """applyInArrow on a pair of blocks of one bucket: links between different components.
+
+    Of a member's links into one component the smallest id is enough.
+    """
 
     def task(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, count)
+        side, rep, comp, n = (t.column(c).to_numpy() for c in ("side", "rep", "comp", "n"))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         a, b = [], []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & (rep[right] > rep[i] if side[i] == 2 else np.ones(len(right), bool))]
-            j = j[_close(np.broadcast_to(regs[i], (len(j), count)), regs[j], np.full(len(j), n[i]), n[j], percent)] if len(j) else j
-            a.append(np.full(len(j), rep[i]))
-            b.append(rep[j])
+        if len(left) and len(right):
+            _, number = np.unique(np.frombuffer(b"".join(t.column("set").to_pylist()), U64), return_inverse=True)
+            ends = np.cumsum(n)
+            # the right side's sets one after another, as numbers of shingles
+            theirs = np.concatenate([number[ends[j] - n[j] : ends[j]] for j in right])
+            starts = np.r_[0, np.cumsum(n[right])[:-1]]
+            mark = np.zeros(int(number.max()) + 1, np.int32)
+            for i in left:
+                own = number[ends[i] - n[i] : ends[i]]
+                mark[own] = 1
+                common = np.add.reduceat(mark[theirs], starts)
+                mark[own] = 0
+                link = (100 * common >= percent * (n[i] + n[right] - common)) & (comp[right] != comp[i])
+                j = right[link]
+                if len(j):
+                    j = j[np.argsort(rep[j])]
+                    _, once = np.unique(comp[j], return_index=True)
+                    a.append(np.full(len(once), rep[i]))
+                    b.append(rep[j[once]])
         z = np.empty(0, np.int64)
         a, b = (np.concatenate(x) if x else z for x in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -251,9 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     # one id may stand for several texts: its classes share a representative and are one
     slim = cls.select("rep", "n", "regs")
-    members = cls.select("rep", "regs").mapInArrow(_band_task(bands, rows), "band long, rep long")
+    members = cls.select("rep", "regs", "n").mapInArrow(_band_task(bands, rows), "band long, rep long, n long")
     shared = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size")).where("hub < last")
-    inside = scratch.save(members.join(shared, "band").select("band", "rep", "hub", "size"), "buckets")
+    inside = scratch.save(members.join(shared, "band").select("band", "rep", "n", "hub", "size"), "buckets")
 
     # sets are made once, for those classes that share a bucket with another
     need = inside.select("rep").distinct()
@@ -277,9 +292,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what can still join components: buckets that hold more than one of them
     lab = (
         inside.join(comp, inside["rep"] == comp["id"], "left")
-        .select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+        .select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     )
-    mixed = lab.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "size")
+    mixed = lab.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).where("lo < hi").select("band", "size", "total")
     left = scratch.save(lab.join(mixed, "band"), "mixed")
     few = left.where(F.col("size") <= SMALL)
     one = few.select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"))
@@ -288,15 +303,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = left.where(F.col("size") > SMALL)
     found = verified(estimated(pairs))
     if many.limit(1).count():
-        wide = many.join(slim, "rep")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        wide = wide.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-        dealt = wide.select("band", "rep", "comp", "n", "regs", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
-            "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "comp", "n", "regs",
+        # blocks are bounded in members and in shingles
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+        wide = many.join(sets, "rep").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+        dealt = wide.select("band", "rep", "comp", "n", "set", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
+            "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "comp", "n", "set",
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         )
-        close = dealt.groupBy("band", "p", "q").applyInArrow(_block_task(count, percent), "a long, b long").distinct()
-        found = found.unionByName(verified(close))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        dealt = dealt.repartition(parts, "band", "p", "q")
+        found = found.unionByName(dealt.groupBy("band", "p", "q").applyInArrow(_block_task(percent), "a long, b long").distinct())
     more = scratch.save(found, "more")
     if more.limit(1).count():
         comp = components(edges.unionByName(more), scratch)
