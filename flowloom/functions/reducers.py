@@ -62,7 +62,7 @@ def fold_last(value: Column, *order: Column | str) -> Column:
 
 
 def fold_append(value: Column, *order: Column | str) -> Column:
-    """All values in order, nulls kept."""
+    """All values in order, nulls kept; the values' type must be orderable (no map)."""
     rows = F.collect_list(F.struct(F.struct(*order).alias("o"), value.alias("v")))
     return F.transform(F.array_sort(rows), lambda x: x["v"])
 
@@ -73,10 +73,10 @@ def fold_concat(value: Column, *order: Column | str) -> Column:
 
 
 def fold_merge(value: Column, *order: Column | str) -> Column:
-    """Entries of all map values, later ones winning; for maps of bounded size.
+    """Entries of all map values in one map, later ones winning; for maps of bounded size.
 
     For a key column and a value column group by the key as well and use fold_last: no map
     is gathered then.
     """
-    kind = fold_append(value, *order)
-    return F.aggregate(F.slice(kind, 2, F.size(kind)), F.get(kind, F.lit(0)), map_union)
+    maps = F.transform(fold_append(F.map_entries(value), *order), F.map_from_entries)
+    return F.aggregate(F.slice(maps, F.lit(2), F.size(maps)), F.get(maps, F.lit(0)), map_union)

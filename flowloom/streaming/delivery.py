@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.events import DEFAULT_PHASES, subscribed
 
 
-def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Events appended to a Parquet folder, as they arrive."""
-    return spark.readStream.schema(schema).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema, files: str = "*.parquet") -> DataFrame:
+    """Events appended to a folder as Parquet files of that name pattern, as they arrive."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(path)
 
 
 def deliver(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, phases=DEFAULT_PHASES, node_events: bool = False) -> StreamingQuery:
