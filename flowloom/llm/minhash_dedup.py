@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable by links, the row's own included; kept says
     that it is the row's own. Null, empty and blank texts have an empty set and stay alone.
     A null id takes part through its text; its component_id is null if no other row is in
-    reach, and kept is true only then. Rows that occur twice carry one id and one result.
+    reach, and kept is true only then. Rows that occur twice carry one id and one result; an
+    id with different texts is one document with the links of all of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -273,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # sets are made once, for those classes that share a bucket with another
     need = inside.select("rep").distinct()
     texts = source.join(need, source["id"] == need["rep"], "left_semi").where("text is not null")
-    sets = scratch.save(texts.mapInArrow(_sets_task(shingle), "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    sets = scratch.save(texts.mapInArrow(_sets_task(shingle), "rep long, set binary").dropDuplicates(["rep", "set"]), "sets")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         one, two = (slim.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("regs").alias("r" + x)) for x in "ab")
