@@ -33,7 +33,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "telephone")
-SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
+#: In the order that spans are sorted by.
+SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def digits(value: Column) -> Column:
@@ -62,7 +63,7 @@ def located(text: Column, pattern: str, kind: int, valid: Callable[[Column], Col
                 start = acc["at"] + F.char_length(F.get(gaps, i))
                 m = F.get(found, i)
                 end = start + F.char_length(m)
-                span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
+                span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value"))
                 return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
             zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
