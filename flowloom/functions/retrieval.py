@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..errors import ProviderError
 
@@ -139,7 +140,7 @@ def retry_after(value: Column) -> Column:
     return F.trim(value).try_cast("double")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def _decode(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None or not len(b) or len(b) % 4 else np.frombuffer(b, "<f4"))
 

@@ -75,7 +75,7 @@ def merged_metadata(old: Column, new: Column) -> Column:
 
 def metadata_error(metadata: Column) -> Column:
     """The smallest key that is reserved, or null."""
-    return F.array_min(F.filter(F.map_keys(metadata), reserved_key))
+    return F.array_min(F.filter(F.map_keys(metadata), lambda k: reserved_key(k)))
 
 
 def canonical_json(fields: Mapping[str, Column]) -> Column:

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, _parse_datatype_string
 
 from ..errors import CompileError, FlowError
 from ..functions.reducers import LAST_WRITE_WINS, Reducer
 
 
+#: Other names of types.
+_SYNONYMS = {"long": "bigint", "integer": "int", "short": "smallint", "byte": "tinyint", "real": "float", "dec": "decimal", "numeric": "decimal"}
+
+
+def plain_type(ddl: str) -> str:
+    """A DDL type in one spelling, without a session: small letters, no blanks, one name each."""
+    return re.sub(r"[a-z_]+(?=$|[>,(])", lambda m: _SYNONYMS.get(m.group(), m.group()), re.sub(r"\s+", "", ddl.lower()))
+
+
 @dataclass(frozen=True)
 class Field:
     """type: a DDL type; default: a Python value or Column; several reducers are a conflict."""
@@ -29,11 +38,8 @@ class Field:
             return ()
         return self.reducer if isinstance(self.reducer, tuple) else (self.reducer,)
 
-    def data_type(self) -> DataType:
-        return _parse_datatype_string(self.type)
-
     def is_list(self) -> bool:
-        return isinstance(self.data_type(), ArrayType)
+        return plain_type(self.type).startswith("array<")
 
     def initial(self) -> Column:
         d = self.default
@@ -89,4 +95,4 @@ class StateSchema:
 
 def invalid_fields(df_types: Mapping[str, str], schema: StateSchema) -> list[str]:
     """Names, sorted, whose column type can't be the field's; for checks before a run."""
-    return sorted(n for n, t in df_types.items() if n in schema.fields and _parse_datatype_string(t) != schema.fields[n].data_type())
+    return sorted(n for n, t in df_types.items() if n in schema.fields and plain_type(t) != plain_type(schema.fields[n].type))
