@@ -13,9 +13,14 @@ from .reducers import map_union
 DURATION_BOUNDS = tuple(0.01 * 2**k for k in range(14))
 TOKEN_BOUNDS = tuple(4**k for k in range(14))
 PAYLOAD_CAP, LEAST_CAP = 65536, 256
-#: Metadata keys with these beginnings, or of these names, belong to the engine.
+#: Metadata keys with these beginnings, or (fixed values) of these names, belong to the engine.
 RESERVED_PREFIXES = ("flowloom.", "gen_ai.")
-RESERVED_KEYS = ("correlation_id", "invocation_id", "entry_node", "namespace", "step", "attempt_index", "fan_out_index", "finish_reason", "prompt")
+RESERVED_KEYS = (
+    "correlation_id", "entry_node", "spec_version", "detached_child_trace_ids", "namespace", "step", "attempt_index", "fan_out_index", "subgraph_name",
+    "fan_out_item_count", "fan_out_concurrency", "fan_out_error_policy", "fan_out_parent_node_name", "prompt_group_name", "request_extras", "finish_reason",
+    "system", "response_model", "response_id", "prompt", "invocation_id", "branch_name", "detached", "detached_from_invocation_id", "implementation_name",
+    "implementation_version", "parallel_branches_branch_count", "parallel_branches_error_policy", "parallel_branches_parent_node_name",
+)
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 

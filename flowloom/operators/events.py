@@ -99,3 +99,21 @@ def augmented(spans_: DataFrame, additions: DataFrame, invocation: str = "invoca
     last = path.groupBy(invocation, namespace, "key").agg(F.max_by("value", "seq").alias("value"))
     maps = last.groupBy(invocation, namespace).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
     return spans_.join(maps, [invocation, namespace], "left")
+
+
+def markers(events: DataFrame, at: str = "ts", kind: str = "kind", latency_ms: str = "latency_ms") -> DataFrame:
+    """Spans of single events: degraded results and checkpoints have no length, a tool call
+    began its latency before it was reported."""
+    long = F.coalesce(F.when(F.col(kind) == "tool", F.col(latency_ms)), F.lit(0))
+    return events.where(F.col(kind).isin("failure_isolated", "checkpoint", "tool")).withColumns({"start": F.col(at) - F.make_dt_interval(secs=long / 1000), "end": F.col(at)})
+
+
+def children(observations: DataFrame, parent: str = "parent", name: str = "id") -> DataFrame:
+    """How many children each observation of a trace has; leaves have 0."""
+    n = observations.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias(name)).agg(F.count("*").alias("n_children"))
+    return observations.join(n, name, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+
+
+def usage(events: DataFrame, *dims: str, counts: Sequence[str] = ("prompt_tokens", "completion_tokens")) -> DataFrame:
+    """Accumulated usage by dimensions; what isn't reported doesn't count as 0."""
+    return events.groupBy(*dims).agg(F.count("*").alias("n_calls"), *(F.sum(c).alias(c) for c in counts), *(F.count(c).alias(f"n_{c}") for c in counts))

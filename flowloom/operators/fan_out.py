@@ -37,3 +37,21 @@ def mapped(rows: DataFrame, key: str, items: str, child: Callable[[DataFrame], D
     got = gathered(child(inst), key, outputs, failed=failed)
     out = rows.join(got, key, "left")
     return out.withColumns({**{p: F.coalesce(F.col(p), F.array()) for p in outputs}, "n_instances": F.coalesce("n_instances", F.lit(0)), "n_failed": F.coalesce("n_failed", F.lit(0))})
+
+
+def resumed(rows: DataFrame, key: str, items: str, saved: DataFrame, child: Callable[[DataFrame], DataFrame], outputs: Mapping[str, str]) -> DataFrame:
+    """A fan-out that was broken off: completed instances roll forward, the others run.
+
+    saved: key, fan_out_index and the child's output columns, a row for each completed
+    instance. Only instances without a saved row go through child. A saved index beyond the
+    items means that the number of instances has changed: `changed` marks such rows.
+    """
+    inst = exploded(rows.select(key, items), items)
+    at = [key, "fan_out_index"]
+    fresh = child(inst.join(saved.select(*at), at, "left_anti"))
+    both = fresh.select(*at, *outputs.values()).unionByName(saved.select(*at, *outputs.values()))
+    got = gathered(both, key, outputs)
+    out = rows.join(got, key, "left")
+    return out.withColumns(
+        {**{p: F.coalesce(F.col(p), F.array()) for p in outputs}, "changed": F.coalesce(F.col("n_instances"), F.lit(0)) != F.size(F.coalesce(F.col(items), F.array()))}
+    )

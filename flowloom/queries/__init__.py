@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import events, graphs, retrieval, text  # noqa: F401  they register themselves
+from . import calls, events, graphs, retrieval, text  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

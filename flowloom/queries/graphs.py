@@ -447,11 +447,11 @@ def cause_chain_category(spark, d):
     return table(spark, d, "events", "event_id", "event_type").select("event_id", T.cause_category(chain).alias("category"), T.cause_message(chain).alias("message"))
 
 
-@query("SELECT event_id, CAST(date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS BIGINT) AS duration_us FROM events")
+@query("SELECT event_id, CAST(date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS VARCHAR) AS duration_us FROM events")
 def timing_records(spark, d):
     e = timings(table(spark, d, "events", "event_id", "user_id", "ts"), "user_id", "ts", "event_id")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return e.select("event_id", (us("next_at") - us("ts")).alias("duration_us"))
+    return e.select("event_id", (us("next_at") - us("ts")).cast("string").alias("duration_us"))
 
 
 # ------------------------------------------------------------------ checkpoints

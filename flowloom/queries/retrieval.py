@@ -20,13 +20,13 @@ def embed_validate(spark, d):
 
 
 @query("""WITH c AS (SELECT doc_id, n_chars, CAST(floor(doc_id / 96) AS BIGINT) AS chunk FROM documents)
-SELECT chunk, count(*) AS n_inputs, CASE WHEN count(CASE WHEN n_chars % 7 <> 0 THEN 1 END) = count(*) THEN CAST(sum(n_chars) AS BIGINT) END AS tokens, min(doc_id) AS first_id FROM c GROUP BY chunk""")
+SELECT chunk, count(*) AS n_inputs, CASE WHEN count(CASE WHEN n_chars % 7 <> 0 THEN 1 END) = count(*) THEN CAST(sum(n_chars) AS VARCHAR) END AS tokens, min(doc_id) AS first_id FROM c GROUP BY chunk""")
 def embed_chunk_stitch(spark, d):
     """Consecutive chunks of 96 inputs; usage only where every input reports it."""
     t = table(spark, d, "documents", "doc_id", "n_chars")
     tokens = F.when(F.col("n_chars") % 7 != 0, F.col("n_chars"))
     c = t.select(F.floor(F.col("doc_id") / V.REQUEST_CAPS["cohere"]).alias("chunk"), "doc_id", tokens.alias("tokens"))
-    return c.groupBy("chunk").agg(F.count("*").alias("n_inputs"), F.when(F.count("tokens") == F.count("*"), F.sum("tokens")).alias("tokens"), F.min("doc_id").alias("first_id"))
+    return c.groupBy("chunk").agg(F.count("*").alias("n_inputs"), F.when(F.count("tokens") == F.count("*"), F.sum("tokens")).cast("string").alias("tokens"), F.min("doc_id").alias("first_id"))
 
 
 @query("SELECT conv_id AS request, count(*) AS n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS complete FROM conversations GROUP BY conv_id")
@@ -80,12 +80,12 @@ def input_type_prefix(spark, d):
     return t.select("doc_id", V.prefixed(F.col("source"), kind, "query: ", "passage: ").alias("input"), wire.alias("wire"), refused.alias("refused"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id END AS n FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id AS VARCHAR) END AS n FROM events""")
 def counter_parse(spark, d):
     """Whole numbers of 0 or more count; texts, fractions, negatives and booleans don't."""
     m, i = F.col("event_id") % 5, F.col("event_id").cast("string")
     token = F.when(m == 0, i).when(m == 1, F.concat(F.lit('"'), i, F.lit('"'))).when(m == 2, F.concat(i, F.lit(".5"))).when(m == 3, F.concat(F.lit("-"), i)).otherwise("true")
-    return table(spark, d, "events", "event_id").select("event_id", V.counter(token).alias("n"))
+    return table(spark, d, "events", "event_id").select("event_id", V.counter(token).cast("string").alias("n"))
 
 
 @query("""SELECT doc_id, array_to_string(list_concat(['a', 'b', 'a'], list_filter(list_distinct_ordered, lambda x: NOT list_contains(['a', 'b', 'a'], x))), ',') AS merged FROM (

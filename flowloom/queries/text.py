@@ -55,7 +55,7 @@ def prompt_label_resolution(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN doc_id % 5 = 0 THEN 'not_found' WHEN doc_id % 7 = 0 THEN 'ok' ELSE 'prompt_store_unavailable' END AS status,
-CAST(CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 7 = 0 THEN 2 END AS BIGINT) AS backend_ord FROM documents""")
+CAST(CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 7 = 0 THEN 2 END AS VARCHAR) AS backend_ord FROM documents""")
 def prompt_backend_fallback(spark, d):
     """Three sources in order: found, or not found, decides; unavailable goes on."""
     t = table(spark, d, "documents", "doc_id")
@@ -63,7 +63,7 @@ def prompt_backend_fallback(spark, d):
         F.when(F.col("doc_id") % 3 == 0, "ok").otherwise("unavailable"), F.when(F.col("doc_id") % 5 == 0, "not_found").otherwise("unavailable"), F.when(F.col("doc_id") % 7 == 0, "ok").otherwise("unavailable")
     )
     c = t.select("doc_id", F.posexplode(status).alias("backend_ord", "status"))
-    return P.fetched(c.withColumn("backend_ord", F.col("backend_ord").cast("long")), "doc_id")
+    return P.fetched(c, "doc_id").withColumn("backend_ord", F.col("backend_ord").cast("string"))
 
 
 @query("SELECT doc_id, 'Document ' || CAST(doc_id AS VARCHAR) || ' in ' || lang || ' from ' || source || '; {{ missing }}' AS text, 'missing' AS undefined FROM documents")
