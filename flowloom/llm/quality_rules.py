@@ -104,14 +104,14 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars < 3.0 * n_words or word_chars > 12.0 * n_words"),
     Rule("symbols", "n_symbols > 0.2 * n_words"),
-    Rule("repeats", "n_repeat_words > 0.35 * n_words"),
+    Rule("repeats", "n_repeat_words > 0.45 * n_words"),
     Rule("lines", "n_dup_lines >= 5"),
     Rule("capitals", "n_upper > 0.5 * n_letters"),
     Rule("letters", "n_letters < 0.7 * word_chars"),
     Rule(
         "prose",
         "n_words < 20",
-        "n_words >= 60 and n_letters >= 0.9 * word_chars and n_upper <= 0.2 * n_letters and n_symbols <= 0.05 * n_words and n_repeat_words <= 0.2 * n_words",
+        "n_words >= 20 and n_letters >= 0.7 * word_chars and n_upper <= 0.35 * n_letters and n_symbols <= 0.1 * n_words and n_repeat_words <= 0.45 * n_words",
     ),
 )
 

@@ -140,7 +140,8 @@ def sketch(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_cel
         cells *= 2
     bits = cells.bit_length() - 1
     spark = texts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # each partition is fetched by a job of its own; it holds cells / 32 bytes at most
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 64)
     merged = (
         texts.mapInArrow(_sketch_task(bits, window, anchor), "row int, block long, once binary, more binary")
         .repartition(parts, "row", "block")

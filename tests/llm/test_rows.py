@@ -117,7 +117,7 @@ def plain_spans(text):
 def pii_rows():
     r = random.Random(3)
     parts = ["a@b.co", "x.y+z@mail-1.example.com", "@", "a@b", "1.2.3.4", "10.20.30.256", "0001.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+49", "é", "日", "--", "5500005555555559", "12", ".", "_", " ", "+12 345 678 901"]
-    rows = [None, "", "a@b.c_d@e.f", "a@b.c.@d.e", "1.2.3.4.5.6.7.8", "+1+12345678901", "4111111111111111 4111111111111111", "9" * 60_000, "x." * 30_000 + "@", "1 " * 20_000, "a" * 100_000, "1.1.1.1" + ".1" * 5000, "a@b" + ".c" * 20_000]
+    rows = [None, "", "a@b.c_d@e.f", "a@b.c.@d.e", "1.2.3.4.5.6.7.8", "+1+12345678901", "4111111111111111 4111111111111111", "9" * 20_000, "x." * 5_000 + "@", "1 " * 20_000, "a" * 8_000, "1.1.1.1" + ".1" * 5000, "a@b" + ".c" * 20_000]
     return rows + ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(300)] + ["a@b.co"]
 
 
