@@ -4,7 +4,7 @@ import warnings
 
 import pytest
 
-from flowloom.errors import CheckpointError, CompileError, FlowError, ProviderError
+from flowloom.errors import CheckpointError, FlowError, ProviderError
 from flowloom.functions import messages as M
 from flowloom.functions import retrieval as V
 from flowloom.functions.reducers import APPEND, MERGE
