@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, chunks, mix, rolling, small_batches, text_buffers
+from .common import U64, Words, chunks, mix, rolling, small_batches, text_buffers
 
 WINDOW = 35
 ANCHOR = 20

@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from flowloom.llm.common import Scratch, components
 from flowloom.llm.embedding_dedup import similar_vectors
