@@ -33,8 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Letters after which a mark may end a stretch: Latin ones.
 LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
-#: Stretches and pairs whose results are kept; tables are emptied when full.
-KEPT, KEPT_LENGTH = 400_000, 48
+#: Stretches (in two generations) and pairs whose results are kept; the tables are bounded.
+KEPT, KEPT_LENGTH = 300_000, 48
 
 
 @dataclass
@@ -50,17 +50,18 @@ class Vocabulary:
     dummy_prefix: bool = True
     longest: int = 0
     floor: float = 0.0
-    starts: frozenset = frozenset()
+    kinds: dict = field(default_factory=dict)
     cut: str = ""
     _stretch: dict = field(default_factory=dict, repr=False)
+    _older: dict = field(default_factory=dict, repr=False)
     _pair: dict = field(default_factory=dict, repr=False)
-    _alone: dict = field(default_factory=dict, repr=False)
     _raw: list = field(default_factory=list, repr=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min(self.scores.values(), default=0.0) - 10.0  # of a character without a piece
-        self.starts = frozenset(p[:k] for p in self.ids for k in range(1, len(p) + 1))
+        # a text is a piece that merging can make (True), the beginning of one (False), or neither
+        self.kinds = {p[:k]: False for p in self.ids for k in range(1, len(p) + 1)} | {p: True for p in self.ids if not self.bpe or self.merged(p) == [p]}
         follows: dict[str, set[str]] = {}
         for p in self.ids:
             for a, b in zip(p, p[1:]):  # noqa: B905
@@ -76,11 +77,11 @@ class Vocabulary:
             self.cut = rf"{BLANK}*[^{BLANK}]+|{BLANK}+"
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_stretch", "_pair", "_alone", "_raw")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_stretch", "_older", "_pair", "_raw")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._stretch, self._pair, self._alone, self._raw = {}, {}, {}, []
+        self._stretch, self._older, self._pair, self._raw = {}, {}, {}, []
 
     # ------------------------------------------------------------ BPE pairs
 
@@ -106,17 +107,11 @@ class Vocabulary:
             got = self._pair[a, b] = self.merged(a + b) == [a, b]
         return got
 
-    def alone(self, a: str) -> bool:
-        got = self._alone.get(a)
-        if got is None:
-            got = self._alone[a] = self.merged(a) == [a]
-        return got
-
     # ------------------------------------------------------------ search
 
     def search(self, text: str) -> Iterator[str]:
         """The pieces of a text, committed as soon as all open paths agree on them."""
-        n, longest, scores, starts = len(text), self.longest, self.scores, self.starts
+        n, longest, scores, kinds = len(text), self.longest, self.scores, self.kinds
         bpe, floor = self.bpe, self.floor
         # by place: (sum, start of the last edge); places before `done` are dropped
         best: dict[int, tuple[float, int]] = {0: (0.0, -1)}
@@ -128,23 +123,21 @@ class Vocabulary:
             before = text[here[1] : j] if here[1] >= 0 else None
             for k in range(j + 1, min(n, j + longest) + 1):
                 p = text[j:k]
-                score = scores.get(p)
-                if score is None:
-                    if k == j + 1:
-                        score = floor
-                    elif p not in starts:
+                kind = kinds.get(p)
+                if not kind and k > j + 1:
+                    if kind is None:
                         break
-                    else:
-                        continue
+                    continue
+                score = scores[p] if kind else floor
                 if bpe:
-                    if k not in best and self.alone(p) and (before is None or self.follows(before, p)):
+                    if k not in best and (before is None or self.follows(before, p)):
                         best[k] = (0.0, j)
                 else:
                     total = here[0] + score
                     old = best.get(k)
                     if old is None or total > old[0]:
                         best[k] = (total, j)
-                if k == j + 1 and p not in starts:
+                if kind is None:
                     break
             if j - done >= check:
                 meet = self._meeting(best, j + 1, done, longest)
@@ -158,6 +151,31 @@ class Vocabulary:
                     check *= 2
         yield from self._path(best, text, done, n)
 
+    def short(self, text: str) -> list[str]:
+        """The same for a BPE model and a text that is a window by itself."""
+        n, longest, kinds, pairs, follows = len(text), self.longest, self.kinds, self._pair, self.follows
+        back = [-1] * (n + 1)  # start of the one edge that survives at each place
+        for j in range(n):
+            if j:
+                if back[j] < 0:
+                    continue
+                before = text[back[j] : j]
+            end, k, p = min(n, j + longest), j + 1, text[j]
+            while True:
+                kind = kinds.get(p)
+                if (kind or k == j + 1) and back[k] < 0:
+                    if not j:
+                        back[k] = 0
+                    else:
+                        ok = pairs.get((before, p))
+                        if ok or (ok is None and follows(before, p)):
+                            back[k] = j
+                if kind is None or k == end:
+                    break
+                k += 1
+                p = text[j:k]
+        return self._path({k: (0.0, b) for k, b in enumerate(back)}, text, 0, n)
+
     @staticmethod
     def _meeting(best, j: int, done: int, longest: int) -> int:
         """The last place that the paths back from all open places share."""
@@ -190,7 +208,8 @@ class Vocabulary:
         return [self.unknown]
 
     def _stretch_ids(self, text: str) -> bytes:
-        return array("i", [i for p in self.search(text) for i in self._ids_of(p)]).tobytes()
+        pieces = self.short(text) if self.bpe and len(text) <= KEPT_LENGTH else self.search(text)
+        return array("i", [i for p in pieces for i in self._ids_of(p)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers, one after another."""
@@ -201,14 +220,17 @@ class Vocabulary:
             text = BLANK + text
         if not self.cut:
             return self._stretch_ids(text)
-        kept, out = self._stretch, []
+        kept, old, out = self._stretch, self._older, []
         for s in re.findall(self.cut, text):
             got = kept.get(s)
             if got is None:
-                got = self._stretch_ids(s)
+                got = old.get(s)
+                if got is None:
+                    got = self._stretch_ids(s)
                 if len(s) <= KEPT_LENGTH:
-                    if len(kept) >= KEPT:
-                        kept.clear()
+                    if len(kept) >= KEPT:  # what isn't used again goes with the older table
+                        old = self._older = kept
+                        kept = self._stretch = {}
                     kept[s] = got
             out.append(got)
         return b"".join(out)
