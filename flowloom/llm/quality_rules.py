@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, let, words_of
+from .common import BLANK_CHARS, Scratch, let, words_of
 
 KEEP_AT = 0.5
 #: Symbols that count against a text.
@@ -72,10 +72,11 @@ def duplicate_lines(text: Column) -> Column:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' rows as struct `row`, with the measures of its text column (null: empty)."""
+def measures(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """docs' columns (or those to carry) as struct `row`, with the measures of its text column
+    (null: empty)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("_t")).select(
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), text.alias("_t")).select(
         "row",
         F.struct(
             F.size(words_of(F.col("_t"))).cast("long").alias("n_words"),
@@ -184,13 +185,14 @@ def label_model(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelMo
     return fit(sorted(((tuple(r["v"]), r["count"]) for r in counted), key=repr), len(rules))
 
 
-def judged(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`row` (docs' columns), the base measures, base_failed, quality (posterior) and kept.
+def judged(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT, rules: tuple[Rule, ...] = RULES, carry: list[str] | None = None) -> DataFrame:
+    """`row` (docs' columns, or those to carry), the base measures, base_failed, quality (posterior) and kept.
 
     Null and empty texts have no words and fail the base rule. Equal texts get equal
-    verdicts. An empty table gives no rows.
+    verdicts. An empty table gives no rows. Measures are written to the shared folder once,
+    as they cost far more than a table: the rates and the verdicts both read them there.
     """
-    measured = measures(docs, text_col)
+    measured = Scratch(docs.sparkSession, "quality").save(measures(docs, text_col, carry), "measures")
     model = label_model(measured, rules)
     m = F.col("m")
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
@@ -210,4 +212,4 @@ def good_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFr
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Per document: doc_id, the base measures, base_failed, kept and the posterior."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judged(docs).select("row.doc_id", *MEASURES, "base_failed", "kept", "quality")
+    return judged(docs, carry=["doc_id"]).select("row.doc_id", *MEASURES, "base_failed", "kept", "quality")
