@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import Scratch, words_of
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -78,6 +78,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     cluster = F.when(F.col(text_col).isNotNull(), F.xxhash64(F.lower(F.col(text_col).cast("string")))) if cluster is None else cluster
     source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
     items = docs.select(F.col(id_col).cast("long").alias("id"), length.cast("long").alias("n"), source.alias("source"), cluster.alias("cluster"))
+    # a few numbers a document: the texts are read once for the count and the pieces
+    items = Scratch(docs.sparkSession, "packing").save(items, "lengths")
     total = items.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_rows))
     pieces = (
