@@ -2,7 +2,7 @@
 
 The index holds, for each notice below, the places of its `RARE` rarest words by document
 frequency over the whole corpus (only words of the notices are counted: about a hundred
-rows). A text's highest-IDF licence words are looked up; their postings are intersected by
+rows). All of them that a text holds are looked up; their postings are intersected by
 relative position (place in the text less place in the notice), so that words in the right
 distances add up on one shift. Where the weight on a shift reaches `AGREE` of the notice's,
 its mandatory key phrases are verified on the whole text.
@@ -22,7 +22,7 @@ from .common import let
 #: Separators: what isn't a digit, an ASCII letter or a character beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RARE, LOOKED_UP, AGREE = 5, 16, 0.7
+RARE, AGREE = 5, 0.7
 
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -97,12 +97,10 @@ def _base_places(words: Column) -> Column:
     return F.filter(F.transform(words, phrase), lambda x: x["k"].isNotNull())
 
 
-def _aligned(words: Column, postings: list[tuple[str, int, int, float]], totals: list[float], weights: dict[str, float]) -> Column:
+def _aligned(words: Column, postings: list[tuple[str, int, int, float]], totals: list[float]) -> Column:
     """Per notice: the largest share of its weight on one shift, 0 to 1."""
     table = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(x).alias("x")) for w, k, i, x in postings))
-    rank = sorted({p[0] for p in postings}, key=lambda w: (-weights[w], w))
-    ranked = F.array(*(F.lit(w) for w in rank))
-    top = F.slice(F.array_intersect(ranked, words), 1, LOOKED_UP)  # in the order of the first: rarest first
+    held = F.array_intersect(F.array(*(F.lit(w) for w in sorted({p[0] for p in postings}))), words)
 
     def shifts(hits: Column) -> Column:
         return F.sort_array(
@@ -129,11 +127,11 @@ def _aligned(words: Column, postings: list[tuple[str, int, int, float]], totals:
 
         return F.array(*(of(k) for k in range(len(NOTICES))))
 
-    def on_top(t: Column) -> Column:
+    def on_held(t: Column) -> Column:
         hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda h: F.array_contains(t, h["w"]))
         return let(shifts(hits), best)
 
-    return let(top, on_top)
+    return let(held, on_held)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -173,7 +171,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(more, lambda m: m["score"])), F.lit(0.0))).alias("score"),
                 )
 
-            return let(let(_aligned(words, postings, totals, weights), accepted), both)
+            return let(let(_aligned(words, postings, totals), accepted), both)
 
         return let(_base_places(words), result)
 

@@ -44,6 +44,14 @@ def test_licence_scan_matches_plain_version(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_licence_scan_finds_every_notice_of_one_text(spark):
+    rows = [f"intro {words} end" for _, words, _ in licenses.NOTICES] + [". ".join(words for _, words, _ in licenses.NOTICES)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(df).select("row.doc_id", "labels").collect()}
+    assert all(label in got[i] for i, (label, _, _) in enumerate(licenses.NOTICES))
+    assert got[len(rows) - 1] >= {label for label, _, _ in licenses.NOTICES}
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     r = random.Random(2)
     for _ in range(20):
