@@ -5,8 +5,10 @@
    written to the shared folder.
 2. Every class queries every shard, in bounded groups of queries. A beam starts narrow; a
    query whose beam is full of links searches again with a wider one, and each group audits
-   itself: for some of its queries all the shard's vectors are compared, and while the
-   search has found fewer than RECALL of those links, the beam widens for the whole group.
+   itself: query after query is compared with all the shard's vectors until TRUE_LINKS links
+   to other vectors are known, and while the search has found fewer than RECALL of them, the
+   beam widens for the whole group. A group that has fewer links, or whose widest beam still
+   misses some, is compared exactly.
 3. Pairs are verified by cosine in double precision on the vectors as given; components are
    the union of the links.
 
@@ -28,7 +30,8 @@ from .hnsw import Graph
 
 COSINE = 0.95
 SHARDS, MAX_SHARD, QUERIES = 8, 1 << 18, 1 << 16
-BEAM, AUDITED, RECALL = 32, 64, 0.99
+BEAM, AUDITED, TRUE_LINKS, RECALL = 32, 64, 256, 0.99
+NEAR = 1e-4  # single precision finds pairs so far below the limit, double precision decides
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -53,7 +56,7 @@ def _links_of(graph: Graph, queries: np.ndarray, cosine: float, beam: int) -> tu
     """(query, point) pairs near the limit that the search finds; full beams widen."""
     n = len(graph.vectors)
     at, who, point = np.arange(len(queries)), [], []
-    near = cosine - 1e-4
+    near = cosine - NEAR
     while len(at):
         beam = min(beam, n)
         ids, sims = graph.search(queries[at], beam)
@@ -65,18 +68,45 @@ def _links_of(graph: Graph, queries: np.ndarray, cosine: float, beam: int) -> tu
     return (np.concatenate(who), np.concatenate(point)) if who else (np.empty(0, int), np.empty(0, int))
 
 
-def found_links(graph: Graph, queries: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Links of unit queries, audited: the beam widens until a sample's recall is RECALL."""
-    n, m = len(graph.vectors), len(queries)
-    sample = np.unique(np.linspace(0, m - 1, min(AUDITED, m)).astype(int)) if m else np.empty(0, int)
-    truth = graph.vectors @ queries[sample].T >= cosine if m else np.zeros((n, 0), bool)
+def _compared(graph: Graph, queries: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, similarity) of all pairs from `near` up, by comparing each with each in blocks."""
+    step = max(1, 8_000_000 // max(len(graph.vectors), 1))
+    who, point, sim = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, np.float32)]
+    for i in range(0, len(queries), step):
+        s = queries[i : i + step] @ graph.vectors.T
+        q, p = np.nonzero(s >= near)
+        who.append(q + i)
+        point.append(p)
+        sim.append(s[q, p])
+    return np.concatenate(who), np.concatenate(point), np.concatenate(sim)
+
+
+def found_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray, names: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Links of unit queries, audited: the beam widens until the recall of known links is RECALL.
+
+    `own` names the queries, `names` the points; a query's own points aren't links.
+    """
+    n, m, near = len(graph.vectors), len(queries), cosine - NEAR
+    order = np.random.default_rng(m).permutation(m)
+    who, point, known, audited = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)], 0
+    while audited < m and sum(map(len, known)) < TRUE_LINKS:
+        some = order[audited : audited + AUDITED]
+        q, p, s = _compared(graph, queries[some], near)
+        q = some[q]
+        other = own[q] != names[p]
+        who.append(q[other])
+        point.append(p[other])
+        known.append((q * n + p)[other & (s >= cosine)])
+        audited += len(some)
+    if audited == m:
+        return np.concatenate(who), np.concatenate(point)
+    truth = np.concatenate(known)
     while True:
         q, p = _links_of(graph, queries, cosine, beam)
-        place = np.searchsorted(sample, q)
-        inside = (place < len(sample)) & (sample[np.minimum(place, max(len(sample) - 1, 0))] == q) if len(sample) else np.zeros(len(q), bool)
-        hits = int(truth[p[inside], place[inside]].sum())
-        if hits >= RECALL * truth.sum() or beam >= n:
+        if np.isin(truth, q * n + p).sum() >= RECALL * len(truth):
             return q, p
+        if beam >= n:
+            return _compared(graph, queries, near)[:2]
         beam *= 2
 
 
@@ -89,7 +119,7 @@ def _query(cosine: float):
         order = np.argsort(right.column("rep").to_numpy())
         own, own_rows = (right.column(c).to_numpy()[order] for c in ("rep", "rows"))
         x = _matrix(right.column("vector"), right.num_rows)[order]
-        q, p = found_links(Graph(_unit(v), base, layers), _unit(x), cosine)
+        q, p = found_links(Graph(_unit(v), base, layers), _unit(x), cosine, own, reps)
         keep = own[q] != reps[p]
         q, p = q[keep], p[keep]
         ok = np.zeros(len(q), bool)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from flowloom.llm.common import Scratch, components
-from flowloom.llm.embedding_dedup import similar_vectors
+from flowloom.llm.embedding_dedup import found_links, similar_vectors
 from flowloom.llm.hnsw import Graph
 from flowloom.llm.minhash_dedup import estimate, near_duplicates, registers
 from flowloom.llm.substring_dedup import cleaned, remove_repeats
@@ -199,6 +199,23 @@ def test_similar_vectors_match_brute_force(spark):
     assert similar_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("cut", ["one point", "all"])
+def test_links_that_the_graph_misses_are_found(cut):
+    """Rare links, and links of points that can't be reached."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(600, 24)).astype(np.float32)
+    near = np.arange(1, 600, 2) if cut == "all" else np.array([301])
+    v[near] = v[near - 1] + r.normal(size=(len(near), 24)).astype(np.float32) * 0.02
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    g = Graph.build(v)
+    lost = np.isin(g.base, near)
+    g = Graph(v, np.where(lost, -1, g.base), [])
+    ids = np.arange(600)
+    q, p = found_links(g, v, 0.95, ids, ids)
+    want = {(a, b) for k in near.tolist() for a, b in ((k - 1, k), (k, k - 1))}
+    assert {(a, b) for a, b in zip(q.tolist(), p.tolist(), strict=True) if a != b} == want
+
+
 def test_graph_recall():
     r = np.random.default_rng(3)
     v = r.normal(size=(1500, 24)).astype(np.float32)
