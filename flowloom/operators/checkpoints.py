@@ -90,12 +90,15 @@ def fan_out_progress(instances: DataFrame, *keys: str) -> DataFrame:
 def migrated(records: DataFrame, migrations: Migrations, current: str, fields: Mapping[str, str], version: str = "schema_version") -> DataFrame:
     """Records with their state columns brought to the current version.
 
-    The versions in the table are few; each one's chain is found on the driver, and a CASE on
-    the version applies it, so all versions go through one scan without a shuffle. `fields`
-    has the current schema's column types. A version without a chain raises.
+    Each version's chain is found on the driver, and a CASE on the version applies it, so all
+    versions go through one scan without a shuffle. `fields` has the current schema's column
+    types. A version without a chain raises; of those that no step starts from, one is enough.
     """
-    have = [r[0] for r in records.select(version).distinct().limit(1000).collect()]
-    out = {n: (F.col(n) if n in records.columns else F.lit(None)).cast(t) for n, t in fields.items()}
+    named = F.coalesce(F.col(version).cast("string"), F.lit("")).isin(current, *migrations.sources())
+    found = records.select(F.col(version).alias("v"), named.alias("named")).groupBy("named", F.when(F.col("named"), F.col("v"))).agg(F.min("v")).collect()
+    have = [r[-1] for r in found]
+    kept = {n: (F.col(n) if n in records.columns else F.lit(None)).cast(t) for n, t in fields.items()}
+    cases: dict[str, Column] = {}
     for v in have:
         state = {c: F.col(c) for c in records.columns}
         for step in migrations.chain(v or "", current):
@@ -105,6 +108,7 @@ def migrated(records: DataFrame, migrations: Migrations, current: str, fields: M
                 raise CheckpointError("checkpoint_state_migration_failed", f"{step.source!r} to {step.target!r}: {e}") from e
         for n, t in fields.items():
             if n in state:
-                out[n] = F.when(F.col(version).eqNullSafe(v), state[n].cast(t)).otherwise(out[n])
+                cases[n] = cases.get(n, F).when(F.col(version).eqNullSafe(v), state[n].cast(t))
+    out = {n: cases[n].otherwise(c) if n in cases else c for n, c in kept.items()}
     rest = [F.col(c) for c in records.columns if c not in fields and c != version]
     return records.select(*rest, *(c.alias(n) for n, c in out.items()), F.lit(current).alias(version))

@@ -52,8 +52,18 @@ def with_parents(spans_: DataFrame, invocation: str = "invocation_id", namespace
     return spans_.join(best.withColumnRenamed("_own", namespace), [invocation, namespace], "left")
 
 
-def detached(spans_: DataFrame, roots: Sequence[str], invocation: str = "invocation_id", namespace: str = "namespace") -> DataFrame:
-    """A trace for each span: below a detached node its own trace, else the invocation's."""
+def detached(spans_: DataFrame, roots: Sequence[str] | DataFrame, invocation: str = "invocation_id", namespace: str = "namespace") -> DataFrame:
+    """A trace for each span: below a detached node its own trace, else the invocation's.
+
+    Detached nodes are few names, or a table with any number of them in its first column.
+    """
+    if isinstance(roots, DataFrame):
+        names = roots.select(F.col(roots.columns[0]).alias("_name")).distinct()
+        each = spans_.select(invocation, namespace).distinct().select(F.col(invocation).alias("_i"), F.col(namespace).alias("_n"), F.posexplode(namespace).alias("_at", "_name"))
+        deepest = each.join(names, "_name").groupBy("_i", "_n").agg((F.max("_at") + 1).alias("_depth"))
+        own = F.concat_ws("/", F.col(invocation), F.slice(namespace, F.lit(1), F.col("_depth")))
+        out = spans_.join(deepest, F.col(invocation).eqNullSafe(F.col("_i")) & F.col(namespace).eqNullSafe(F.col("_n")), "left")
+        return out.withColumn("trace", F.when(F.col("_depth").isNotNull(), own).otherwise(F.col(invocation))).drop("_i", "_n", "_depth")
     cut = F.filter(F.transform(F.col(namespace), lambda x, i: F.struct(x.alias("name"), (i + 1).alias("depth"))), lambda x: x["name"].isin(*roots))
     deepest = F.array_max(F.transform(cut, lambda x: x["depth"]))
     own = F.concat_ws("/", F.col(invocation), F.slice(namespace, F.lit(1), deepest))

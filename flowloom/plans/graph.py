@@ -223,6 +223,9 @@ class Migrations:
             trial.add(s)
         self._steps = trial._steps
 
+    def sources(self) -> list[str]:
+        return list(dict.fromkeys(a for a, _ in self._steps))
+
     def chain(self, source: str, target: str) -> list[Migration]:
         """The shortest chain; none, or several of that length, are errors."""
         if source == target:

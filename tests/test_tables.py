@@ -14,6 +14,7 @@ from flowloom.operators import checkpoints as C
 from flowloom.operators import events as E
 from flowloom.operators.ranking import nearest, result_error
 from flowloom.plans.graph import Migration, Migrations
+from flowloom.queries import QUERIES
 from flowloom.sources.prompts import sidecars, templates
 from flowloom.streaming.delivery import deliver, event_stream, windowed_counts
 
@@ -43,6 +44,22 @@ def test_migration_of_mixed_versions(spark):
         C.migrated(df, broken, "2", {"n": "int"})
 
 
+def test_migration_of_many_versions(spark):
+    df = spark.range(1200).selectExpr("id", "cast(id as string) as schema_version", "0 as n")
+    steps = Migrations([Migration(str(i), "now", lambda s: {"n": s["n"] + 1}) for i in range(1200)])
+    assert {r["n"] for r in C.migrated(df, steps, "now", {"n": "int"}).collect()} == {1}
+    with pytest.raises(CheckpointError, match="missing"):
+        C.migrated(df.union(spark.createDataFrame([(1200, "other", 0)], df.schema)), steps, "now", {"n": "int"})
+
+
+def test_spans_below_many_detached_nodes(spark, tmp_path):
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.range(150).selectExpr("id as n_nationkey", "concat('N1-', id) as n_name", "0 as n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(150).selectExpr("id as s_suppkey", "id as s_nationkey", "concat('S', id) as s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["span"]: r["trace"] for r in QUERIES["span_detached"](spark, str(tmp_path)).collect()}
+    assert got == {f"R/N1-{i}/S{i}": f"run/R/N1-{i}" for i in range(150)}
+
+
 def test_phases(spark):
     df = spark.createDataFrame([("node", "started"), ("node", "checkpoint_saved"), ("llm", None)], "kind string, phase string")
     assert E.subscribed(df).count() == 2 and E.subscribed(df, ("checkpoint_saved",)).count() == 2
