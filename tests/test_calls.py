@@ -1,11 +1,15 @@
 """Single completion calls with retries, and fan-outs that are taken up again."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowloom.errors import ProviderError
 from flowloom.operators import fan_out
 from flowloom.operators.completion import CallRetry, call, from_wire, wire_message
+from flowloom.queries import QUERIES
 
 
 def flaky(failures, seen):
@@ -51,6 +55,16 @@ def test_wire_messages(spark):
     assert [tuple(r[0]) for r in df.select(from_wire(wire)).collect()] == [("user", 'é "q"', None), ("assistant", "", None), ("tool", "r", "t1")]
 
 
+def test_messages_with_slashes_make_the_round_trip(spark, tmp_path):
+    texts = ["plain", "see https://a.b/c", "</p>", 'a "quoted" \\ / text', None]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: (r["content"], r["wire_sha"]) for r in QUERIES["message_wire_round_trip"](spark, str(tmp_path)).collect()}
+    wire = {i: json.dumps({"content": t, "role": "user"}, separators=(",", ":")) for i, t in enumerate(texts) if t is not None}
+    assert {i: got[i] for i in wire} == {i: (texts[i], hashlib.sha256(w.encode()).hexdigest()) for i, w in wire.items()}
+    assert set(got) == set(range(len(texts))) and got[4][0] == ""
+
+
 def test_resumed_fan_out(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, ["d"])], "id int, items array<string>")
     saved = spark.createDataFrame([(1, 1, "saved"), (3, 0, None), (3, 4, "beyond")], "id int, fan_out_index int, out string")
