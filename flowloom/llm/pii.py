@@ -311,25 +311,22 @@ def train(rounds: int = 25, shrink: float = 0.4, precision: float = 0.97, seed:
 
 
 def method_spans(text: Column, base: Column, model: Trees | None = None) -> Column:
-    """Accepted candidates that don't overlap a base span, the longest of overlapping ones."""
+    """Accepted candidates that reach beyond the base spans, the longest of overlapping ones first."""
     model = model or train()
     proposed = F.concat(*(located(text, pattern, kind) for kind, pattern in GENERATORS))
 
     def accepted(s: Column) -> Column:
         limit = functools.reduce(lambda e, k: e.when(s["kind"] == k, F.lit(model.thresholds[k])), CUES, F.when(F.lit(False), F.lit(1.0)))
-        clear = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return clear & (let(features(s, text), model.score) >= limit)
+        covered = F.aggregate(F.sort_array(base), s["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+        return (covered < s["end"]) & (let(features(s, text), model.score) >= limit)
 
     def longest(kept: Column) -> Column:
-        def beaten(s: Column) -> Column:
-            return F.exists(
-                kept,
-                lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])
-                & ((o["end"] - o["start"] > s["end"] - s["start"])
-                   | ((o["end"] - o["start"] == s["end"] - s["start"]) & ((o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["kind"] < s["kind"]))))),
-            )
-
-        return F.array_distinct(F.filter(kept, lambda s: ~beaten(s)))
+        def step(chosen: Column, s: Column) -> Column:
+            met = F.exists(chosen, lambda o: (o["start"] < s["span"]["end"]) & (s["span"]["start"] < o["end"]))
+            return F.when(met, chosen).otherwise(F.concat(chosen, F.array(s["span"])))
+
+        ranked = F.array_sort(F.transform(kept, lambda s: F.struct((s["start"] - s["end"]).alias("size"), s.alias("span"))))
+        return F.aggregate(ranked, F.array().cast(SPAN), step)
 
     return let(proposed, lambda p: F.when(F.size(p) == 0, F.array().cast(SPAN)).otherwise(let(F.filter(p, accepted), longest)))
 

@@ -147,6 +147,24 @@ def test_method_adds_secrets_and_leaves_prose(spark):
     assert [kinds[i] for i in range(7)] == [["secret"], ["secret"], ["ssn"], ["telephone"], [], [], []]
 
 
+def test_candidates_beyond_base_spans_stay(spark):
+    def luhn(bban):
+        return plain_luhn(re.sub(r"\D", "", bban))
+
+    # IBANs whose run of digits passes as a card
+    ibans = []
+    for i in range(3000):
+        digits = f"{60161331926800 + i}"
+        number = int("".join(str(int(c, 36)) for c in "NWBK" + digits + "GB00"))
+        iban = f"GB{98 - number % 97:02d} NWBK {digits[:4]} {digits[4:8]} {digits[8:12]} {digits[12:]}"
+        if luhn(iban[10:]):
+            ibans.append(iban)
+    assert len(ibans) > 20
+    df = spark.createDataFrame([(i, f"pay to IBAN {x} today", 1) for i, x in enumerate(ibans[:20])], "doc_id long, text string, n_chars long")
+    assert all(r["base"] for r in pii.personal_data(df).select("base").collect())
+    assert not any("NWBK" in r["text"] for r in pii.redacted(df).collect())
+
+
 def test_tree_expression_equals_the_trees(spark):
     model, data = pii.train(), pii.training_candidates(99, 20)
     right = sum((model.probability(x) >= model.thresholds[int(x[0])]) == bool(y) for x, y in data)
