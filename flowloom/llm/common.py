@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words: ASCII blanks only, so that other Unicode spaces stay in words.
@@ -35,9 +35,12 @@ _ODD2 = 0xD1B54A32D192ED03
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which all machines share.
 
-    Only where that is unset, as in local tests, a folder below /tmp is used.
+    Only where that is unset and the session is a local one, as in tests, a folder below
+    /tmp is used; on a cluster each machine would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return (base or "file:/tmp/checkpoints").rstrip("/") + "/flowloom"
 
 
@@ -60,16 +63,18 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
         atexit.register(self._end)
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", **counts: Column) -> DataFrame:
+        """df, written and read again; `counts` (name: condition) are how many of its rows
+        meet each condition, gathered while writing and found in the result's `counted`."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        seen = Observation() if counts else None
+        (df.observe(seen, *(F.count_if(c).alias(k) for k, c in counts.items())) if counts else df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
+        out.counted = seen.get if counts else {}
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
@@ -208,44 +213,99 @@ def small_batches(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.Record
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+#: Edges that a task gathers before it contracts them (16 MB).
+GATHERED = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every point of the edges that isn't the smallest of its component, and that smallest."""
+    points, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(points))
+    while len(x):
+        x, y = root[x], root[y]
+        open_ = x != y
+        x, y = x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # a root is hung on a smaller one
+        while (root[root] != root).any():
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(len(points)))
+    return points[own], points[root[own]]
+
+
+def _forest_task(keyed: bool):
+    """mapInArrow over edges (a, b): the partition's forest. Memory follows its points.
+
+    `keyed` says that all edges of a point in `a` are in this partition; the column
+    `foreign` then marks points that were only seen in `b` and have been hung up here.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = np.empty(0, np.int64)
+        a, b, keys, new, size = z, z, z, [], 0
+
+        def contracted():
+            x, y = (np.concatenate([old, *(t[k] for t in new)]) for k, old in ((0, a), (1, b)))
+            return *forest(x, y), np.union1d(keys, np.concatenate([z, *(t[0] for t in new)])) if keyed else z
+
+        for batch in batches:
+            new.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= GATHERED:
+                a, b, keys = contracted()
+                new, size = [], 0
+        a, b, keys = contracted()
+        cols, names = [pa.array(a), pa.array(b)], ["a", "b"]
+        if keyed:
+            cols.append(pa.array(~np.isin(a, keys)))
+            names.append("foreign")
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return task
+
+
+def contracted(task: Callable) -> Callable:
+    """A mapInArrow task that yields edges (a, b: long), followed by their contraction."""
+    return lambda batches: _forest_task(False)(task(batches))
+
+
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60, roots: bool = True) -> DataFrame:
     """Connected components of `edges` (a, b: long): rows (id, component), the smallest id.
 
-    Alternates large-star and small-star steps (each point's neighbours are hung on its
-    smallest neighbour) until nothing changes; the rounds grow with the logarithm of the
-    longest chain. Minima are partial aggregates and hot points only occur in joins, which
-    adaptive execution splits. Every round's table is written to the shared folder.
+    Edges should come from tasks that have contracted theirs (`contracted`), so that a point
+    with any number of neighbours leaves a task once. They are dealt by the larger id to as
+    many tasks as their number asks for and contracted to forests; that is repeated until no
+    task has hung up a point that belongs to another one: each point then has one parent. At
+    last parents are replaced by theirs until all are roots. A hot root occurs only in joins,
+    which adaptive execution splits. Every round is written to the shared folder. Loops and
+    null ends are ignored; no edges give no rows. Without `roots` the smallest ids
+    themselves have no row.
     """
-    cur = scratch.save(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "edges",
-    )
-    before = None
+    cur = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    cur = scratch.save(cur, "edges", rows=F.lit(True))
     for _ in range(max_rounds):
-        # large star: every neighbour v > u of u is hung on u's smallest neighbour
-        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = (
-            cur.join(low, cur["b"] == low["u"])  # cur has a > b: a is a larger neighbour of b
-            .select("a", F.col("m").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        large = scratch.save(large, "large")
-        # small star: the neighbours <= u of u, and u, are hung on the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        hung = large.join(low, large["a"] == low["u"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        nxt = hung.where("a <> b").unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        nxt = scratch.save(nxt, "round")
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        scratch.drop(cur, large)
+        tasks = max(1, -(-cur.counted["rows"] // GATHERED))
+        dealt = cur.select("a", "b").repartition(tasks, "a").coalesce(tasks)
+        nxt = scratch.save(dealt.mapInArrow(_forest_task(True), "a long, b long, foreign boolean"), "forest", foreign=F.col("foreign"), rows=F.lit(True))
+        scratch.drop(cur)
+        cur = nxt
+        if tasks == 1 or not cur.counted["foreign"]:
+            break
+    else:
+        raise RuntimeError("components: no forest within the rounds given")
+    rest = max_rounds if tasks > 1 else 0  # a single task has hung every point on its root
+    for _ in range(rest):
+        up = cur.select(F.col("a").alias("p"), F.col("b").alias("q"))
+        nxt = cur.join(up, cur["b"] == up["p"], "left").select("a", F.coalesce("q", "b").alias("b"), F.col("q").isNotNull().alias("moved"))
+        nxt = scratch.save(nxt, "jump", moved=F.col("moved"))
+        scratch.drop(cur)
         cur = nxt
-        if mark == before:
+        if not cur.counted["moved"]:
             break
-        before = mark
     else:
-        raise RuntimeError("components: no fixed point within the rounds given")
-    roots = cur.groupBy("b").agg(F.lit(1).alias("one")).select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return scratch.save(cur.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots), "components")
+        if rest:
+            raise RuntimeError("components: chains are longer than the rounds given")
+    out = cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if roots:
+        out = out.unionByName(cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return out

@@ -10,13 +10,14 @@ are linked if 100 * |intersection| >= percent * |union|.
    Jaccard similarity says.
 2. Equal sets (128-bit digest and size) become one class, so that thousands of copies are
    one row from here on.
-3. Classes that share a band of registers are candidates. First each class meets only the
-   smallest class of its bands; then, only where a bucket still holds several components,
-   the members of different components meet: pairwise in small buckets, and in large ones in
-   blocks of about BLOCK by BLOCK that compare full sets and let nothing but links out.
-4. A pair's similarity is estimated by maximum likelihood from the numbers of larger, equal
-   and smaller registers and the two sizes; pairs far below the limit go, and the others are
-   verified on the full sets.
+3. Classes that share a band of registers are candidates: all pairs of buckets of up to
+   ALL_PAIRS members; of wider ones each member and the smallest. Then, only where a wide
+   bucket still holds several components, the members of different components meet: pairwise
+   in small buckets, and in large ones in blocks of about BLOCK by BLOCK that compare full
+   sets and let nothing but links between components out.
+4. A pair's registers and sets come together once: its similarity is estimated by maximum
+   likelihood from the numbers of larger, equal and smaller registers and the two sizes;
+   pairs far below the limit go, and the others are verified on the full sets.
 
 Within one component no further pair can change the result, so none is made: the work stays
 near-linear in large groups, and every link between different components is looked for.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, chunks, components, mix, rolling, text_buffers
+from .common import U64, Scratch, Words, chunks, components, contracted, mix, rolling, text_buffers
 
 SHINGLE, PERCENT = 5, 75
 BANDS, BAND_ROWS = 32, 4
@@ -40,7 +41,9 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Candidates whose estimate is this far below the limit aren't verified: over six standard
 #: deviations of 128 registers at 0.75.
 MARGIN = 0.24
-#: Members of a bucket that are paired by a join; beyond, in blocks of so many.
+#: Members of a bucket that are all paired at once; classes whose bands a task sorts at a time.
+ALL_PAIRS, CHUNK_CLASSES = 4, 1 << 15
+#: Members of a mixed bucket that are paired by a join; beyond, in blocks of so many.
 SMALL, BLOCK, BLOCK_SHINGLES = 48, 512, 1 << 20
 
 
@@ -95,11 +98,10 @@ def _signature_task(shingle: int, count: int):
             for i, j in chunks(offsets, 1 << 19):
                 value, first = _shingles(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True), shingle)
                 regs = registers(value, first, count)
-                sums = [np.r_[U64(0), np.cumsum(mix(value, s))] for s in (11, 12)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i), pa.array(np.diff(first)),
-                        *(pa.array((c[first[1:]] - c[first[:-1]]).view(np.int64)) for c in sums),
+                        *(pa.array(_digest(value, first, seed)) for seed in (11, 12)),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
                     names=["id", "n", "s1", "s2", "regs"],
@@ -108,22 +110,93 @@ def _signature_task(shingle: int, count: int):
     return task
 
 
-def _band_task(bands: int, rows: int):
+def band_keys(regs: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit key for each band of each row of registers."""
+    r = regs.reshape(len(regs), bands, -1).astype(U64)
+    key = np.zeros(r.shape[:2], U64) + mix(np.arange(bands, dtype=U64), 77)[None, :]
+    for k in range(r.shape[2]):
+        key = mix(key ^ r[:, :, k], k)
+    return key
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted array: where each run of equal values starts, and the runs' lengths."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return start, np.diff(np.r_[start, len(key)])
+
+
+def _band_task(bands: int):
+    """mapInArrow over classes (rep, regs): rows (at, rep, hub, hidden, band).
+
+    With hub null: rep is in bucket `band` and goes to it. Of more than ALL_PAIRS members
+    that a task has in one bucket only the smallest goes there; the others (`hidden` says
+    how many) are paired with it and dealt by their own id, so no bucket is hot.
+    """
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            r = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, bands, rows).astype(U64)
-            key = np.zeros(r.shape[:2], U64) + mix(np.arange(bands, dtype=U64), 77)[None, :]
-            for k in range(rows):
-                key = mix(key ^ r[:, :, k], k)
+        for batch in (b.slice(i, CHUNK_CLASSES) for b in batches for i in range(0, b.num_rows, CHUNK_CLASSES)):
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+            key = band_keys(regs, bands).ravel().view(np.int64)
+            rep = np.repeat(batch.column(0).to_numpy(), bands)
+            order = np.lexsort((rep, key))
+            key, rep = key[order], rep[order]
+            start, length = _runs(key)
+            first = np.repeat(start, length)
+            wide = np.repeat(length > ALL_PAIRS, length)
+            away = wide & (np.arange(len(key)) != first)
+            hidden = np.where(wide & ~away, np.repeat(length, length) - 1, 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(batch.column(k).to_numpy(), bands)) for k in (0, 2))], names=["band", "rep", "n"]
+                [pa.array(np.where(away, rep, key)), pa.array(rep), pa.array(rep[first], mask=~away), pa.array(hidden), pa.array(key)], names=["at", "rep", "hub", "hidden", "band"]
             )
 
     return task
 
 
+def _pair_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over the rows above, sorted by at and rep: candidates (a, b, band).
+
+    A bucket of up to ALL_PAIRS members gives all its pairs (band null), a larger one pairs
+    each member with its smallest.
+    """
+    held = None
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        alone = t.column("hub").is_null().combine_chunks().to_numpy(zero_copy_only=False)
+        rep, band, hidden = (t.column(c).to_numpy()[alone] for c in ("rep", "band", "hidden"))
+        order = np.lexsort((rep, band))
+        rep, band, hidden = rep[order], band[order], hidden[order]
+        start, length = _runs(band)
+        first = np.repeat(start, length)
+        total = length + (np.add.reduceat(hidden, start) if len(start) else 0)
+        wide = np.repeat(total > ALL_PAIRS, length)
+        star = np.flatnonzero(wide & (np.arange(len(rep)) != first))
+        a, b, by, narrow = [rep[first[star]]], [rep[star]], [band[star]], [np.zeros(len(star), bool)]
+        for d in range(1, ALL_PAIRS):
+            i = np.flatnonzero(~wide[:-d] & (band[d:] == band[:-d])) if len(rep) > d else np.empty(0, np.int64)
+            a, b, by, narrow = [*a, rep[i]], [*b, rep[i + d]], [*by, band[i]], [*narrow, np.ones(len(i), bool)]
+        paired = t.filter(pa.array(~alone))
+        for out, c in ((a, "hub"), (b, "rep"), (by, "band")):
+            out.append(paired.column(c).to_numpy())
+        narrow = np.concatenate([*narrow, np.zeros(int((~alone).sum()), bool)])
+        a, b, by = (np.concatenate(x) for x in (a, b, by))
+        ok = a != b
+        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(by[ok], mask=narrow[ok])], names=["a", "b", "band"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        at = t.column("at").to_numpy()
+        cut = int(np.searchsorted(at, at[-1]))  # the last bucket may go on in the next batch
+        if cut:
+            yield pairs(t.slice(0, cut))
+        held = t.slice(cut).combine_chunks()
+    if held is not None:
+        yield pairs(held)
+
+
 def estimate(larger: np.ndarray, smaller: np.ndarray, count: int, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity from joint register counts and known sizes.
 
@@ -166,31 +239,43 @@ def _close(ra, rb, na, nb, percent: int) -> np.ndarray:
     return out
 
 
-def _estimate_task(count: int, percent: int):
-    """mapInArrow over (a, b, na, nb, ra, rb): the pairs worth verifying."""
+def _link_task(percent: int):
+    """mapInArrow over (ca, cb, na, nb, ra, rb, sa, sb): (ca, cb) of the pairs that are links.
+
+    The similarity estimated from the registers decides which are compared on full sets.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, count) for k in (4, 5))
-            ok = pa.array(_close(ra, rb, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (4, 5))
+            link = _close(ra, rb, na, nb, percent)
+            for i in np.flatnonzero(link):
+                both = np.concatenate([np.frombuffer(batch.column(k)[i].as_buffer(), U64) for k in (6, 7)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                link[i] = 100 * common >= percent * (int(na[i]) + int(nb[i]) - common)
+            keep = pa.array(link)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return task
 
 
-def _block_task(percent: int):
-    """applyInArrow on a pair of blocks of one bucket: links between different components.
+def _block_task(percent: int, bands: int):
+    """applyInArrow on a pair of blocks of one bucket: (a, b), linked components.
 
-    Of a member's links into one component the smallest id is enough.
+    A pair that shares several buckets is compared in the one of its first shared band.
     """
 
     def task(t: pa.Table) -> pa.Table:
-        side, rep, comp, n = (t.column(c).to_numpy() for c in ("side", "rep", "comp", "n"))
+        side, comp, n = (t.column(c).to_numpy() for c in ("side", "comp", "n"))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         a, b = [], []
         if len(left) and len(right):
+            band = t.column("band")[0].as_py()
+            keys = band_keys(np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(n), -1), bands).view(np.int64)
             _, number = np.unique(np.frombuffer(b"".join(t.column("set").to_pylist()), U64), return_inverse=True)
             ends = np.cumsum(n)
             # the right side's sets one after another, as numbers of shingles
@@ -198,54 +283,46 @@ def _block_task(percent: int):
             starts = np.r_[0, np.cumsum(n[right])[:-1]]
             mark = np.zeros(int(number.max()) + 1, np.int32)
             for i in left:
+                here = comp[right] != comp[i]
+                if here.any():
+                    here &= keys[i][np.argmax(keys[right] == keys[i], axis=1)] == band
+                if not here.any():
+                    continue
                 own = number[ends[i] - n[i] : ends[i]]
                 mark[own] = 1
                 common = np.add.reduceat(mark[theirs], starts)
                 mark[own] = 0
-                link = (100 * common >= percent * (n[i] + n[right] - common)) & (comp[right] != comp[i])
-                j = right[link]
-                if len(j):
-                    j = j[np.argsort(rep[j])]
-                    _, once = np.unique(comp[j], return_index=True)
-                    a.append(np.full(len(once), rep[i]))
-                    b.append(rep[j[once]])
+                met = np.unique(comp[right[here & (100 * common >= percent * (n[i] + n[right] - common))]])
+                a.append(np.full(len(met), comp[i]))
+                b.append(met)
         z = np.empty(0, np.int64)
         a, b = (np.concatenate(x) if x else z for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": a, "b": b})
 
     return task
 
 
 def _sets_task(shingle: int):
+    """mapInArrow over (rep, n, s1, regs, text): (rep, n, regs, set); texts that aren't of the
+    class named beside them (an id with several texts) go."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(4))
             for i, j in chunks(offsets, 1 << 19):
                 value, first = _shingles(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True), shingle)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([value[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)], pa.binary())],
-                    names=["rep", "set"],
-                )
+                part = batch.slice(i, j - i)
+                own = pa.array((_digest(value, first, 11) == part.column(2).to_numpy()) & (np.diff(first) == part.column(1).to_numpy()))
+                sets = pa.array([value[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([c.filter(own) for c in (part.column(0), part.column(1), part.column(3), sets)], names=["rep", "n", "regs", "set"])
 
     return task
 
 
-def _verify_task(percent: int):
-    """mapInArrow over (a, b, set_a, set_b): the pairs that are links on their full sets."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(s.as_buffer(), U64) for s in (x, y))
-                both = np.concatenate((p, q))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(p) + len(q) - common))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return task
+def _digest(value: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of each set, whatever its order."""
+    c = np.r_[U64(0), np.cumsum(mix(value, seed))]
+    return (c[first[1:]] - c[first[:-1]]).view(np.int64)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -253,83 +330,135 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable by links, the row's own included; kept says
     that it is the row's own. Null, empty and blank texts have an empty set and stay alone.
-    A null id takes part through its text; its component_id is null if no other row is in
-    reach, and kept is true only then. Rows that occur twice carry one id and one result; an
-    id with different texts is one document with the links of all of them.
+    Texts of any length are one set. A row without id takes part through its text; its
+    component_id is null if no id is in reach, and kept is true only then. Rows that occur
+    twice carry one id and one result; an id with different texts is one document with the
+    links of all of them. An empty table gives no rows; other columns aren't read.
     """
+    return _near(docs, id_col, text_col, shingle, percent, bands, rows)[0]
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[DataFrame, bool]:
+    """The above, and whether all texts with words have ids of their own."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    count = bands * rows
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = scratch.save(source.mapInArrow(_signature_task(shingle, count), "id long, n long, s1 long, s2 long, regs binary"), "signatures")
-    cls = scratch.save(
-        sig.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("regs").alias("regs")), "classes"
-    )
-    # one id may stand for several texts: its classes share a representative and are one
-    slim = cls.select("rep", "n", "regs")
-    members = cls.select("rep", "regs", "n").mapInArrow(_band_task(bands, rows), "band long, rep long, n long")
-    shared = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size")).where("hub < last")
-    inside = scratch.save(members.join(shared, "band").select("band", "rep", "n", "hub", "size"), "buckets")
+    sig = scratch.save(source.mapInArrow(_signature_task(shingle, bands * rows), "id long, n long, s1 long, s2 long, regs binary"), "signatures")
+    # a class without any id is named by its digest
+    cls = sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("low"), F.first("regs").alias("regs")).withColumn("rep", F.coalesce("low", "s1"))
+    cls = scratch.save(cls, "classes", nameless=F.col("low").isNull())
+    nameless = cls.counted["nameless"]
+
+    members = cls.select("rep", "regs").mapInArrow(_band_task(bands), "at long, rep long, hub long, hidden long, band long")
+    stars = members.repartition("at").sortWithinPartitions("at", "rep").mapInArrow(_pair_task, "a long, b long, band long")
+    stars = scratch.save(stars, "candidates")
+    pairs = stars.select("a", "b").repartition("b").dropDuplicates(["a", "b"])
+    pairs = scratch.save(pairs, "pairs")
 
     # sets are made once, for those classes that share a bucket with another
-    need = inside.select("rep").distinct()
-    texts = source.join(need, source["id"] == need["rep"], "left_semi").where("text is not null")
-    sets = scratch.save(texts.mapInArrow(_sets_task(shingle), "rep long, set binary").dropDuplicates(["rep", "set"]), "sets")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        one, two = (slim.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("regs").alias("r" + x)) for x in "ab")
-        near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb")
-        return near.mapInArrow(_estimate_task(count, percent), "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("rep").alias(x), F.col("set").alias("s" + x)) for x in "ab")
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-        return both.mapInArrow(_verify_task(percent), "a long, b long")
-
-    first = inside.where("rep > hub").groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b"))
-    edges = scratch.save(verified(estimated(first)), "links")
-    comp = components(edges, scratch)
-
-    # what can still join components: buckets that hold more than one of them
-    lab = (
-        inside.join(comp, inside["rep"] == comp["id"], "left")
-        .select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    )
-    mixed = lab.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).where("lo < hi").select("band", "size", "total")
-    left = scratch.save(lab.join(mixed, "band"), "mixed")
-    few = left.where(F.col("size") <= SMALL)
-    one = few.select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    two = few.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    pairs = one.join(two, "band").where("a < b and ca <> cb").select("a", "b").distinct()
-    many = left.where(F.col("size") > SMALL)
-    found = verified(estimated(pairs))
-    if many.limit(1).count():
-        # blocks are bounded in members and in shingles
-        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-        wide = many.join(sets, "rep").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-        dealt = wide.select("band", "rep", "comp", "n", "set", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
-            "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "comp", "n", "set",
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        dealt = dealt.repartition(parts, "band", "p", "q")
-        found = found.unionByName(dealt.groupBy("band", "p", "q").applyInArrow(_block_task(percent), "a long, b long").distinct())
-    more = scratch.save(found, "more")
-    if more.limit(1).count():
-        comp = components(edges.unionByName(more), scratch)
-    scratch.drop(inside, sets, left)
-
-    whole = cls.join(comp, cls["rep"] == comp["id"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("comp"))
-    whole = scratch.save(whole, "whole")
-    out = sig.select("id", "n", "s1", "s2").join(whole, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = cls.join(need, "rep").select("rep", "n", "s1", "regs", "low")
+    texts = wanted.where("low is not null").join(source.where("id is not null and text is not null"), F.col("rep") == F.col("id"))
+    texts = texts.select("rep", "n", "s1", "regs", "text").dropDuplicates()
+    if nameless:
+        digests = source.where("id is null and text is not null").select("text").distinct()
+        named = digests.mapInArrow(_named_task(shingle), "s1 long, n long, text string").join(wanted.where("low is null"), ["s1", "n"])
+        texts = texts.unionByName(named.select("rep", "n", "s1", "regs", "text").dropDuplicates(["rep", "n"]))
+    sets = scratch.save(texts.mapInArrow(_sets_task(shingle), "rep long, n long, regs binary, set binary"), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        one, two = (sets.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("regs").alias("r" + x), F.col("set").alias("s" + x)) for x in "ab")
+        both = pairs.join(two, "b").join(one, "a").select("ca", "cb", "na", "nb", "ra", "rb", "sa", "sb")
+        return both.mapInArrow(contracted(_link_task(percent)), "a long, b long")
+
+    links = linked(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    # ids that stand in several classes join them
+    several = sig.where("n > 0").groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count("*").alias("rows")).where("rows > 1 or id is null")
+    several = scratch.save(several.select("id", "lo", "hi"), "several", rows=F.lit(True), apart=F.expr("id is not null and lo < hi"))
+    plain = not several.counted["rows"]
+    if several.counted["apart"]:
+        several = several.where("id is not null and lo < hi").select("id")
+        places = sig.where("n > 0").select("id", "n", "s1", "s2").join(several, "id").join(cls.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
+        links = links.unionByName(places.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    comp = components(links, scratch, roots=False)
+
+    # what can still join components: wide buckets that hold more than one of them
+    def place(x: str) -> DataFrame:
+        return comp.select(F.col("id").alias(x), F.col("component").alias("c" + x))
+
+    seen = stars.where("band is not null").join(place("a"), "a", "left").join(place("b"), "b", "left")
+    seen = seen.select("band", "a", F.coalesce("ca", "a").alias("ca"), "b", F.coalesce("cb", "b").alias("cb"))
+    seen = scratch.save(seen, "wide", apart=F.col("ca") != F.col("cb"))
+    if seen.counted["apart"]:
+        mixed = seen.where("ca <> cb").select("band").distinct()
+        both = F.array(F.struct(F.col("a").alias("rep"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("rep"), F.col("cb").alias("comp")))
+        inside = seen.join(mixed, "band", "left_semi").select("band", F.explode(both).alias("m")).select("band", "m.rep", "m.comp").distinct()
+        sized = inside.join(cls.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n")), "rep")
+        sized = scratch.save(sized, "mixed")
+        sizes = sized.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+        left = scratch.save(sized.join(sizes, "band"), "sized", many=F.col("size") > SMALL)
+        few = left.where(F.col("size") <= SMALL)
+        one, two = (few.select("band", F.col("rep").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
+        found = linked(one.join(two, "band").where("a < b and ca <> cb").select("a", "b", "ca", "cb").repartition("b").dropDuplicates(["a", "b"]))
+        if left.counted["many"]:
+            # blocks are bounded in members and in shingles
+            blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+            wide = left.where(F.col("size") > SMALL).drop("n").join(sets, "rep").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+            dealt = wide.select("band", "comp", "n", "regs", "set", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
+                "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "comp", "n", "regs", "set",
+                F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+            )
+            found = found.unionByName(dealt.groupBy("band", "p", "q").applyInArrow(_block_task(percent, bands), "a long, b long"))
+        joined = components(found, scratch, roots=False).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        comp = comp.join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+        # a component's smallest class has no row so far
+        comp = scratch.save(comp.unionByName(joined.select(F.col("component").alias("id"), F.col("joined").alias("component"))), "joined")
+        scratch.drop(sized, left)
+    scratch.drop(seen, sets, stars)
+
+    whole = cls.join(comp, cls["rep"] == comp["id"], "left").select("n", "s1", "s2", "low", F.coalesce("component", "rep").alias("comp"))
+    if nameless:  # a digest may be smaller than the smallest id
+        whole = scratch.save(whole, "whole")
+        real = whole.groupBy("comp").agg(F.min("low").alias("real"))
+        whole = whole.join(real, "comp").drop("comp").withColumnRenamed("real", "comp")
+    out = sig.select("id", "n", "s1", "s2").join(whole.drop("low"), ["n", "s1", "s2"], "left")
+    component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
+    out = out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return out, plain
+
+
+def _named_task(shingle: int):
+    """mapInArrow over (text): (s1, n, text)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for i, j in chunks(offsets, 1 << 19):
+                value, first = _shingles(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(_digest(value, first, 11)), pa.array(np.diff(first)), batch.column(0).slice(i, j - i)], names=["s1", "n", "text"])
+
+    return task
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that a document of a smaller id stands for."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs' rows without those that another document stands for, with docs' columns.
+
+    One row of each group of near duplicates stays: that of the smallest id, of rows without
+    or with equal ids any one. Texts without words (null, empty, blank) are in no group and
+    stay. An empty table gives no rows.
+    """
+    found, plain = _near(docs, id_col, text_col, **options)
+    if plain:
+        gone = found.where("not kept").select(F.col("id").alias("_gone"))
+        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    # rows get keys of their own, written once so that they don't change
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = Scratch(docs.sparkSession, "rows").save(docs.select(row, F.monotonically_increasing_id().alias("key"), F.col(text_col).cast("string").alias("text")), "rows")
+    found, _ = _near(keyed, "key", "text", **options)
+    found = found.withColumnRenamed("id", "key").where("n_shingles > 0").join(keyed.select("key", F.col(f"row.`{id_col}`").cast("long").alias("id")), "key")
+    stays = found.groupBy("component_id").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("stays"))
+    gone = found.join(stays, "component_id").where("key <> stays").select("key")
+    return keyed.join(gone, "key", "left_anti").select("row.*")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from flowloom.llm import common
 from flowloom.llm.common import Scratch, components
 from flowloom.llm.embedding_dedup import found_links, similar_vectors
 from flowloom.llm.hnsw import Graph
-from flowloom.llm.minhash_dedup import estimate, near_duplicates, registers
+from flowloom.llm.minhash_dedup import distinct_documents, estimate, near_duplicates, registers
 from flowloom.llm.substring_dedup import cleaned, remove_repeats
 
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -121,6 +122,27 @@ def test_near_duplicates_empty_and_null_ids(spark):
     assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (2, 0, 2, True), (None, 0, None, True)], key=repr)
 
 
+def test_near_duplicates_without_ids_and_with_repeated_ids(spark):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base[:k] + [f"v{k}"] + base[k + 1 :]) for k in range(10)]
+    far = " ".join(f"q{r.randrange(999)}" for _ in range(50))
+    # near copies without ids reach id 7; id 9 stands for two texts; rows without any id in reach
+    df = spark.createDataFrame([(None, near[0]), (None, near[1]), (7, near[2]), (9, near[3]), (9, far), (12, far + " tail"), (None, "x y z"), (None, "x y z")], "doc_id long, text string")
+    got = sorted((tuple(x) for x in near_duplicates(df).select("id", "component_id", "kept").collect()), key=repr)
+    assert got == sorted([(None, 7, False)] * 2 + [(7, 7, True), (9, 7, False), (9, 7, False), (12, 7, False)] + [(None, None, True)] * 2, key=repr)
+
+
+def test_distinct_documents_keeps_one_row_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text + " more"), (None, ""), (None, None), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (4, "own words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x) for x in distinct_documents(df).collect()), key=repr)
+    assert len(got) == 5 and [x for x in got if x[1] and x[1].startswith("w0")] and (3, "a b c d e f") in got and (None, "a b c d e f") not in got and (None, None) in got and (None, "") in got
+    plain = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other"), (4, None)], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in distinct_documents(plain).collect()) == [1, 3, 4]
+
+
 def test_joint_estimate_is_near_the_similarity():
     r = np.random.default_rng(1)
     for common, own in ((80, 10), (50, 50), (200, 20)):
@@ -139,7 +161,9 @@ def test_registers_merge_by_the_larger():
     assert (np.maximum(one, two) == both).all()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("gathered", [1 << 20, 7])
+def test_components_of_chains_and_stars(spark, gathered, monkeypatch):
+    monkeypatch.setattr(common, "GATHERED", gathered)  # few edges a task: several tasks and rounds
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(k, k) for k in (7, 500)] + [(200 + r.randrange(50), 200 + r.randrange(50)) for _ in range(40)]
     got = {x["id"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
