@@ -29,12 +29,13 @@ from .common import let
 #: match ended, a run may start anew).
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+#: Runs of 14 digits or more: a shorter run can't be a card number, wherever in it one starts.
+CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "telephone")
-#: In the order that spans are sorted by.
-SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: In the order that spans are sorted by. `before` is what stands before a candidate.
+SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
 
 
 def digits(value: Column) -> Column:
@@ -53,21 +54,39 @@ def luhn(value: Column) -> Column:
     return (F.char_length(value) >= 2) & (total % 10 == 0)
 
 
-def located(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column] | None = None) -> Column:
-    """Leftmost non-overlapping matches of a pattern with their code point places."""
+def running(xs: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Of an int array, at each place op over all entries up to it.
+
+    By doubling distances, so n entries take n log n steps; an array that grows by one entry
+    at a time would be copied n times.
+    """
+
+    def doubled(a: Column) -> Column:
+        powers = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(a))).cast("int") - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.when(F.size(a) < 2, a).otherwise(
+            F.aggregate(powers, a, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, op(x, F.get(acc, i - d))).otherwise(x)))
+        )
+
+    return let(xs, doubled)
+
+
+def located(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column] | None = None, context: int = 0) -> Column:
+    """Leftmost non-overlapping matches of a pattern with their code point places.
+
+    With context, `before` holds so many characters before the match, back to the start of
+    the match before it.
+    """
     empty = F.array().cast(SPAN)
 
     def places(found: Column) -> Column:
         def build(gaps: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.char_length(F.get(gaps, i))
+            def span(end: Column, i: Column) -> Column:
                 m = F.get(found, i)
-                end = start + F.char_length(m)
-                span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value"))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+                before = F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(context)) if context else F.lit(None).cast("string")
+                return F.struct((end - F.char_length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value"), before.alias("before"))
 
-            zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda a: a["out"])
+            lengths = F.transform(found, lambda m, i: F.char_length(F.get(gaps, i)) + F.char_length(m))
+            return F.transform(running(lengths, lambda x, y: x + y), span)
 
         return F.when(F.size(found) == 0, empty).otherwise(let(F.split(text, pattern, -1), build))
 
@@ -122,7 +141,7 @@ PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|sk-|sk_|pk_|xox[abp]-|AIza|eyJ)"
 FEATURES = ("kind", "length", "digits", "uppers", "lowers", "marks", "variety", "switches", "cue", "prefix", "assigned", "letters_only_tail", "plain_ssn")
 
 
-def features(span: Column, text: Column) -> Column:
+def features(span: Column) -> Column:
     """A candidate's features as an array of doubles, in the order of FEATURES."""
     v = span["value"]
     n = F.char_length(v)
@@ -130,7 +149,7 @@ def features(span: Column, text: Column) -> Column:
     def count(pattern: str) -> Column:
         return F.char_length(F.regexp_replace(v, pattern, "")).cast("double")
 
-    before = F.lower(F.substr(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT))))
+    before = F.lower(span["before"])
     cue = functools.reduce(lambda e, k: e.when(span["kind"] == k, before.rlike(CUES[k])), CUES, F.when(F.lit(False), F.lit(False)))
     return F.array(
         span["kind"].cast("double"),
@@ -311,24 +330,31 @@ def train(rounds: int = 25, shrink: float = 0.4, precision: float = 0.97, seed:
 
 
 def method_spans(text: Column, base: Column, model: Trees | None = None) -> Column:
-    """Accepted candidates that reach beyond the base spans, the longest of overlapping ones first."""
+    """Accepted candidates that no base span and no longer accepted one holds wholly."""
     model = model or train()
-    proposed = F.concat(*(located(text, pattern, kind) for kind, pattern in GENERATORS))
+    proposed = F.concat(*(located(text, pattern, kind, context=CONTEXT) for kind, pattern in GENERATORS))
 
     def accepted(s: Column) -> Column:
         limit = functools.reduce(lambda e, k: e.when(s["kind"] == k, F.lit(model.thresholds[k])), CUES, F.when(F.lit(False), F.lit(1.0)))
-        covered = F.aggregate(F.sort_array(base), s["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
-        return (covered < s["end"]) & (let(features(s, text), model.score) >= limit)
+        return let(features(s), model.score) >= limit
 
-    def longest(kept: Column) -> Column:
-        def step(chosen: Column, s: Column) -> Column:
-            met = F.exists(chosen, lambda o: (o["start"] < s["span"]["end"]) & (s["span"]["start"] < o["end"]))
-            return F.when(met, chosen).otherwise(F.concat(chosen, F.array(s["span"])))
+    def outermost(kept: Column) -> Column:
+        def of(spans: Column) -> Column:
+            ends = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+            return let(ends, lambda e: F.filter(spans, lambda x, i: (x["kind"] >= 4) & F.coalesce(F.get(e, i - 1) < x["end"], F.lit(True))))
 
-        ranked = F.array_sort(F.transform(kept, lambda s: F.struct((s["start"] - s["end"]).alias("size"), s.alias("span"))))
-        return F.aggregate(ranked, F.array().cast(SPAN), step)
+        # by start, of equal starts base spans first and then the longest
+        order = F.transform(
+            F.concat(base, kept),
+            lambda s: F.struct(s["start"].alias("start"), F.when(s["kind"] < 4, -s["end"] - 2**30).otherwise(-s["end"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")),
+        )
+        return F.transform(
+            let(F.sort_array(order), of),
+            lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("string").alias("before")),
+        )
 
-    return let(proposed, lambda p: F.when(F.size(p) == 0, F.array().cast(SPAN)).otherwise(let(F.filter(p, accepted), longest)))
+    some = lambda found, then: F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(then(found))
+    return let(proposed, lambda p: some(p, lambda q: let(F.filter(q, accepted), lambda kept: some(kept, outermost))))
 
 
 def written(spans: Column) -> Column:
@@ -341,7 +367,9 @@ def personal_data(docs: DataFrame, text_col: str = "text", method: bool = True)
     """`row` (docs' columns), `text` (null: empty), `base` and `spans` (arrays of spans).
 
     Spans are sorted by start, then kind; places are code points, ends exclusive. Empty
-    texts have none. Rows that occur twice get equal spans.
+    texts have none, an empty table gives no rows, rows that occur twice get equal spans, and
+    columns of any name go through in `row`. The work grows with the text and n log n of
+    its n spans, so a very long text is one long step of its task.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     a = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"))
@@ -350,20 +378,45 @@ def personal_data(docs: DataFrame, text_col: str = "text", method: bool = True)
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans as one."""
+    """The text with each span replaced by its kind in brackets; overlapping spans as one.
+
+    The spans are taken in blocks of about the root of their number: a cut finds its place
+    by counting characters, and so does it in its block only.
+    """
     name = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.get(name, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def marked(ends: Column) -> Column:
+        # each span that begins beyond all before it: where the gap before it starts, its start, its kind
+        fresh = F.filter(
+            F.transform(spans, lambda s, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("gap"), s["start"].alias("start"), s["kind"].alias("kind"))),
+            lambda x: x["gap"] <= x["start"],
+        )
+
+        def joined(cuts: Column) -> Column:
+            size = F.ceil(F.sqrt(F.size(cuts))).cast("int")
+
+            def block(k: Column) -> Column:
+                def pieces(own: Column) -> Column:
+                    at = F.get(own, 0)["gap"]
+                    stop = F.element_at(own, -1)["start"]
+                    cut = F.substr(text, at + 1, stop - at)
+                    return let(cut, lambda c: F.array_join(F.transform(own, lambda x: F.concat(F.substr(c, x["gap"] - at + 1, x["start"] - x["gap"]), F.get(name, x["kind"]))), ""))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.char_length(text))))
+                return let(F.slice(cuts, k * size + 1, size), pieces)
+
+            blocks = F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / size).cast("int"))
+            return F.concat(F.array_join(F.transform(blocks, block), ""), F.substr(text, F.array_max(ends) + 1, F.char_length(text)))
+
+        return let(fresh, joined)
+
+    return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), marked)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """docs with the columns it has, personal data in its texts replaced."""
+    """docs with the columns it has, personal data in its texts replaced.
+
+    Null texts stay null and empty ones empty; `count_col` follows the new texts.
+    """
     found = personal_data(docs, text_col)
     some = F.size("spans") > 0
     clean = F.when(some, redact(F.col("text"), F.col("spans"))).otherwise(F.col(f"row.`{text_col}`"))
