@@ -24,10 +24,6 @@ KEEP_AT = 0.5
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def _mid_sum(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
 def repeated_words(words: Column, width: int = 3) -> Column:
     """How many words lie in runs of `width` words that the array holds twice or more."""
     n = F.size(words)
@@ -101,19 +97,16 @@ class Rule:
     good: str = "false"
 
 
-#: The rules, over the measures. Each is a hint only: the estimated rates weigh it.
+#: The rules, over the measures: each looks at one aspect, votes bad at one end and good at
+#: the other and abstains between. Each is a hint only: the estimated rates weigh it.
 RULES = (
-    Rule("word_length", "word_chars < 3.0 * n_words or word_chars > 12.0 * n_words"),
-    Rule("symbols", "n_symbols > 0.2 * n_words"),
-    Rule("repeats", "n_repeat_words > 0.45 * n_words"),
-    Rule("lines", "n_dup_lines >= 5"),
-    Rule("capitals", "n_upper > 0.5 * n_letters"),
-    Rule("letters", "n_letters < 0.7 * word_chars"),
-    Rule(
-        "prose",
-        "n_words < 20",
-        "n_words >= 20 and n_letters >= 0.7 * word_chars and n_upper <= 0.35 * n_letters and n_symbols <= 0.1 * n_words and n_repeat_words <= 0.45 * n_words",
-    ),
+    Rule("word_length", "word_chars < 3.0 * n_words or word_chars > 10.0 * n_words", "word_chars between 3.5 * n_words and 8.0 * n_words"),
+    Rule("symbols", "n_symbols > 0.2 * n_words", "n_symbols <= 0.05 * n_words"),
+    Rule("repeats", "n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.15 * n_words"),
+    Rule("lines", "n_dup_lines >= 5", "n_dup_lines <= 1"),
+    Rule("capitals", "n_upper > 0.3 * n_letters", "n_upper <= 0.1 * n_letters"),
+    Rule("letters", "n_letters < 0.8 * word_chars", "n_letters >= 0.9 * word_chars"),
+    Rule("length", "n_words < 20", "n_words >= 60"),
 )
 
 
@@ -189,8 +182,10 @@ def judged(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT, ru
     """`row` (docs' columns, or those to carry), the base measures, base_failed, quality (posterior) and kept.
 
     Null and empty texts have no words and fail the base rule. Equal texts get equal
-    verdicts. An empty table gives no rows. Measures are written to the shared folder once,
-    as they cost far more than a table: the rates and the verdicts both read them there.
+    verdicts. An empty table gives no rows. Columns of any name go through in `row`. A very
+    long text is measured whole, its words in one array. Measures are written to the shared
+    folder once, as they cost far more than a table: the rates and the verdicts both read
+    them there.
     """
     measured = Scratch(docs.sparkSession, "quality").save(measures(docs, text_col, carry), "measures")
     model = label_model(measured, rules)

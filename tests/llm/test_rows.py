@@ -2,11 +2,13 @@
 
 import random
 import re
+import unicodedata
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from flowloom.llm import licenses, packing, pii
+from flowloom.llm import licenses, packing, pii, quality_rules
 
 UP = {c: c + 32 for c in range(65, 91)}
 
@@ -165,6 +167,21 @@ def test_candidates_beyond_base_spans_stay(spark):
     assert not any("NWBK" in r["text"] for r in pii.redacted(df).collect())
 
 
+def test_texts_with_very_many_matches(spark):
+    numbers = " ".join(str(k) for k in range(200_000))
+    addresses = "".join(f"u{k}@ex.org, 10.0.{k % 256}.{k % 250} and AKIA{k:016d}é\n" for k in range(4000))
+    cards = "  ".join("4111 1111 1111 1111" for _ in range(10_000))
+    rows = [numbers, addresses, cards]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(rows)], "doc_id long, text string, n_chars long")
+    found = {r["doc_id"]: r for r in pii.personal_data(df).select("row.doc_id", "base", "spans").collect()}
+    for i, t in enumerate(rows):
+        assert [(s["start"], s["kind"], s["end"]) for s in found[i]["base"]] == plain_spans(t)
+    assert sum(s["kind"] == 4 for s in found[1]["spans"]) == 4000
+    clean = {r["doc_id"]: r for r in pii.redacted(df).collect()}
+    assert clean[0]["text"] == numbers and clean[1]["text"] == "[EMAIL], [IP] and [SECRET]é\n" * 4000
+    assert clean[2]["text"] == "  ".join(["[CARD]"] * 10_000) and clean[2]["n_chars"] == len(clean[2]["text"])
+
+
 def test_tree_expression_equals_the_trees(spark):
     model, data = pii.train(), pii.training_candidates(99, 20)
     right = sum((model.probability(x) >= model.thresholds[int(x[0])]) == bool(y) for x, y in data)
@@ -181,6 +198,73 @@ def test_redaction_joins_overlapping_spans(spark):
     assert out[3]["text"] is None and out[4]["text"] == "plain" and out[4]["n_chars"] == 5
 
 
+def plain_measures(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    runs = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    repeated = {i + k for i in range(len(w) - 2) if runs[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return {
+        "n": len(w), "chars": sum(map(len, w)), "symbols": len(re.findall(r"[#*$%&|<>]", text)), "lines": len(lines) - len(set(lines)), "repeats": len(repeated),
+        "upper": sum(unicodedata.category(c) == "Lu" for c in text), "letters": sum(unicodedata.category(c)[0] == "L" for c in text),
+    }
+
+
+def plain_votes(m):
+    n, c, a = m["n"], m["chars"], m["letters"]
+    sides = (
+        (c < 3 * n or c > 10 * n, 3.5 * n <= c <= 8 * n), (m["symbols"] > 0.2 * n, m["symbols"] <= 0.05 * n), (m["repeats"] > 0.3 * n, m["repeats"] <= 0.15 * n),
+        (m["lines"] >= 5, m["lines"] <= 1), (m["upper"] > 0.3 * a, m["upper"] <= 0.1 * a), (a < 0.8 * c, a >= 0.9 * c), (n < 20, n >= 60),
+    )
+    return [0 if bad else 1 if good else 2 for bad, good in sides]
+
+
+def plain_verdicts(texts):
+    """Expectation-maximisation document by document."""
+    measures = {k: plain_measures(t) for k, t in texts.items()}
+    votes = {k: plain_votes(m) for k, m in measures.items()}
+    start = {1: (0.01, 0.6, 0.39), 0: (0.3, 0.2, 0.5)}
+    believed, prior = max(1.0, 0.01 * len(votes)), 0.9
+    rates = {c: [list(r) for _ in range(7)] for c, r in start.items()}
+
+    def posterior(v):
+        good, bad = prior, 1 - prior
+        for i, x in enumerate(v):
+            good, bad = good * rates[1][i][x], bad * rates[0][i][x]
+        return good / (good + bad)
+
+    for _ in range(200):
+        mass, sums = believed * 0.9, {c: [[believed * x for x in r] for _ in range(7)] for c, r in start.items()}
+        for v in votes.values():
+            q = posterior(v)
+            mass += q
+            for i, x in enumerate(v):
+                sums[1][i][x] += q
+                sums[0][i][x] += 1 - q
+        was, prior = prior, mass / (len(votes) + believed)
+        rates = {c: [[x / sum(r) for x in r] for r in s] for c, s in sums.items()}
+        if abs(prior - was) < 1e-10:
+            break
+    return {k: m["n"] >= 50 and 100 * m["repeats"] <= 50 * m["n"] and posterior(votes[k]) >= 0.5 for k, m in measures.items()}
+
+
+def test_posterior_overrules_single_rules(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(n))
+    good = [prose(r.randint(60, 200)) for _ in range(300)]
+    junk = [" ".join(r.choice(["$$", "#1", "<|>", "A9%", prose(1)]) for _ in range(r.randint(60, 150))) for _ in range(40)]
+    refrain = "\n".join(prose(20) for _ in range(5)) + "\nla la" * 8  # five lines repeat, all else is fine
+    texts = dict(enumerate([*good, *junk, refrain, None, "", "one"]))
+    df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, kept string")
+    got = {r["doc_id"]: r for r in quality_rules.judged(df).select("row.doc_id", "kept", *quality_rules.MEASURES).collect()}
+    assert {k: r["kept"] for k, r in got.items()} == plain_verdicts(texts)
+    for k, t in texts.items():
+        m = plain_measures(t)
+        assert tuple(got[k])[2:] == (m["n"], m["chars"], m["symbols"], m["lines"], m["repeats"])
+    assert plain_votes(plain_measures(refrain)).count(0) == 1 and got[340]["kept"]
+    assert not any(got[k]["kept"] for k in range(300, 340)) and all(got[k]["kept"] for k in range(300))
+
+
 def test_pipeline_stages_match_plain_decisions(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -202,6 +286,8 @@ def test_pipeline_stages_match_plain_decisions(spark):
             for k, (_, gone, _) in zip(order, brute_repeats([before[k]["text"] for k in order]), strict=True):
                 same = after[k]["text"] == before[k]["text"]
                 assert same == (gone == 0) and len((after[k]["text"] or "").split()) == len((before[k]["text"] or "").encode().split()) - gone
+        elif name == "quality_rules":
+            assert set(after) == {k for k, ok in plain_verdicts({k: r["text"] for k, r in before.items()}).items() if ok}
         elif name == "pii":
             for k in before:
                 assert bool(plain_spans(before[k]["text"])) <= (after[k]["text"] != before[k]["text"])
