@@ -11,8 +11,10 @@ whose word sequence also starts anywhere else (same text included) is removed.
    entries that one per window would need.
 2. A second pass over the texts keeps the windows whose estimate is two or more. A task
    first joins its own equal windows, so that a passage in every document leaves it once;
-   what is left is dealt by anchor and equal windows are counted exactly on 128 bits
-   (anchor and window hash). No window whose sequence repeats is lost at either step.
+   what is left is dealt by anchor, or by anchor and window where the sketch says that the
+   anchor is frequent (HOT), so that the many contexts of a common passage spread. Equal
+   windows are counted exactly on 128 bits (anchor and window hash). No window whose sequence
+   repeats is lost at any step.
 
 The sketch is sized from the bytes of text, up to `max_cells` counters a row; beyond that
 more windows reach the exact pass, and the result is the same.
@@ -36,6 +38,9 @@ ROWS = 2
 MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 29
 #: Counters to a block of the sketch: blocks are what tasks send and executors merge.
 BLOCK_BITS = 16
+#: Counters end here; anchors that reach it are dealt window by window. At most HOT_CELLS of a
+#: block are named (the largest first): which they are makes no difference to the result.
+HOT, HOT_CELLS = 255, 64
 #: Candidate windows that a task gathers before it joins equal ones and sends them.
 FLUSH = 1_500_000
 
@@ -73,7 +78,7 @@ def _sketch_task(bits: int, window: int, anchor: int):
     low = U64((1 << BLOCK_BITS) - 1)
 
     def send(anchors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         allv = np.concatenate(anchors) if anchors else np.empty(0, U64)
         for row in range(ROWS):
             cell, count = np.unique(_cells(allv, row, bits), return_counts=True)
@@ -83,14 +88,15 @@ def _sketch_task(bits: int, window: int, anchor: int):
                 if len(c):
                     out[1].append(c[k == 1].tobytes())
                     out[2].append(c[k > 1].tobytes())
+                    out[4].append(np.minimum(k[k > 1], HOT).astype(np.uint8).tobytes())
             if len(block):
                 out[0].extend(block[np.r_[0, cuts]].tolist())
                 out[3].extend([row] * (len(cuts) + 1))
         for i in range(0, len(out[0]), 1000):
             s = slice(i, i + 1000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[3][s], pa.int32()), pa.array(out[0][s], pa.int64()), pa.array(out[1][s], pa.binary()), pa.array(out[2][s], pa.binary())],
-                names=["row", "block", "once", "more"],
+                [pa.array(out[3][s], pa.int32()), pa.array(out[0][s], pa.int64()), *(pa.array(out[k][s], pa.binary()) for k in (1, 2, 4))],
+                names=["row", "block", "once", "more", "counts"],
             )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,25 +120,28 @@ def _sketch_task(bits: int, window: int, anchor: int):
 
 
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: adds a partition's sketch blocks; gives a bit a counter: two or more."""
+    """mapInArrow: adds a partition's sketch blocks; gives a bit a counter (two or more) and
+    the first row's hot counters."""
     counts: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for row, block, once, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row, block, once, more, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             c = counts.setdefault((row, block), np.zeros(1 << BLOCK_BITS, np.uint8))
-            i = np.frombuffer(once, np.uint16)
-            c[i] = np.minimum(c[i] + 1, 2)
-            c[np.frombuffer(more, np.uint16)] = 2
+            for at, n in ((np.frombuffer(once, np.uint16), 1), (np.frombuffer(more, np.uint16), np.frombuffer(often, np.uint8))):
+                c[at] = np.minimum(c[at].astype(np.int16) + n, HOT)
     for (row, block), c in counts.items():
+        hot = np.flatnonzero(c == HOT)[:HOT_CELLS] if row == 0 else np.empty(0, int)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([row], pa.int32()), pa.array([block], pa.int64()), pa.array([np.packbits(c > 1, bitorder="little").tobytes()], pa.binary())],
-            names=["row", "block", "bits"],
+            [pa.array([row], pa.int32()), pa.array([block], pa.int64()), pa.array([np.packbits(c > 1, bitorder="little").tobytes()], pa.binary()), pa.array([hot.astype(np.uint16).tobytes()], pa.binary())],
+            names=["row", "block", "bits", "hot"],
         )
 
 
-def sketch(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_cells: int = MAX_CELLS) -> tuple[int, np.ndarray]:
-    """The merged sketch of a one-column table of texts: counter bits, and ROWS bit rows.
+def sketch(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_cells: int = MAX_CELLS) -> tuple[int, np.ndarray, np.ndarray]:
+    """The merged sketch of a one-column table of texts: counter bits, ROWS bit rows, and the
+    hot counters of the first row.
 
-    What reaches the driver is ROWS * cells / 8 bytes, 128 MB at the largest.
+    What reaches the driver is ROWS * cells / 8 bytes, 128 MB at the largest, and 8 bytes a
+    hot counter, HOT_CELLS of each 2 ** BLOCK_BITS at most.
     """
     n_bytes = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0])))).first()[0] or 0
     cells = MIN_CELLS
@@ -143,15 +152,16 @@ def sketch(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_cel
     # each partition is fetched by a job of its own; it holds cells / 32 bytes at most
     parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 64)
     merged = (
-        texts.mapInArrow(_sketch_task(bits, window, anchor), "row int, block long, once binary, more binary")
+        texts.mapInArrow(_sketch_task(bits, window, anchor), "row int, block long, once binary, more binary, counts binary")
         .repartition(parts, "row", "block")
-        .mapInArrow(_merge_task, "row int, block long, bits binary")
+        .mapInArrow(_merge_task, "row int, block long, bits binary, hot binary")
     )
-    out = np.zeros((ROWS, cells // 8), np.uint8)
+    out, hot = np.zeros((ROWS, cells // 8), np.uint8), [np.empty(0, U64)]
     width = (1 << BLOCK_BITS) // 8
     for r in merged.toLocalIterator():
         out[r["row"], r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return bits, out
+        hot.append(np.frombuffer(r["hot"], np.uint16).astype(U64) + U64(r["block"] << BLOCK_BITS))
+    return bits, out, np.sort(np.concatenate(hot))
 
 
 _RUN = "anchor long, id long, tag int, place int, mask int, twice int, hashes binary"
@@ -161,6 +171,7 @@ _HIT = "id long, tag int, place int, mask int"
 def _query_task(bits: int, sketch_bits, window: int, anchor: int):
     """mapInArrow over (id, tag, text): the windows estimated repeated, a row an anchor.
 
+    A window of a hot anchor is a row of its own: its `anchor` is made of anchor and window.
     `mask` has the windows at place + 0, 1, ... (31 at most). anchor null: windows that the
     task itself has seen twice, whose result is known; else windows to be counted, `twice`
     marking those seen twice here.
@@ -211,7 +222,7 @@ def _query_task(bits: int, sketch_bits, window: int, anchor: int):
                 )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = sketch_bits.value
+        filled, hot = sketch_bits.value
         held, size = [], 0
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -228,6 +239,8 @@ def _query_task(bits: int, sketch_bits, window: int, anchor: int):
                 if often.any():
                     start, doc, value = start[often], doc[often], value[often]
                     h = rolling(w.hashes, window)[start]
+                    common = np.isin(_cells(value, 0, bits), hot)
+                    value = np.where(common, mix(value ^ mix(h, 31), 32), value)
                     held.append((ids[i + doc], tags[i + doc], (start - w.first[doc]).astype(np.int32), value, h))
                     size += len(start)
                 if size > FLUSH:
@@ -331,9 +344,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("0 < anchor <= window, and window - anchor below 31")
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    bits, filled = sketch(texts, window, anchor, max_cells)
+    bits, *found = sketch(texts, window, anchor, max_cells)
     keyed = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
-    runs = keyed.mapInArrow(_query_task(bits, spark.sparkContext.broadcast(filled), window, anchor), _RUN)
+    runs = keyed.mapInArrow(_query_task(bits, spark.sparkContext.broadcast(found), window, anchor), _RUN)
     dealt = runs.repartition(F.coalesce("anchor", F.xxhash64("id", "place")))
     return dealt.sortWithinPartitions("anchor").mapInArrow(_exact_task, _HIT)
 
@@ -344,7 +357,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no words. Texts shorter than the window lose nothing. Rows
     that occur twice are copies of each other and lose what repeats like any others; so do
-    rows with one id and different texts, each by its own text. A null id is one id.
+    rows with one id and different texts, each by its own text. A null id is one id. A very
+    long text is one step of its task. An empty table gives no rows; columns of any name go
+    through in `row`.
     """
     hits = repeated_windows(docs, id_col, text_col, window, anchor, max_cells)
     by_doc = hits.groupBy(F.col("id").alias("_i"), F.col("tag").alias("_t")).agg(F.collect_list(F.struct("place", "mask")).alias("_h"))
@@ -361,7 +376,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", **options) -> DataFrame:
-    """docs with the columns it has, its texts without what repeats."""
+    """docs with the columns it has, its texts without what repeats.
+
+    A text that loses nothing stays as it is, null included; `count_col` follows the others.
+    """
     out = remove_repeats(docs, id_col, text_col, with_text=True, **options)
     made = {text_col: F.col("kept_text")}
     if count_col in docs.columns:
