@@ -3,17 +3,19 @@
 1. Equal vectors become one class with a count, so that a vector of thousands of rows is one
    point. Classes are dealt to shards by hash; each shard's graph is built in one task and
    written to the shared folder.
-2. Every class queries every shard, in bounded groups of queries. A beam starts narrow; a
-   query whose beam is full of links searches again with a wider one, and each group audits
-   itself: query after query is compared with all the shard's vectors until TRUE_LINKS links
-   to other vectors are known, and while the search has found fewer than RECALL of them, the
-   beam widens for the whole group. A group that has fewer links, or whose widest beam still
-   misses some, is compared exactly.
-3. Pairs are verified by cosine in double precision on the vectors as given; components are
-   the union of the links.
-
-A shard holds MAX_SHARD points at most, so the memory of a task is bounded; the number of
-shards is SHARDS for all smaller tables.
+2. Every two shards meet in one task (and each shard meets itself): the points of either
+   query the graph of the other. A beam starts narrow; a query whose beam is full of links
+   searches again with a wider one, and each side audits itself: query after query is
+   compared with all the shard's vectors until TRUE_LINKS links to other vectors are known,
+   and while the search has found fewer than RECALL of them, the beam widens for all of its
+   queries. A side that has fewer links, or whose widest beam still misses some, is compared
+   exactly; so are two shards with more than PAIRS links, in blocks.
+3. Pairs are verified by cosine in double precision on the vectors as given. A task sends no
+   pairs: for each of its points the number of links, and the smallest point that its links
+   lead to. Components are the union of these.
+
+A shard's vectors take SHARD_BYTES at most, so the memory of a task is bounded whatever
+their length; the number of shards is SHARDS for all smaller tables.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, forest
 from .hnsw import Graph
 
 COSINE = 0.95
-SHARDS, MAX_SHARD, QUERIES = 8, 1 << 18, 1 << 16
+SHARDS, SHARD_BYTES = 8, 1 << 27
+#: Links of two shards that a task holds (8 bytes each); entries of beams that are wide at a time.
+PAIRS, BEAMS = 1 << 25, 1 << 23
 BEAM, AUDITED, TRUE_LINKS, RECALL = 32, 64, 256, 0.99
 NEAR = 1e-4  # single precision finds pairs so far below the limit, double precision decides
 
@@ -52,19 +56,29 @@ def _build(t: pa.Table) -> pa.Table:
     return pa.table({"dim": t.column("dim").slice(0, 1), "shard": t.column("shard").slice(0, 1), "graph": pa.array([blob], pa.binary())})
 
 
-def _links_of(graph: Graph, queries: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs near the limit that the search finds; full beams widen."""
+def _links_of(graph: Graph, queries: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(query, point) pairs near the limit that the search finds; full beams widen.
+
+    None if there are more than PAIRS of them.
+    """
     n = len(graph.vectors)
-    at, who, point = np.arange(len(queries)), [], []
+    at, who, point, size = np.arange(len(queries)), [], [], 0
     near = cosine - NEAR
     while len(at):
-        beam = min(beam, n)
-        ids, sims = graph.search(queries[at], beam)
-        full = (sims[:, -1] >= near) & (beam < n)
-        q, k = np.nonzero((sims >= near) & (ids >= 0) & ~full[:, None])
-        who.append(at[q])
-        point.append(ids[q, k])
-        at, beam = at[full], beam * 4
+        beam, wider = min(beam, n), []
+        step = max(1, BEAMS // beam)
+        for i in range(0, len(at), step):
+            some = at[i : i + step]
+            ids, sims = graph.search(queries[some], beam)
+            full = (sims[:, -1] >= near) & (beam < n)
+            q, k = np.nonzero((sims >= near) & (ids >= 0) & ~full[:, None])
+            who.append(some[q])
+            point.append(ids[q, k])
+            wider.append(some[full])
+            size += len(q)
+            if size > PAIRS:
+                return None
+        at, beam = np.concatenate(wider), beam * 4
     return (np.concatenate(who), np.concatenate(point)) if who else (np.empty(0, int), np.empty(0, int))
 
 
@@ -81,10 +95,11 @@ def _compared(graph: Graph, queries: np.ndarray, near: float) -> tuple[np.ndarra
     return np.concatenate(who), np.concatenate(point), np.concatenate(sim)
 
 
-def found_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray, names: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+def found_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray, names: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray] | None:
     """Links of unit queries, audited: the beam widens until the recall of known links is RECALL.
 
-    `own` names the queries, `names` the points; a query's own points aren't links.
+    `own` names the queries, `names` the points; a query's own points aren't links. None:
+    there are more than PAIRS.
     """
     n, m, near = len(graph.vectors), len(queries), cosine - NEAR
     order = np.random.default_rng(m).permutation(m)
@@ -102,7 +117,10 @@ def found_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarra
         return np.concatenate(who), np.concatenate(point)
     truth = np.concatenate(known)
     while True:
-        q, p = _links_of(graph, queries, cosine, beam)
+        got = _links_of(graph, queries, cosine, beam)
+        if got is None:
+            return None
+        q, p = got
         if np.isin(truth, q * n + p).sum() >= RECALL * len(truth):
             return q, p
         if beam >= n:
@@ -110,25 +128,63 @@ def found_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarra
         beam *= 2
 
 
-def _query(cosine: float):
-    def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "rows_a", "rows_b")})
-        if not left.num_rows or not right.num_rows:
-            return none
-        reps, rows, v, base, layers = pickle.loads(left.column("graph")[0].as_py())
-        order = np.argsort(right.column("rep").to_numpy())
-        own, own_rows = (right.column(c).to_numpy()[order] for c in ("rep", "rows"))
-        x = _matrix(right.column("vector"), right.num_rows)[order]
-        q, p = found_links(Graph(_unit(v), base, layers), _unit(x), cosine, own, reps)
-        keep = own[q] != reps[p]
-        q, p = q[keep], p[keep]
-        ok = np.zeros(len(q), bool)
+class _Tally:
+    """Verified links between the points of two shards (or of one): counts and forest."""
+
+    def __init__(self, one: tuple, two: tuple, cosine: float):
+        self.reps, self.rows, self.vectors = ([one[k], two[k]] for k in range(3))
+        self.cosine, self.same = cosine, one is two
+        self.counts = [np.zeros(len(r), np.int64) for r in self.reps]
+        self.a = self.b = np.empty(0, np.int64)
+
+    def add(self, q: np.ndarray, p: np.ndarray) -> None:
+        """Pairs of points, each once."""
         for i in range(0, len(q), 100_000):
-            a, b = x[q[i : i + 100_000]].astype(np.float64), v[p[i : i + 100_000]].astype(np.float64)
-            dot = np.einsum("kd,kd->k", a, b)
-            ok[i : i + 100_000] = dot >= cosine * np.sqrt(np.einsum("kd,kd->k", a, a)) * np.sqrt(np.einsum("kd,kd->k", b, b))
-        q, p = q[ok], p[ok]
-        return pa.table({"a": own[q], "b": reps[p], "rows_a": own_rows[q], "rows_b": rows[p]})
+            x, y = q[i : i + 100_000], p[i : i + 100_000]
+            a, b = self.vectors[0][x].astype(np.float64), self.vectors[1][y].astype(np.float64)
+            ok = np.einsum("kd,kd->k", a, b) >= self.cosine * np.sqrt(np.einsum("kd,kd->k", a, a)) * np.sqrt(np.einsum("kd,kd->k", b, b))
+            x, y = x[ok], y[ok]
+            np.add.at(self.counts[0], x, self.rows[1][y])
+            np.add.at(self.counts[1], y, self.rows[0][x])
+            self.a, self.b = forest(np.r_[self.a, self.reps[0][x]], np.r_[self.b, self.reps[1][y]])
+
+    def table(self) -> pa.Table:
+        """id, n, root of each point with a link."""
+        sides = ((self.reps[0], self.counts[0] + self.counts[1]),) if self.same else zip(self.reps, self.counts, strict=True)
+        ids, n = (np.concatenate(x) for x in zip(*((r[c > 0], c[c > 0]) for r, c in sides), strict=True))
+        root = ids.copy()
+        if len(self.a):
+            at = np.minimum(np.searchsorted(self.a, ids), len(self.a) - 1)
+            root = np.where(self.a[at] == ids, self.b[at], ids)
+        return pa.table({"id": ids, "n": n, "root": root})
+
+
+def _meet(cosine: float):
+    """applyInArrow on two shards' rows, or one's: (id, n, root)."""
+
+    def task(t: pa.Table) -> pa.Table:
+        sides = [pickle.loads(b) for _, b in sorted(zip(t.column("shard").to_pylist(), t.column("graph").to_pylist(), strict=True))]
+        if len(sides) == 1 and t.column("p")[0] != t.column("q")[0]:  # the other shard is empty
+            return pa.table({c: pa.array([], pa.int64()) for c in ("id", "n", "root")})
+        one, two = sides[0], sides[-1]
+        graphs = [Graph(_unit(x[2]), x[3], x[4]) for x in sides]
+        (u, _), (v, g) = [(x.vectors, x) for x in (graphs[0], graphs[-1])]
+        tally, n = _Tally(one, two, cosine), len(two[0])
+        there = found_links(g, u, cosine, one[0], two[0])
+        back = (there if one is two else found_links(graphs[0], v, cosine, two[0], one[0])) if there is not None else None
+        if back is not None:
+            q, p = np.r_[there[0], back[1]], np.r_[there[1], back[0]]
+            if one is two:
+                q, p = np.minimum(q, p)[q != p], np.maximum(q, p)[q != p]
+            code = np.unique(q * n + p)
+            tally.add(code // n, code % n)
+        else:
+            step = max(1, 8_000_000 // n)
+            for i in range(0, len(u), step):
+                q, p, _ = _compared(g, u[i : i + step], cosine - NEAR)
+                q = q + i
+                tally.add(*((q[q < p], p[q < p]) if one is two else (q, p)))
+        return tally.table()
 
     return task
 
@@ -139,62 +195,50 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shards: int = SHARDS, max_shard: int = MAX_SHARD) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shards: int = SHARDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each row of vectors: id, n_links, component_id, kept.
 
     n_links counts the other rows with cosine >= `cosine`; component_id is the smallest id in
     reach, kept says that it is the row's own. Vectors that are null, empty, zero or hold null
     or non-finite components have no links; so have vectors of different lengths with each
-    other. Equal vectors are linked. A null id is in its class's component, by the others' ids.
+    other. Equal vectors are linked, rows that occur twice included. A row without id takes
+    part through its vector; its component_id is null if no id is in reach. An empty table
+    gives no rows; other columns aren't read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).withColumn("ok", usable(F.col("vector")))
     keyed = rows.select("id", "vector", "ok", F.when(F.col("ok"), F.xxhash64("vector")).alias("k1"), F.when(F.col("ok"), F.xxhash64(F.lit(29), F.reverse("vector"))).alias("k2"))
-    classes = scratch.save(
-        keyed.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("vector").alias("vector")).withColumn("dim", F.size("vector")),
-        "classes",
-    )
-    named = classes.where("rep is not null")
-    sizes = {r["dim"]: r["count"] for r in named.groupBy("dim").count().collect()}  # a row a length
-    most = max(sizes.values(), default=0)
-    n_shards, n_groups = max(shards, -(-most // max_shard)), max(1, -(-most // QUERIES))
+    # a class without any id is named by its hash
+    classes = keyed.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("rows"), F.first("vector").alias("vector"))
+    classes = classes.withColumn("dim", F.size("vector")).withColumn("rep", F.coalesce("low", "k1"))
+    classes = scratch.save(classes, "classes", nameless=F.col("low").isNull())
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # a row a length
+    n_shards = max([shards, *(-(-8 * dim * n // shard_bytes) for dim, n in sizes.items())])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = named.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(n_shards)).cast("int"))
+    dealt = classes.select("dim", "rep", "rows", "vector", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(n_shards)).cast("int").alias("shard"))
     graphs = scratch.save(
         dealt.repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, graph binary"), "graphs"
     )
-
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = graphs.select("dim", "shard", each(n_groups).alias("part"), "graph").repartition(parts, "dim", "shard", "part")
-    right = (
-        named.select("dim", "rep", "rows", "vector", each(n_shards).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(n_groups)).cast("int").alias("part"))
-        .repartition(parts, "dim", "shard", "part")
-    )
-    key = ["dim", "shard", "part"]
-    hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_query(cosine), "a long, b long, rows_a long, rows_b long")
-    low = F.col("a") < F.col("b")
-    pairs = hits.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(low, F.col("rows_a")).otherwise(F.col("rows_b")).alias("rows_a"), F.when(low, F.col("rows_b")).otherwise(F.col("rows_a")).alias("rows_b"),
-    )
-    pairs = scratch.save(pairs.groupBy("a", "b").agg(F.first("rows_a").alias("rows_a"), F.first("rows_b").alias("rows_b")), "links")
-    comp = components(pairs.select("a", "b"), scratch)
-    both = pairs.select(F.col("a").alias("of"), F.col("rows_b").alias("n")).unionByName(pairs.select(F.col("b").alias("of"), F.col("rows_a").alias("n")))
-    counts = both.groupBy("of").agg(F.sum("n").alias("n"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("other")
+    met = graphs.select("dim", "shard", "graph", other).select("dim", "shard", "graph", F.least("shard", "other").alias("p"), F.greatest("shard", "other").alias("q"))
+    met = met.repartition(parts, "dim", "p", "q").groupBy("dim", "p", "q").applyInArrow(_meet(cosine), "id long, n long, root long")
+    met = scratch.save(met, "links")
+    comp = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch, roots=False)
+    counts = met.groupBy(F.col("id").alias("of")).agg(F.sum("n").alias("n"))
     done = (
         classes.join(counts, classes["rep"] == counts["of"], "left")
         .join(comp, classes["rep"] == comp["id"], "left")
-        .select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("k1", "k2", "low", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     done = scratch.save(done, "done")
-    scratch.drop(graphs, classes, pairs)
-    out = keyed.select("id", "k1", "k2").join(done, ["k1", "k2"], "left")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn(
-        "kept", F.col("id").eqNullSafe(F.col("component_id"))
-    )
+    if classes.counted["nameless"]:  # a hash may be smaller than the smallest id
+        real = done.groupBy("component_id").agg(F.min("low").alias("real"))
+        done = done.join(real, "component_id").drop("component_id").withColumnRenamed("real", "component_id")
+    scratch.drop(graphs, met)
+    out = keyed.select("id", "ok", "k1", "k2").join(done.drop("low"), ["k1", "k2"], "left")
+    component = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("id"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def op3_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,14 +5,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from flowloom.llm import common
+from flowloom.llm import common, embedding_dedup
 from flowloom.llm.common import Scratch, components
 from flowloom.llm.embedding_dedup import found_links, similar_vectors
 from flowloom.llm.hnsw import Graph
 from flowloom.llm.minhash_dedup import distinct_documents, estimate, near_duplicates, registers
-from flowloom.llm.substring_dedup import cleaned, remove_repeats
+from flowloom.llm.substring_dedup import cleaned, remove_repeats, sketch
 
 LOW = {c: c + 32 for c in range(65, 91)}
 
@@ -68,6 +69,20 @@ def test_repeats_with_a_full_sketch_and_other_windows(spark, cells):
     assert sorted(tuple(r) for r in got) == [(i, *w) for i, w in enumerate(brute_repeats(rows, 12))]
 
 
+def test_repeats_with_one_anchor_in_very_many_contexts(spark):
+    """A common line: the windows around it share an anchor and differ."""
+    r = random.Random(8)
+    line = [f"c{k}" for k in range(24)]
+    own = lambda: [f"x{r.randrange(10**6)}" for _ in range(20)]
+    rows = [" ".join([*own(), *line, *own()]) for _ in range(700)]
+    rows += [rows[5], rows[6] + " more", *(" ".join([*own(), *line, *line, *own()]) for _ in range(5))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    bits, filled, hot = sketch(df.select("text"))
+    assert len(hot) and len(filled) == 2
+    got = remove_repeats(df).select("row.doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(tuple(x) for x in got) == [(i, *w) for i, w in enumerate(brute_repeats(rows))]
+
+
 def test_repeats_empty_table_and_cleaned_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert remove_repeats(empty).count() == 0
@@ -223,6 +238,42 @@ def test_similar_vectors_match_brute_force(spark):
     assert similar_vectors(df.where("false")).count() == 0
 
 
+def test_similar_vectors_without_ids_and_wide_ones(spark):
+    r = np.random.default_rng(7)
+    wide = r.normal(size=(12, 700)).astype(np.float32)
+    wide[6:] = wide[:6] + r.normal(size=(6, 700)).astype(np.float32) * 0.05
+    rows = [(k if k < 6 else None, [float(c) for c in x]) for k, x in enumerate(wide)] + [(None, [1.0, 0.0]), (None, [1.0, 0.01]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((tuple(x) for x in similar_vectors(df, shard_bytes=1 << 15).collect()), key=repr)  # five vectors a shard
+    assert got == sorted([(k, 1, k, True) for k in range(6)] + [(None, 1, k, False) for k in range(6)] + [(None, 1, None, True)] * 2 + [(None, 0, None, True)], key=repr)
+
+
+@pytest.mark.parametrize("pairs", [1 << 25, 10])
+@pytest.mark.parametrize("same", [True, False])
+def test_two_shards_meet(pairs, same, monkeypatch):
+    """Searches, and blocks where there are too many links to hold."""
+    monkeypatch.setattr(embedding_dedup, "PAIRS", pairs)
+    v = vectors(2)
+    v[150:290] = v[3] + np.random.default_rng(1).normal(size=(140, 16)).astype(np.float32) * 0.02
+    rep = np.random.default_rng(4).permutation(300)
+    half = np.zeros(300, int) if same else np.arange(300) % 2
+    shards = []
+    for k in range(1 if same else 2):
+        at = np.flatnonzero(half == k)
+        t = {"dim": [16] * len(at), "shard": [k] * len(at), "rep": rep[at], "rows": np.full(len(at), 2), "vector": pa.array([x.tolist() for x in v[at]], pa.list_(pa.float32()))}
+        shards.append(embedding_dedup._build(pa.table(t)))
+    both = pa.concat_tables(shards)
+    both = both.append_column("p", pa.array([0] * len(both))).append_column("q", pa.array([0 if same else 1] * len(both)))
+    got = embedding_dedup._meet(0.95)(both).to_pydict()
+    w = v.astype(float)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    link = (w @ w.T >= 0.95) & ~np.eye(300, dtype=bool) & (same | (half[:, None] != half[None, :]))
+    assert dict(zip(got["id"], got["n"], strict=True)) == {int(rep[i]): int(2 * link[i].sum()) for i in range(300) if link[i].any()}
+    a, b = common.forest(*(rep[x].astype(np.int64) for x in np.nonzero(link)))
+    root = dict(zip(a.tolist(), b.tolist(), strict=True))
+    assert dict(zip(got["id"], got["root"], strict=True)) == {i: root.get(i, i) for i in got["id"]}
+
+
 @pytest.mark.parametrize("cut", ["one point", "all"])
 def test_links_that_the_graph_misses_are_found(cut):
     """Rare links, and links of points that can't be reached."""
