@@ -90,21 +90,29 @@ def measures(docs: DataFrame, text_col: str = "text", carry: list[str] | None =
 
 @dataclass(frozen=True)
 class Rule:
-    """name; when it votes bad and when it votes good ("false": never); else it abstains."""
+    """name; when it votes bad and when it votes good ("false": never); else it abstains.
+
+    `rates` are how often good and bad documents are believed to get its bad vote. They are
+    where the estimate starts; those of a `held` rule stay.
+    """
 
     name: str
     bad: str
     good: str = "false"
+    rates: tuple[float, float] = (0.01, 0.2)
+    held: bool = False
 
 
 #: The rules, over the measures: each looks at one aspect, votes bad at one end and good at
-#: the other and abstains between. Each is a hint only: the estimated rates weigh it.
+#: the other and abstains between. Each is a hint only: the estimated rates weigh it. A text
+#: in capitals is fine in all other respects, so how much that rule says can't be learned from
+#: agreement: its rates are held.
 RULES = (
     Rule("word_length", "word_chars < 3.0 * n_words or word_chars > 10.0 * n_words", "word_chars between 3.5 * n_words and 8.0 * n_words"),
     Rule("symbols", "n_symbols > 0.2 * n_words", "n_symbols <= 0.05 * n_words"),
     Rule("repeats", "n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.15 * n_words"),
     Rule("lines", "n_dup_lines >= 5", "n_dup_lines <= 1"),
-    Rule("capitals", "n_upper > 0.3 * n_letters", "n_upper <= 0.1 * n_letters"),
+    Rule("capitals", "n_upper > 0.3 * n_letters", "n_upper <= 0.1 * n_letters", (0.0005, 0.4), True),
     Rule("letters", "n_letters < 0.8 * word_chars", "n_letters >= 0.9 * word_chars"),
     Rule("length", "n_words < 20", "n_words >= 60"),
 )
@@ -137,24 +145,26 @@ class LabelModel:
         return 1 / (1 + F.exp(-total))
 
 
-#: How good and bad documents are believed to vote (bad, good, abstain) at the start; a bad
-#: document breaks one or two rules, a good one next to none.
-START_GOOD, START_BAD = (0.01, 0.6, 0.39), (0.3, 0.2, 0.5)
+#: How often a rule is believed to abstain, in both classes, at the start.
+ABSTAIN = 0.3
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], n_rules: int, rounds: int = 200, prior: float = 0.9, weight: float = 0.01) -> LabelModel:
+def fit(patterns: list[tuple[tuple[int | None, ...], int]], rules: tuple[Rule, ...] | int, rounds: int = 200, prior: float = 0.9, weight: float = 0.01) -> LabelModel:
     """Expectation-maximisation over vote patterns and how many documents have each.
 
     A rule votes bad, votes good or abstains with rates of its own among good and among bad
-    documents. The start counts as `weight` of the documents, so that rates stay inside
-    (0, 1), few documents don't overturn it, and which class is the good one is settled.
+    documents. What is believed at the start counts as `weight` of the documents, so that
+    rates stay inside (0, 1), few documents don't overturn it, and which class is the good
+    one is settled. No documents leave the beliefs. `rules` may be their number only.
     """
+    if isinstance(rules, int):
+        rules = (Rule("", "false"),) * rules
     total = sum(c for _, c in patterns)
     belief = max(1.0, weight * total)
-    p, good, bad = prior, [START_GOOD] * n_rules, [START_BAD] * n_rules
+    start = [[(r, 1 - ABSTAIN - r, ABSTAIN) for r in rule.rates] for rule in rules]
+    p, good, bad = prior, [g for g, _ in start], [b for _, b in start]
     for _ in range(rounds if total else 0):
-        g = [[belief * x for x in START_GOOD] for _ in range(n_rules)]
-        b = [[belief * x for x in START_BAD] for _ in range(n_rules)]
+        sums = [[[belief * x for x in side] for side in rule] for rule in start]
         mass = belief * prior
         for vote, count in patterns:
             k = [2 if v is None else v for v in vote]
@@ -162,12 +172,12 @@ def fit(patterns: list[tuple[tuple[int | None, ...], int]], n_rules: int, rounds
             q = 1 / (1 + math.exp(-max(-500.0, min(500.0, s))))
             mass += q * count
             for i, v in enumerate(k):
-                g[i][v] += q * count
-                b[i][v] += (1 - q) * count
-        was = p
-        p = mass / (total + belief)
-        good = [tuple(x / sum(r) for x in r) for r in g]
-        bad = [tuple(x / sum(r) for x in r) for r in b]
+                sums[i][0][v] += q * count
+                sums[i][1][v] += (1 - q) * count
+        was, p = p, mass / (total + belief)
+        for i, rule in enumerate(rules):
+            if not rule.held:
+                good[i], bad[i] = (tuple(x / sum(side) for x in side) for side in sums[i])
         if abs(p - was) < 1e-10:
             break
     return LabelModel(p, tuple(tuple(math.log(x / y) for x, y in zip(gr, br, strict=True)) for gr, br in zip(good, bad, strict=True)))
@@ -175,7 +185,7 @@ def fit(patterns: list[tuple[tuple[int | None, ...], int]], n_rules: int, rounds
 
 def label_model(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
     counted = measured.select(votes(rules).alias("v")).groupBy("v").count().collect()
-    return fit(sorted(((tuple(r["v"]), r["count"]) for r in counted), key=repr), len(rules))
+    return fit(sorted(((tuple(r["v"]), r["count"]) for r in counted), key=repr), rules)
 
 
 def judged(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT, rules: tuple[Rule, ...] = RULES, carry: list[str] | None = None) -> DataFrame:

@@ -223,9 +223,10 @@ def plain_verdicts(texts):
     """Expectation-maximisation document by document."""
     measures = {k: plain_measures(t) for k, t in texts.items()}
     votes = {k: plain_votes(m) for k, m in measures.items()}
-    start = {1: (0.01, 0.6, 0.39), 0: (0.3, 0.2, 0.5)}
+    first = {1: [0.01] * 4 + [0.0005, 0.01, 0.01], 0: [0.2] * 4 + [0.4, 0.2, 0.2]}
+    start = {c: [[r, 0.7 - r, 0.3] for r in rs] for c, rs in first.items()}
     believed, prior = max(1.0, 0.01 * len(votes)), 0.9
-    rates = {c: [list(r) for _ in range(7)] for c, r in start.items()}
+    rates = {c: [list(r) for r in rs] for c, rs in start.items()}
 
     def posterior(v):
         good, bad = prior, 1 - prior
@@ -234,7 +235,7 @@ def plain_verdicts(texts):
         return good / (good + bad)
 
     for _ in range(200):
-        mass, sums = believed * 0.9, {c: [[believed * x for x in r] for _ in range(7)] for c, r in start.items()}
+        mass, sums = believed * 0.9, {c: [[believed * x for x in r] for r in rs] for c, rs in start.items()}
         for v in votes.values():
             q = posterior(v)
             mass += q
@@ -242,7 +243,7 @@ def plain_verdicts(texts):
                 sums[1][i][x] += q
                 sums[0][i][x] += 1 - q
         was, prior = prior, mass / (len(votes) + believed)
-        rates = {c: [[x / sum(r) for x in r] for r in s] for c, s in sums.items()}
+        rates = {c: [start[c][i] if i == 4 else [x / sum(r) for x in r] for i, r in enumerate(s)] for c, s in sums.items()}
         if abs(prior - was) < 1e-10:
             break
     return {k: m["n"] >= 50 and 100 * m["repeats"] <= 50 * m["n"] and posterior(votes[k]) >= 0.5 for k, m in measures.items()}
