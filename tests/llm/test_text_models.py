@@ -188,3 +188,16 @@ def test_encoding_tables(spark):
     back = {(r["id"], r["text"]) for r in S.decoded(out).collect()}
     assert back == {(i, t or "") for i, t, _ in rows}
     assert S.encoded(df.where("false")).count() == 0
+
+
+def test_blocks_of_any_size_give_the_same_ids(vocabulary, monkeypatch):
+    r = random.Random(3)
+    rows = ["", " lead", "a  b   c ", "x" * 500, "word, word; word.", "é日本 語, done", "\n\ttabs and\nlines ", " ".join("".join(r.choice("abcdéz,.") for _ in range(r.randint(1, 30))) for _ in range(80)), ""]
+    raw = [t.encode() for t in rows]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [i for t in library().encode(rows) for i in t]
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(S, "BLOCK", size)
+        values, count = vocabulary.encode_many(data, offsets)
+        assert values.tolist() == want and count.tolist() == [len(x) for x in library().encode(rows)]
+        assert vocabulary.round_trips(data, offsets, values, count).all()
