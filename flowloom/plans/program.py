@@ -13,7 +13,7 @@ and later nodes skip it. `strict` raises at the end instead.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -61,61 +61,65 @@ def apply_partial(schema, state: Mapping[str, Column], partial: Mapping[str, Any
     return fields, err
 
 
-def _branch_partial(schema, state: Mapping[str, Column], node: Node) -> tuple[dict[str, Column], Column]:
+#: What a node takes: an expression to be evaluated once a row (None: nothing is used twice),
+#: and how its value, or None, becomes the merged fields and the error.
+Step = tuple[Column | None, Callable[[Column | None], tuple[dict[str, Column], Column]]]
+
+
+def _branches(schema, state: Mapping[str, Column], node: Node) -> Step:
     """Branches in declared order: present contributions are folded through the rules."""
     spec = node.run
     collect = spec.error_policy == "collect"
-    fields: dict[str, Column] = {}
-    err, records, writers = no_error(), [], dict(state)
-    for name, b in spec.branches.items():
-        present = F.coalesce(b.when(state), F.lit(False)) if b.when is not None else F.lit(True)
-        partial, failed = _branch_result(schema, state, b, name)
-        partial = {k: v for k, v in partial.items() if k != "!"}
-        updated, bad = apply_partial(schema, writers, partial, node.name)
-        failed = F.coalesce(failed, bad)
-        ok = present & failed.isNull()
-        for f, new in updated.items():
-            writers[f] = fields[f] = F.when(ok, new).otherwise(writers[f])
-        record = F.struct(
-            F.lit(name).alias("branch_name"), failed["category"].alias("category"), failed["message"].alias("message"), failed["category"].alias("cause_type")
-        )
-        records.append(F.when(present & failed.isNotNull(), record))
-        if not collect:
-            blame = error("parallel_branches_branch_failed", F.concat_ws(": ", F.lit(name), failed["category"]), node.name)
-            err = F.coalesce(err, F.when(present & failed.isNotNull(), blame))
-    if collect and spec.errors_field:
-        got = F.filter(F.array(*records), lambda r: r.isNotNull()).cast(schema.fields[spec.errors_field].type)
-        more, bad = apply_partial(schema, writers, {spec.errors_field: got}, node.name)
-        fields |= more
-        err = F.coalesce(err, bad)
-    return fields, err
-
-
-def _branch_result(schema, state, b: Branch, name: str) -> tuple[Mapping[str, Any], Column]:
+    shown = {name: F.coalesce(b.when(state), F.lit(False)) if b.when is not None else F.lit(True) for name, b in spec.branches.items()}
+    graphs = {
+        name: inline(b.graph, child_state(b.graph, {c: state[s] for c, s in Explicit(b.inputs, b.outputs).inward(schema, b.graph.schema).items()}))
+        for name, b in spec.branches.items() if b.call is None
+    }
+    once = let(F.struct(*(F.when(shown[name], g).alias(name) for name, g in graphs.items())), lambda x: x) if graphs else None
+
+    def finish(value: Column | None) -> tuple[dict[str, Column], Column]:
+        fields: dict[str, Column] = {}
+        err, records, writers = no_error(), [], dict(state)
+        for name, b in spec.branches.items():
+            partial, failed = _branch_result(schema, state, b, name, value)
+            partial = {k: v for k, v in partial.items() if k != "!"}
+            updated_, bad = apply_partial(schema, writers, partial, node.name)
+            failed = F.coalesce(failed, bad)
+            present = shown[name]
+            ok = present & failed.isNull()
+            for f, new in updated_.items():
+                writers[f] = fields[f] = F.when(ok, new).otherwise(writers[f])
+            record = F.struct(
+                F.lit(name).alias("branch_name"), failed["category"].alias("category"), failed["message"].alias("message"), failed["category"].alias("cause_type")
+            )
+            records.append(F.when(present & failed.isNotNull(), record))
+            if not collect:
+                blame = error("parallel_branches_branch_failed", F.concat_ws(": ", F.lit(name), failed["category"]), node.name)
+                err = F.coalesce(err, F.when(present & failed.isNotNull(), blame))
+        if collect and spec.errors_field:
+            got = F.filter(F.array(*records), lambda r: r.isNotNull()).cast(schema.fields[spec.errors_field].type)
+            more, bad = apply_partial(schema, writers, {spec.errors_field: got}, node.name)
+            fields |= more
+            err = F.coalesce(err, bad)
+        return fields, err
+
+    return once, finish
+
+
+def _branch_result(schema, state, b: Branch, name: str, value: Column | None) -> tuple[Mapping[str, Any], Column]:
     if b.call is not None:
         partial = b.call(state)
         _, failed = apply_partial(schema, state, {"!": partial["!"]} if "!" in partial else {}, name)
         return partial, failed
-    p = Explicit(b.inputs, b.outputs)
-    result = inline(b.graph, child_state(b.graph, {c: state[s] for c, s in p.inward(schema, b.graph.schema).items()}))
-    return {k: result[c] for k, c in p.outward(schema, b.graph.schema).items()}, result["_error"]
+    result = value[name]
+    return {k: result[c] for k, c in Explicit(b.inputs, b.outputs).outward(schema, b.graph.schema).items()}, result["_error"]
 
 
-def _fan_out_partial(schema, state: Mapping[str, Column], node: Node) -> tuple[dict[str, Column], Column]:
+def _fan_out(schema, state: Mapping[str, Column], node: Node) -> Step:
     spec, child = node.run, node.run.graph
-    err = no_error()
     if spec.concurrency is not None and spec.concurrency <= 0:
-        return {}, error("node_exception", "concurrency", node.name, "fan_out_invalid_concurrency")
-    if spec.items_field is not None:
-        items = F.coalesce(state[spec.items_field], F.array().cast(schema.fields[spec.items_field].type))
-        n = F.size(items)
-    else:
-        n = (spec.count(state) if callable(spec.count) else F.lit(spec.count)).cast("int")
-        err = F.when(F.coalesce(n, F.lit(-1)) < 0, error("node_exception", "count", node.name, "fan_out_invalid_count"))
-        n = F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))
-        items = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    if spec.on_empty == "raise":
-        err = F.coalesce(err, F.when(n == 0, error("node_exception", "no instances", node.name, "fan_out_empty")))
+        return None, lambda _: ({}, error("node_exception", "concurrency", node.name, "fan_out_invalid_concurrency"))
+    outs = {spec.target_field: spec.collect_field, **spec.extra_outputs}
 
     def instance(x: Column) -> Column:
         own = {c: state[p] for c, p in spec.inputs.items()}
@@ -123,27 +127,39 @@ def _fan_out_partial(schema, state: Mapping[str, Column], node: Node) -> tuple[d
             own[spec.item_field] = x
         return inline(child, child_state(child, own))
 
-    def partial_of(results: Column) -> Column:
-        failed = F.filter(F.transform(results, lambda r, i: F.struct(i.cast("string").alias("fan_out_index"), r["_error"]["category"].alias("category"))), lambda r: r["category"].isNotNull())
-        kept = F.filter(results, lambda r: r["_error"].isNull()) if spec.error_policy == "collect" else results
-        outs = {spec.target_field: spec.collect_field, **spec.extra_outputs}
-        return F.struct(
-            *(_gather(kept, c).alias(p) for p, c in outs.items()),
-            failed.alias("_failed"),
-            _first_error(results).alias("_first"),
-        )
-
-    got = let(F.transform(items, instance), partial_of)
-    partial: dict[str, Any] = {p: got[p] for p in (spec.target_field, *spec.extra_outputs)}
-    if spec.error_policy == "collect":
-        if spec.errors_field:
-            partial[spec.errors_field] = got["_failed"]
+    def gathered(n: Column, items: Column) -> Column:
+        def of(results: Column) -> Column:
+            failed = F.filter(F.transform(results, lambda r, i: F.struct(i.cast("string").alias("fan_out_index"), r["_error"]["category"].alias("category"))), lambda r: r["category"].isNotNull())
+            kept = F.filter(results, lambda r: r["_error"].isNull()) if spec.error_policy == "collect" else results
+            return F.struct(n.alias("_n"), *(_gather(kept, c).alias(p) for p, c in outs.items()), failed.alias("_failed"), _first_error(results).alias("_first"))
+
+        return let(F.transform(items, instance), of)
+
+    if spec.items_field is not None:
+        once = let(F.coalesce(state[spec.items_field], F.array().cast(schema.fields[spec.items_field].type)), lambda items: gathered(F.size(items), items))
     else:
-        err = F.coalesce(err, F.when(got["_first"].isNotNull(), error("node_exception", F.concat_ws(": ", got["_first"]["category"], got["_first"]["message"]), node.name)))
-    if spec.count_field:
-        partial[spec.count_field] = n
-    fields, bad = apply_partial(schema, state, partial, node.name)
-    return fields, F.coalesce(err, bad)
+        count = (spec.count(state) if callable(spec.count) else F.lit(spec.count)).cast("int")
+        once = let(count, lambda n: gathered(n, F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
+
+    def finish(got: Column) -> tuple[dict[str, Column], Column]:
+        err, n = no_error(), got["_n"]
+        if spec.items_field is None:
+            err = F.when(F.coalesce(n, F.lit(-1)) < 0, error("node_exception", "count", node.name, "fan_out_invalid_count"))
+            n = F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))
+        if spec.on_empty == "raise":
+            err = F.coalesce(err, F.when(n == 0, error("node_exception", "no instances", node.name, "fan_out_empty")))
+        partial: dict[str, Any] = {p: got[p] for p in outs}
+        if spec.error_policy == "collect":
+            if spec.errors_field:
+                partial[spec.errors_field] = got["_failed"]
+        else:
+            err = F.coalesce(err, F.when(got["_first"].isNotNull(), error("node_exception", F.concat_ws(": ", got["_first"]["category"], got["_first"]["message"]), node.name)))
+        if spec.count_field:
+            partial[spec.count_field] = n
+        fields, bad = apply_partial(schema, state, partial, node.name)
+        return fields, F.coalesce(err, bad)
+
+    return once, finish
 
 
 def _gather(results: Column, name: str) -> Column:
@@ -159,21 +175,24 @@ def child_state(graph: CompiledGraph, given: Mapping[str, Column]) -> Column:
     return F.struct(*((given[n].cast(f.type) if n in given else f.initial()).alias(n) for n, f in graph.schema.fields.items()))
 
 
-def updated(graph: CompiledGraph, node: Node, state: Mapping[str, Column]) -> tuple[dict[str, Column], Column]:
-    """A node's merged fields and error, as expressions over the state's columns."""
+def updated(graph: CompiledGraph, node: Node, state: Mapping[str, Column]) -> Step:
+    """What a node does to the state's columns."""
     if node.kind == "function":
         fn = node.run
         for m in (*node.middleware[::-1], *graph.middleware[::-1]):
             fn = m(fn)
-        return apply_partial(graph.schema, state, fn(state), node.name)
+        return None, lambda _: apply_partial(graph.schema, state, fn(state), node.name)
     if node.kind == "fan_out":
-        return _fan_out_partial(graph.schema, state, node)
+        return _fan_out(graph.schema, state, node)
     if node.kind == "branches":
-        return _branch_partial(graph.schema, state, node)
+        return _branches(graph.schema, state, node)
     p, child = node.run.projection, node.run.graph
-    result = inline(child, child_state(child, {c: state[s] for c, s in p.inward(graph.schema, child.schema).items()}))
-    fields, bad = apply_partial(graph.schema, state, {k: result[c] for k, c in p.outward(graph.schema, child.schema).items()}, node.name)
-    return fields, F.coalesce(result["_error"], bad)
+
+    def finish(result: Column) -> tuple[dict[str, Column], Column]:
+        fields, bad = apply_partial(graph.schema, state, {k: result[c] for k, c in p.outward(graph.schema, child.schema).items()}, node.name)
+        return fields, F.coalesce(result["_error"], bad)
+
+    return inline(child, child_state(child, {c: state[s] for c, s in p.inward(graph.schema, child.schema).items()})), finish
 
 
 def routed(graph: CompiledGraph, name: str, state: Mapping[str, Column]) -> tuple[Column, Column]:
@@ -202,7 +221,12 @@ def inline(graph: CompiledGraph, state: Column) -> Column:
     def step(name: str):
         def run(s: Column) -> Column:
             here = F.lit(True) if always else (s["_at"] == name) & s["_error"].isNull()
-            fields, err = updated(graph, graph.nodes[name], {n: s[n] for n in names})
+            once, finish = updated(graph, graph.nodes[name], {n: s[n] for n in names})
+            if once is None:
+                return after(s, here, *finish(None))
+            return let(once if always else F.when(here, once), lambda value: after(s, here, *finish(value)))
+
+        def after(s: Column, here: Column, fields: dict[str, Column], err: Column) -> Column:
 
             def place(v: Column) -> Column:
                 to, bad = routed(graph, name, {n: v[n] for n in names})
@@ -234,7 +258,10 @@ def _frame_step(graph: CompiledGraph, df: DataFrame, name: str, col: Mapping[str
     if node.kind == "subgraph":
         df, fields, failed, extra = _frame_subgraph(graph, df, node, col, pre, here, trace)
     else:
-        (fields, failed), extra = updated(graph, node, state), []
+        once, finish = updated(graph, node, state)
+        if once is not None:  # used more than once below, so the optimizer keeps it a column
+            df = df.withColumn(pre + "_once", F.when(here, once))
+        (fields, failed), extra = finish(None if once is None else F.col(pre + "_once")), [] if once is None else [pre + "_once"]
     df = df.withColumn(pre + "_new", F.when(here, failed))
     ok = here & F.col(pre + "_new").isNull()
     made = {col[n]: F.when(ok, new).otherwise(F.col(col[n])) for n, new in fields.items()}

@@ -164,3 +164,26 @@ def test_retry_isolation_and_short_circuit(spark):
     assert {r["k"]: r["v"] for r in result(spark, skip, rows, "k int").collect()} == {0: "ran", 1: "ran", 2: "ran", 3: "ran", 9: "skipped"}
     with pytest.raises(ValueError):
         retry(0)
+
+
+def test_instances_are_evaluated_once(spark):
+    """No output, error or count of a fan-out, branch or subgraph evaluates its child again."""
+
+    def leaf():
+        child = StateSchema({"item": Field("int"), "a": Field("string"), "b": Field("string")})
+        work = lambda s: {"a": F.sha1(s["item"].cast("string")), "b": "x", "!": Fail(s["item"] > 2, "big")}
+        return GraphBuilder(child).add_node("w", work).add_edge("w", END).set_entry("w").compile()
+
+    one = StateSchema({"items": Field("array<int>"), "as": Field("array<string>", []), "bs": Field("array<string>", []), "errors": Field("array<struct<fan_out_index:string,category:string>>", []), "n": Field("int", 0)})
+    spec = FanOut(leaf(), "as", "a", items_field="items", item_field="item", extra_outputs={"bs": "b"}, error_policy="collect", errors_field="errors", count_field="n", on_empty="noop")
+    inner = GraphBuilder(one).add_fan_out("f", spec).add_edge("f", END).set_entry("f").compile()
+    two = StateSchema({"lists": Field("array<array<int>>"), "as": Field("array<array<string>>", []), "ns": Field("array<int>", [])})
+    outer = FanOut(inner, "as", "as", items_field="lists", item_field="items", extra_outputs={"ns": "n"}, on_empty="noop")
+    nested = GraphBuilder(two).add_fan_out("g", outer).add_edge("g", END).set_entry("g").compile()
+    rows = spark.createDataFrame([(1, [1, 2, 3], [[1], [], [2, 3]])], "id int, items array<int>, lists array<array<int>>")
+    for graph, schema in ((inner, one), (nested, two)):
+        df = run(graph, schema.initial_state(rows, **({"items": "items"} if schema is one else {"lists": "lists"})))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+        assert df.first()["as"] is not None
+    got = run(nested, two.initial_state(rows, lists="lists")).first()
+    assert got["ns"] == [1, 0, 2] and [len(x) for x in got["as"]] == [1, 0, 1]
