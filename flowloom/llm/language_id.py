@@ -26,6 +26,8 @@ from .linear_text import bounded_sample, id_hash, text_sums
 
 BITS = 12
 EACH = 400
+#: Values of lang that are learned, the most frequent ones; documents to tell two families apart.
+LANGUAGES, FAMILY_ROWS = 64, 4000
 UNKNOWN = "und"
 
 #: Families of languages by ISO 639-1 code; others are families of their own.
@@ -72,8 +74,10 @@ def _vectors_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, offsets = text_buffers(batch.column(1))
         for i in range(0, batch.num_rows, 64):
             j = min(i + 64, batch.num_rows)
-            vecs = [_vector(data[offsets[k] : offsets[k + 1]]).tobytes() for k in range(i, j)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(vecs, pa.binary())], names=["lang", "vec"])
+            vecs = [_vector(data[offsets[k] : offsets[k + 1]]) for k in range(i, j)]
+            used = [np.flatnonzero(v).astype(np.int32) for v in vecs]
+            at, value = (pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (used, [v[u] for v, u in zip(vecs, used, strict=True)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), at, value], names=["lang", "at", "value"])
 
 
 def fit_pair(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 150) -> np.ndarray:
@@ -123,16 +127,27 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int = EACH) -> LanguageModel | None:
-    """A model from labelled documents; None if there are none."""
+    """A model from labelled documents; None if there are none.
+
+    The sample holds about `each` documents of each of the LANGUAGES most frequent values of
+    lang, as the features that they use; two families are told apart by FAMILY_ROWS of their
+    documents at most.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("key")
     )
-    sample = bounded_sample(labelled, "lang", each, "key").select("lang", "text").mapInArrow(_vectors_task, "lang string, vec binary")
-    rows = sorted((r["lang"], bytes(r["vec"])) for r in sample.toLocalIterator())
+    sample = bounded_sample(labelled, "lang", each, "key", LANGUAGES).select("lang", "text").mapInArrow(_vectors_task, "lang string, at binary, value binary")
+    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["value"])) for r in sample.toLocalIterator())
     if not rows:
         return None
-    x = np.vstack([np.frombuffer(v, np.float32) for _, v in rows])
-    langs = [name for name, _ in rows]
+
+    def dense(chosen: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(chosen), 2 << BITS), np.float32)
+        for i, k in enumerate(chosen):
+            x[i, np.frombuffer(rows[k][1], np.int32)] = np.frombuffer(rows[k][2], np.float32)
+        return x
+
+    langs = [r[0] for r in rows]
     languages = tuple(sorted(set(langs)))
     families = tuple(sorted({family_of(name) for name in languages}))
     lang_no = np.array([languages.index(name) for name in langs])
@@ -142,8 +157,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int =
         for a, b in combinations(range(len(names)), 2):
             if at or family_of(languages[a]) == family_of(languages[b]):
                 k = np.flatnonzero((numbers == a) | (numbers == b))
+                k = k[:: -(-len(k) // FAMILY_ROWS)]
                 pairs.append((at, a, b))
-                weights.append(fit_pair(x[k], np.where(numbers[k] == a, 1, -1).astype(np.float32)))
+                weights.append(fit_pair(dense(k), np.where(numbers[k] == a, 1, -1).astype(np.float32)))
     width = (2 << BITS) + 1
     return LanguageModel(languages, families, tuple(pairs), np.vstack(weights) if weights else np.zeros((0, width), np.float32))
 
@@ -180,7 +196,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Documents whose id falls into the held-out fold aren't learned from. Null texts, texts
     without a letter, and every text where nothing is labelled are `und` with score 0. A
-    null id belongs to the fold of the empty text. Equal texts get equal predictions.
+    null id belongs to the fold of the empty text. Equal texts get equal predictions; rows
+    that repeat an id are learned from once. An empty table gives no rows; other columns
+    aren't read. Long texts are read whole.
     """
     fold = id_hash(id_col) % folds == held_out
     model = fit(docs.where(~fold), id_col, text_col, lang_col, each)

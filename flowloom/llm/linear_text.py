@@ -19,15 +19,22 @@ def id_hash(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
 
-def bounded_sample(rows: DataFrame, by: str, each: int, key: str) -> DataFrame:
-    """About `each` rows at most of each value of `by`, picked by a hash of `key`.
+def bounded_sample(rows: DataFrame, by: str, each: int, key: str, values: int = 64) -> DataFrame:
+    """About `each` keys at most of each of the `values` most frequent values of `by`.
 
-    The rate of a value follows from its count over all rows, so the sample stays bounded
-    whatever the table's size; a value with fewer rows keeps them all.
+    Keys are picked by their hash. The rate of a value follows from its count over all rows,
+    so the sample stays bounded whatever the table's size; a value with fewer rows keeps them
+    all. Of rows with one key and one value the one with the smallest other columns stays,
+    so a key that holds many rows counts once.
     """
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    most = rows.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(values)
+    counts = {r[by]: r["count"] for r in most.collect()}
     if not counts:
-        return rows
+        return rows.limit(0)
     rate = F.create_map(*(F.lit(x) for v, n in counts.items() for x in (v, min(1.0, each / n))))
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(unit < F.element_at(rate, F.col(by)))
+    picked = rows.where(unit < F.element_at(rate, F.col(by)))
+    others = [c for c in rows.columns if c not in (by, key)]
+    if not others:
+        return picked.distinct()
+    return picked.groupBy(by, key).agg(F.min(F.struct(*others)).alias("_r")).select(by, key, "_r.*")

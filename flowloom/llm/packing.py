@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, words_of
+from .common import Scratch
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
+#: Fixed value: a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -> tuple[list[int], list[int]]:
@@ -72,9 +74,11 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     `length` and `cluster` are expressions; by default the number of words, and a hash of
     the text in lower case. A document without tokens (null or empty text) is one piece of
     length 0 in no bin (null). Rows that occur twice are in one cluster, so in two bins. A
-    null id is kept as it is. An empty table gives no rows.
+    null id is kept as it is. An empty table gives no rows; other columns aren't read. A very
+    long text is as many pieces as it fills bins. Items of equal length go in the order of
+    cluster, id and piece, so a packing doesn't change between runs.
     """
-    length = F.size(words_of(F.col(text_col).cast("string"))) if length is None else length
+    length = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)) if length is None else length
     cluster = F.when(F.col(text_col).isNotNull(), F.xxhash64(F.lower(F.col(text_col).cast("string")))) if cluster is None else cluster
     source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
     items = docs.select(F.col(id_col).cast("long").alias("id"), length.cast("long").alias("n"), source.alias("source"), cluster.alias("cluster"))
@@ -95,6 +99,26 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     return placed.unionByName(none)
 
 
+def packed_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The same by subword tokens, and with near duplicates as clusters.
+
+    Lengths are those of the SentencePiece encoding, a cluster is a component of the MinHash
+    operator. Both come by id, so ids should differ; rows that share one share its largest
+    length and smallest component.
+    """
+    from .minhash_dedup import near_duplicates
+    from .sentencepiece import encoded
+
+    scratch = Scratch(docs.sparkSession, "tokens")
+    lengths = scratch.save(encoded(docs, id_col=id_col, text_col=text_col).groupBy("id").agg(F.max("n_tokens").alias("_n")), "lengths")
+    clusters = near_duplicates(docs, id_col, text_col).where("n_shingles > 0").groupBy("id").agg(F.min("component_id").alias("_c"))
+    source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), source.alias("source"))
+    both = slim.join(lengths, F.col("_id").eqNullSafe(lengths["id"])).drop("id")
+    both = both.join(clusters, both["_id"].eqNullSafe(clusters["id"]), "left").select("_id", "source", "_n", "_c", F.lit("").alias("text"))
+    return packed(both, id_col="_id", source_col="source", length=F.col("_n"), cluster=F.col("_c"), **options)
+
+
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """Per piece of a document: doc_id, piece, n_tokens, bin_id, place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")

@@ -99,12 +99,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Weights (the last one is the bias) from labelled documents; None if there are none.
 
     `labels` must be the rows to learn from: they are sampled first (2 * each at most in the
-    mean), so what is broadcast to the documents is bounded.
+    mean), so what is broadcast to the documents is bounded. Ids with both labels are left out.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("label"))
+    known = known.groupBy("_k").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most").select("_k", "label")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    sample = F.broadcast(bounded_sample(known, "label", each, "_k").dropDuplicates(["_k"]))
-    rows = docs.join(sample, docs[id_col] == sample["_k"]).select("label", F.col(text_col).cast("string").alias("text"))
+    sample = F.broadcast(bounded_sample(known, "label", each, "_k"))
+    rows = docs.join(sample, docs[id_col] == sample["_k"]).groupBy("_k", "label").agg(F.min(F.col(text_col).cast("string")).alias("text")).select("label", "text")
     got = sorted((r["label"], bytes(r["at"]), bytes(r["value"])) for r in rows.mapInArrow(_sparse_task, "label int, at binary, value binary").toLocalIterator())
     if not got:
         return None
@@ -141,8 +142,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Labels of the held-out fold aren't learned from. Null and empty texts get the score of
     the bias alone. Without a label that is 0 or 1 every score is 0.5. Equal texts get equal
-    scores. A null id belongs to the fold of the empty text and has no label; where an id has
-    several labels, one of them is used.
+    scores. A null id belongs to the fold of the empty text and has no label; an id with
+    both labels isn't learned from, and one with several texts by the smallest only. An empty
+    table gives no rows; other columns aren't read. Long texts are read whole.
     """
     fold = id_hash(id_col) % folds == held_out
     weights = fit(docs, labels.where(~fold), id_col, text_col, label_col, each)

@@ -98,6 +98,37 @@ def test_packing_tables(spark):
     assert packing.packed(df.where("false")).count() == 0
 
 
+def test_shards_of_the_table_are_best_fits(spark):
+    """Each shard is replayed: longest first, each into the tightest compatible bin."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [r for r in packing.packed(docs, capacity=700, shard_rows=40).collect() if r["bin_id"] is not None]
+    assert sum(r["n_tokens"] for r in rows) == sum(len(re.findall(packing.WORD, t or "")) for t in text.values())
+    shards: dict[int, list] = {}
+    for r in rows:
+        shards.setdefault(r["bin_id"] >> 32, []).append(r)
+    assert len(shards) > 1
+    cluster = {(r["id"], r["c"]) for r in docs.selectExpr("doc_id AS id", "xxhash64(lower(text)) AS c").collect()}
+    cluster = dict(cluster)
+    for own in shards.values():
+        own.sort(key=lambda r: (-r["n_tokens"], cluster[r["id"]], r["id"], r["piece"]))
+        bins, places = packing.best_fit([r["n_tokens"] for r in own], [source[r["id"]] for r in own], [cluster[r["id"]] for r in own], 700)
+        assert [(r["bin_id"] & (2**32 - 1), r["place"]) for r in own] == list(zip(bins, places, strict=True))
+
+
+def test_packing_of_tokens_and_near_duplicates(spark):
+    from flowloom.llm import sentencepiece
+
+    v = sentencepiece.load()
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base, "a"), (2, base + " more", "b"), (3, "short text", "c"), (4, None, "d"), (5, "other short text", None)]
+    out = {r["id"]: r for r in packing.packed_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=500).collect()}
+    assert {k: r["n_tokens"] for k, r in out.items()} == {i: len(v.encode(t or "")) // 4 for i, t, _ in rows}
+    assert out[1]["bin_id"] != out[2]["bin_id"] and out[4]["bin_id"] is None  # near duplicates don't meet
+
+
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
 

@@ -201,3 +201,21 @@ def test_blocks_of_any_size_give_the_same_ids(vocabulary, monkeypatch):
         values, count = vocabulary.encode_many(data, offsets)
         assert values.tolist() == want and count.tolist() == [len(x) for x in library().encode(rows)]
         assert vocabulary.round_trips(data, offsets, values, count).all()
+
+
+def test_samples_are_bounded_and_settled(spark):
+    from flowloom.llm.linear_text import bounded_sample
+
+    rows = [(k % 4, k) for k in range(4000)] + [(9, 1)] * 500 + [(None, 2)] + [(100 + k, 5) for k in range(90)]
+    df = spark.createDataFrame(rows, "by int, key long").withColumn("text", F.col("key").cast("string"))
+    got = bounded_sample(df, "by", 100, "key", values=5).collect()
+    assert {r["by"] for r in got} <= {0, 1, 2, 3, 9} and len(got) < 600 and sum(r["by"] == 9 for r in got) <= 1
+
+
+def test_an_id_with_both_labels_is_not_learned_from(spark):
+    from flowloom.llm.quality_model import fit
+
+    docs = spark.createDataFrame([(1, "good words here"), (2, "bad $$ ##"), (3, "both of them"), (3, "both of them")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0), (1, 1)], "doc_id long, quality int")
+    plain = fit(docs.where("doc_id < 3"), labels.where("doc_id < 3"))
+    assert np.array_equal(fit(docs, labels), plain) and np.array_equal(fit(docs.repartition(3), labels.repartition(2)), plain)
