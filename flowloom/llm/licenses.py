@@ -45,9 +45,24 @@ NOTICES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("epl", "eclipse public license version 2 0", ("eclipse public license",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("without warranty of any kind express or implied", "noninfringement")),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses license 2 0",)),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("unless required by applicable law or agreed to in writing",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived from this software",)),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "either version 3 of the license")),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "either version 2 of the license")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license", "copy of the mpl")),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ("disclaims all warranties with regard to this software",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ("either in source code form or as a compiled binary",)),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty",)),
+    ("bsl", "distributed under the boost software license version 1 0", ("boost software license",)),
 )
 #: Words of the notices that are too common to be looked up.
-COMMON = frozenset("a all and any are by copy fee files for free in into is it of or person that the this to under use v with 0 2 3 4".split())
+COMMON = frozenset("a all an and any are arising as at author basis be but by can charge copy either extent fee file files for form free has held how if in into is it its kind later law made name names no nor not of on one or order own person possible program purpose related sell that the this to under unless use used v was will with without work writing you your 0 1 2 3 4".split())
 
 VOCABULARY = tuple(sorted({w for _, words, _ in NOTICES for w in words.split()} - COMMON))
 
@@ -139,7 +154,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null and empty texts have no words and no labels. score is 1 where a base phrase stands,
     else the largest accepted share of a notice's weight, else 0. Rows that occur twice get
-    equal results; ties between shifts don't matter, as only the largest weight counts.
+    equal results; ties between shifts don't matter, as only the largest weight counts. An
+    empty table gives no rows; columns of any name go through in `row`. A very long text is
+    one array of words of its task.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     weights = word_weights(docs.select(text.alias("text")))

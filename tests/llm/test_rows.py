@@ -54,6 +54,39 @@ def test_licence_scan_finds_every_notice_of_one_text(spark):
     assert got[len(rows) - 1] >= {label for label, _, _ in licenses.NOTICES}
 
 
+def plain_labels(text, weights):
+    """The method's labels, shift by shift."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UP))
+    joined, out = f" {' '.join(w)} ", {}
+    for label, words, phrases in licenses.NOTICES:
+        words = words.split()
+        rare = sorted({x for x in words if x in weights}, key=lambda x: (-weights[x], x))[: licenses.RARE]
+        total = sum(weights[x] for x in words if x in rare)
+        best = max((sum(weights[x] for i, x in enumerate(words) if x in rare and 0 <= s + i < len(w) and w[s + i] == x) for s in range(-len(words), len(w))), default=0)
+        if best >= licenses.AGREE * total - 1e-9 and all(f" {p} " in joined for p in phrases):
+            out[label] = max(out.get(label, 0), min(best / total, 1.0))
+    return out
+
+
+def test_licence_labels_match_plain_version(spark):
+    r = random.Random(4)
+    rows = [None, "", "license", *(words for _, words, _ in licenses.NOTICES)]
+    for _ in range(60):  # notices with words lost, changed and moved
+        w = r.choice(licenses.NOTICES)[1].split()
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(w))
+            w[k : k + r.randint(0, 1)] = r.choice([[], ["x"], ["License"], w[:2]])
+        rows.append(" ".join([*["some"] * r.randint(0, 5), *w, "end."]))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    weights = licenses.word_weights(df.select("text"))
+    got = {x["doc_id"]: x for x in licenses.scan(df).select("row.doc_id", "base_labels", "labels", "score").collect()}
+    for i, t in enumerate(rows):
+        want = plain_labels(t, weights)
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert got[i]["labels"] == ",".join(sorted(base | set(want)))
+        assert abs(got[i]["score"] - (1.0 if base else max(want.values(), default=0.0))) < 1e-9
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     r = random.Random(2)
     for _ in range(20):
