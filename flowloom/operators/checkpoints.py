@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CheckpointError
-from ..plans.graph import Migrations
+from ..plans.graph import CompiledGraph, Migrations
+from ..plans.program import WAS, inner_columns, run
+from ..sources.scratch import Scratch
 
 #: The columns of a checkpoint table; `state` is a struct or JSON.
 KEY, SEQUENCE = "invocation_id", "seq"
@@ -52,6 +54,51 @@ class CheckpointStore:
         self.save(row)
 
 
+    def saver(self, graph: CompiledGraph, df: DataFrame, invocation: str):
+        """What a run calls after each node: appends a record of every row that completed it.
+
+        A record has the next place (`at`), the path of the node, and the state as JSON, with
+        that of the subgraphs that the row is in. The frame is written before, so that saving
+        doesn't run earlier nodes again.
+        """
+        scratch, state, inner = Scratch(df.sparkSession, "saves"), list(graph.schema.fields), inner_columns(graph)
+        mark = "_saved"
+
+        def save(frame: DataFrame, path: list[str], completed: Column, drop: list[str]) -> DataFrame:
+            table = scratch.save(frame.withColumn(mark, completed).drop(*(c for c in drop if c in frame.columns and not c.endswith("_here"))))
+            # a row stands in the subgraphs on the path; what other columns hold is over
+            own = [c for c in inner if c in table.columns and c not in drop and any(c.startswith("__" + "__".join(path[:k])) for k in range(1, len(path)))]
+            whole = F.to_json(F.struct("_at", "_step", *state, *own), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+            records = table.where(mark).select(
+                F.col(invocation).cast("string").alias(self.key), F.col("_step").alias(self.sequence), F.lit("/".join(path)).alias("node"), F.lit(graph.schema.version).alias("schema_version"),
+                F.current_timestamp().alias("last_saved_at"), whole.alias("state"),
+            )
+            # inside a subgraph the outer step doesn't move: later nodes count as later saves
+            self.n = getattr(self, "n", 0) + 1
+            self.save(records.withColumn(self.sequence, F.lit(self.n).cast("long")))
+            return table.drop(mark)
+
+        return save
+
+
+def resume(graph: CompiledGraph, df: DataFrame, records: DataFrame, invocation: str, key: str = KEY, **options) -> DataFrame:
+    """Runs the rows of df: those with a record from where it was saved, the others whole.
+
+    df has the schema's columns; records are the latest of each invocation. State of
+    subgraphs that a row was in is taken up again, so only nodes after the saved one run.
+    """
+    inner = inner_columns(graph)
+    fields = {"_at": "string", **{n: f.type for n, f in graph.schema.fields.items()}, **inner}
+    kind = ", ".join(f"`{n}` {t}" for n, t in fields.items())
+    saved = records.select(F.col(key).alias("_key"), F.from_json("state", kind, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("_saved"))
+    both = df.join(saved, df[invocation].cast("string") == saved["_key"], "left")
+    have = F.col("_saved").isNotNull()
+    made = {n: F.when(have, F.col("_saved")[n]).otherwise(F.col(n)) for n in graph.schema.fields}
+    made |= {WAS + c: F.col("_saved")[c] for c in inner}
+    start = F.coalesce(F.col("_start"), F.lit(graph.entry))
+    return run(graph, both.withColumns({**made, "_start": F.col("_saved")["_at"]}).drop("_key", "_saved"), start=start, **options).drop("_start")
+
+
 def latest(saves: DataFrame, key: str = KEY, sequence: str = SEQUENCE) -> DataFrame:
     """The last save of each key, tombstones left out.
 

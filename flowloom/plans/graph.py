@@ -159,7 +159,7 @@ class FanOut:
     errors_field: str | None = None
     count_field: str | None = None
     on_empty: str = "raise"
-    concurrency: int | None = 10
+    concurrency: int | Callable[[State], Column] | None = 10
     degraded: Mapping[str, Any] | None = None
 
 

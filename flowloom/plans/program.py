@@ -117,7 +117,7 @@ def _branch_result(schema, state, b: Branch, name: str, value: Column | None) ->
 
 def _fan_out(schema, state: Mapping[str, Column], node: Node) -> Step:
     spec, child = node.run, node.run.graph
-    if spec.concurrency is not None and spec.concurrency <= 0:
+    if isinstance(spec.concurrency, int) and spec.concurrency <= 0:
         return None, lambda _: ({}, error("node_exception", "concurrency", node.name, "fan_out_invalid_concurrency"))
     outs = {spec.target_field: spec.collect_field, **spec.extra_outputs}
 
@@ -146,6 +146,8 @@ def _fan_out(schema, state: Mapping[str, Column], node: Node) -> Step:
         if spec.items_field is None:
             err = F.when(F.coalesce(n, F.lit(-1)) < 0, error("node_exception", "count", node.name, "fan_out_invalid_count"))
             n = F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))
+        if callable(spec.concurrency):
+            err = F.coalesce(err, F.when(spec.concurrency(state) <= 0, error("node_exception", "concurrency", node.name, "fan_out_invalid_concurrency")))
         if spec.on_empty == "raise":
             err = F.coalesce(err, F.when(n == 0, error("node_exception", "no instances", node.name, "fan_out_empty")))
         partial: dict[str, Any] = {p: got[p] for p in outs}
@@ -250,13 +252,13 @@ def inline(graph: CompiledGraph, state: Column) -> Column:
     return out
 
 
-def _frame_step(graph: CompiledGraph, df: DataFrame, name: str, col: Mapping[str, str], pre: str, trace: bool) -> DataFrame:
+def _frame_step(graph: CompiledGraph, df: DataFrame, name: str, col: Mapping[str, str], pre: str, trace: bool, saver=None) -> DataFrame:
     node = graph.nodes[name]
     at, err = F.col(pre + "_at"), F.col(pre + "_error")
     here = (at == name) & err.isNull()
     state = {n: F.col(c) for n, c in col.items()}
     if node.kind == "subgraph":
-        df, fields, failed, extra = _frame_subgraph(graph, df, node, col, pre, here, trace)
+        df, fields, failed, extra = _frame_subgraph(graph, df, node, col, pre, here, trace, saver)
     else:
         once, finish = updated(graph, node, state)
         if once is not None:  # used more than once below, so the optimizer keeps it a column
@@ -278,33 +280,58 @@ def _frame_step(graph: CompiledGraph, df: DataFrame, name: str, col: Mapping[str
             "_step": F.col("_step") + F.when(F.col(pre + "_here"), 1).otherwise(0) if node.kind != "subgraph" else F.col("_step"),
         }
     )
+    if saver is not None:
+        df = saver(df, [*pre.strip("_").split("__"), name] if pre else [name], ok & F.col(pre + "_error").isNull(), [pre + "_new", pre + "_here", *extra])
     return df.drop(pre + "_new", pre + "_here", *extra)
 
 
-def _frame_subgraph(graph, df, node: Node, col, pre, here, trace):
+def _frame_subgraph(graph, df, node: Node, col, pre, here, trace, saver=None):
     """A child graph on columns of its own beside the parent's: no lambda, full codegen."""
     p, child = node.run.projection, node.run.graph
-    own = f"{pre}_{node.name}"
+    own = f"{pre}__{node.name}"
     names = {n: f"{own}__{n}" for n in child.schema.fields}
     inward = p.inward(graph.schema, child.schema)
     first = {names[n]: (F.col(col[inward[n]]).cast(f.type) if n in inward else f.initial()) for n, f in child.schema.fields.items()}
-    df = df.withColumns({**first, own + "_at": F.when(here, F.lit(child.entry)).otherwise(F.lit(END)), own + "_error": no_error()})
+    begin = F.lit(child.entry)
+    if WAS + own + "_at" in df.columns:  # a resumed row goes on inside the child
+        inside = F.col(WAS + own + "_at")
+        first = {c: F.when(inside.isNotNull(), F.col(WAS + c)).otherwise(v) for c, v in first.items()}
+        begin = F.coalesce(inside, begin)
+    df = df.withColumns({**first, own + "_at": F.when(here, begin).otherwise(F.lit(END)), own + "_error": no_error()})
     order = child.order()
     if order is None:
         raise FlowError("node_exception", f"{node.name}: a cyclic graph can't be a subgraph")
     for n in order:
-        df = _frame_step(child, df, n, names, own, trace)
+        df = _frame_step(child, df, n, names, own, trace, saver)
     outward = p.outward(graph.schema, child.schema)
     fields, bad = apply_partial(graph.schema, {n: F.col(c) for n, c in col.items()}, {k: F.col(names[c]) for k, c in outward.items()}, node.name)
     return df, fields, F.coalesce(F.col(own + "_error"), bad), [*names.values(), own + "_at", own + "_error"]
 
 
-def run(graph: CompiledGraph, df: DataFrame, strict: bool = False, max_rounds: int = 100, trace: bool = False, start: Column | None = None) -> DataFrame:
+#: Prefix of the columns that hold where a resumed row stood inside subgraphs.
+WAS = "_was"
+
+
+def inner_columns(graph: CompiledGraph, pre: str = "") -> dict[str, str]:
+    """The columns that rows have while they are inside subgraphs, at any depth, with types."""
+    out: dict[str, str] = {}
+    for node in graph.nodes.values():
+        if node.kind == "subgraph":
+            own, child = f"{pre}__{node.name}", node.run.graph
+            out |= {own + "_at": "string", **{f"{own}__{n}": f.type for n, f in child.schema.fields.items()}, **inner_columns(child, own)}
+    return out
+
+
+def run(graph: CompiledGraph, df: DataFrame, strict: bool = False, max_rounds: int = 100, trace: bool = False, start: Column | None = None, invocation: str | None = None) -> DataFrame:
     """df with its state columns after the run, and `_at`, `_error`, `_step` (and `_path`).
 
     df must have the schema's columns (StateSchema.initial_state); other columns are kept.
-    `start` is where each row begins, the entry by default: a resumed row begins later.
+    `start` is where each row begins, the entry by default: a resumed row begins later. With
+    a checkpoint store on the graph and `invocation`, the column that names rows, every
+    completed node is saved, those inside subgraphs included (checkpoints.resume goes on
+    from there).
     """
+    saver = graph.checkpoints.saver(graph, df, invocation) if graph.checkpoints is not None and invocation is not None else None
     df = df.withColumns({"_at": start if start is not None else F.lit(graph.entry), "_error": no_error(), "_step": F.lit(0).cast("long")})
     if trace:
         df = df.withColumn("_path", F.array().cast("array<string>"))
@@ -312,9 +339,10 @@ def run(graph: CompiledGraph, df: DataFrame, strict: bool = False, max_rounds: i
     order = graph.order()
     if order is not None:
         for name in order:
-            df = _frame_step(graph, df, name, col, "", trace)
+            df = _frame_step(graph, df, name, col, "", trace, saver)
+        df = df.drop(*(c for c in df.columns if c.startswith(WAS)))
     else:
-        df = _rounds(graph, df, col, max_rounds, trace)
+        df = _rounds(graph, df, col, max_rounds, trace, saver)
     if strict:
         failed = df.where(F.col("_error").isNotNull()).select("_error").first()
         if failed is not None:
@@ -323,19 +351,26 @@ def run(graph: CompiledGraph, df: DataFrame, strict: bool = False, max_rounds: i
     return df
 
 
-def _rounds(graph: CompiledGraph, df: DataFrame, col, max_rounds: int, trace: bool) -> DataFrame:
-    """Rows that are done leave the loop at once; only those on their way are worked on."""
+def _rounds(graph: CompiledGraph, df: DataFrame, col, max_rounds: int, trace: bool, saver=None) -> DataFrame:
+    """Rows that are done leave the loop at once; only those on their way are worked on.
+
+    Of small graphs several rounds make one job. Each job's table is written to the shared
+    folder, with the number of rows that are still moving.
+    """
     scratch = Scratch(df.sparkSession, "rounds")
     moving = (F.col("_at") != END) & F.col("_error").isNull()
+    at_once = max(1, STEPS_A_JOB // len(graph.nodes)) if saver is None else 1
     done: list[DataFrame] = []
-    todo = df
-    for _ in range(max_rounds):
-        for name in graph.nodes:
-            todo = _frame_step(graph, todo, name, col, "", trace)
-        table = scratch.save(todo)
+    todo, left = df, max_rounds
+    while left > 0:
+        for _ in range(min(at_once, left)):
+            for name in graph.nodes:
+                todo = _frame_step(graph, todo, name, col, "", trace, saver)
+        left -= at_once
+        table, n = scratch.counted(todo, moving)
         done.append(table.where(~moving))
         todo = table.where(moving)
-        if not todo.limit(1).count():
+        if not n:
             break
     else:
         raise RunError("node_exception", f"rows are still moving after {max_rounds} rounds")
@@ -345,6 +380,10 @@ def _rounds(graph: CompiledGraph, df: DataFrame, col, max_rounds: int, trace: bo
     return out
 
 
+#: Steps of a cyclic graph that are planned as one job.
+STEPS_A_JOB = 12
+
+
 # ------------------------------------------------------------------ middleware
 
 

@@ -4,28 +4,29 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Scratch:
-    """Writes a table to spark.checkpoint.dir and reads it again; `drop` deletes it.
+    """Writes a table to spark.checkpoint.dir and reads it again.
 
-    Only where that setting is absent, as in tests, a folder below /tmp is used.
+    Only where that setting is absent and the session is a local one, as in tests, a folder
+    below /tmp is used; on a cluster each machine would write to a disk of its own.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints"
-        self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/flowloom/{name}-{uuid.uuid4().hex[:12]}", 0
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        self.spark, self.root, self.n = spark, f"{(base or 'file:/tmp/checkpoints').rstrip('/')}/flowloom/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        return self.counted(df, F.lit(True))[0]
+
+    def counted(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        """The table, and how many of its rows met a condition while it was written."""
         self.n += 1
-        path = f"{self.root}/{self.n:04d}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop_before(self) -> None:
-        """Deletes all tables but the last."""
-        jvm = self.spark.sparkContext._jvm
-        for k in range(1, self.n):
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{k:04d}")
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        path, seen = f"{self.root}/{self.n:04d}", Observation()
+        df.observe(seen, F.count_if(condition).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]

@@ -187,3 +187,53 @@ def test_instances_are_evaluated_once(spark):
         assert df.first()["as"] is not None
     got = run(nested, two.initial_state(rows, lists="lists")).first()
     assert got["ns"] == [1, 0, 2] and [len(x) for x in got["as"]] == [1, 0, 1]
+
+
+def _nested():
+    inner = StateSchema({"x": Field("int"), "log": Field("array<string>", [], R.APPEND)})
+    step = lambda n, fail: lambda s: {"x": s["x"] + 1, "log": F.array(F.lit(n)), "!": Fail(fail(s), n)}
+    never = lambda s: F.lit(False)
+    child = GraphBuilder(inner).add_node("a", step("a", never)).add_node("b", step("b", lambda s: s["x"] % 10 == 4)).add_edge("a", "b").add_edge("b", END).set_entry("a").compile()
+    return child, step, never
+
+
+def test_every_node_is_saved_and_rows_resume_inside_subgraphs(spark, tmp_path):
+    from flowloom.operators import checkpoints
+
+    child, step, never = _nested()
+    outer = StateSchema({"n": Field("int"), "trace": Field("array<string>", [], R.APPEND)}, version="v1")
+
+    def graph(store, fail=True):
+        sub = child if fail else GraphBuilder(child.schema).add_node("a", step("a", never)).add_node("b", step("b", never)).add_edge("a", "b").add_edge("b", END).set_entry("a").compile()
+        b = GraphBuilder(outer).add_node("first", lambda s: {"n": s["n"] + 1, "trace": F.array(F.lit("first"))})
+        b.add_subgraph("sub", sub, Explicit({"x": "n"}, {"n": "x", "trace": "log"})).add_node("last", lambda s: {"trace": F.array(F.lit("last"))})
+        b.add_edge("first", "sub").add_edge("sub", "last").add_edge("last", END).set_entry("first")
+        return (b.with_checkpoints(store) if store is not None else b).compile()
+
+    store = checkpoints.CheckpointStore(spark, str(tmp_path / "store"))
+    df = outer.initial_state(spark.createDataFrame([(i,) for i in range(6)], "id int"), n="id")
+    out = run(graph(store), df, invocation="id")
+    plain = run(graph(None), df)
+    assert sorted(out.select("id", "n", "trace", "_at").collect()) == sorted(plain.select("id", "n", "trace", "_at").collect())
+    nodes = {}
+    for r in store.all().orderBy("seq").collect():
+        nodes.setdefault(r["invocation_id"], []).append(r["node"])
+    assert nodes["0"] == ["first", "sub/a", "sub/b", "sub", "last"]
+    assert nodes["2"] == ["first", "sub/a"]  # 2 + 1 + 1 = 4 fails in b
+    again = checkpoints.resume(graph(None, fail=False), df, store.latest(), "id").collect()
+    got = {r["id"]: (r["n"], r["trace"], r["_step"]) for r in again}
+    assert got[2] == (5, ["first", "a", "b", "last"], 2) and got[0] == (3, ["first", "a", "b", "last"], 0)
+    # a row without a record runs whole
+    fresh = outer.initial_state(spark.createDataFrame([(77,)], "id int"), n="id")
+    assert checkpoints.resume(graph(None, fail=False), fresh, store.latest(), "id").first()["trace"] == ["first", "a", "b", "last"]
+
+
+def test_concurrency_of_a_fan_out_may_follow_the_state(spark):
+    child = StateSchema({"item": Field("int"), "out": Field("int")})
+    leaf = GraphBuilder(child).add_node("w", lambda s: {"out": s["item"] * 2}).add_edge("w", END).set_entry("w").compile()
+    parent = StateSchema({"items": Field("array<int>"), "k": Field("int"), "outs": Field("array<int>", [])})
+    spec = FanOut(leaf, "outs", "out", items_field="items", item_field="item", concurrency=lambda s: s["k"])
+    g = GraphBuilder(parent).add_fan_out("f", spec).add_edge("f", END).set_entry("f").compile()
+    rows = run(g, parent.initial_state(spark.createDataFrame([(1, [1, 2], 3), (2, [1], 0)], "id int, items array<int>, k int"))).collect()
+    got = {r["id"]: (r["outs"], r["_error"] and r["_error"]["fan_out_category"]) for r in rows}
+    assert got == {1: ([2, 4], None), 2: ([], "fan_out_invalid_concurrency")}
