@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ProviderError
@@ -102,8 +103,12 @@ def strict_supported(schema: Mapping) -> bool:
 
 
 def schema_violation(value, schema: Mapping, root: Mapping | None = None) -> str | None:
-    """The first place where a JSON value breaks a schema (type, enum, required, properties,
-    additionalProperties, items, bounds, lengths, anyOf, local $ref), or None."""
+    """The first place where a JSON value breaks a schema, or None.
+
+    Keywords: type, enum, const, required, properties, patternProperties, additionalProperties,
+    min/maxProperties, items, prefixItems, min/maxItems, uniqueItems, contains, bounds (exclusive
+    ones too), multipleOf, lengths, pattern, anyOf, allOf, oneOf, not, if/then/else, local $ref.
+    """
     root = root if root is not None else schema
     if "$ref" in schema:
         at = root
@@ -112,6 +117,17 @@ def schema_violation(value, schema: Mapping, root: Mapping | None = None) -> str
         return schema_violation(value, at, root)
     if "anyOf" in schema and all(schema_violation(value, s, root) for s in schema["anyOf"]):
         return "anyOf"
+    if "oneOf" in schema and sum(schema_violation(value, s, root) is None for s in schema["oneOf"]) != 1:
+        return "oneOf"
+    for s in schema.get("allOf", ()):
+        if bad := schema_violation(value, s, root):
+            return bad
+    if "not" in schema and schema_violation(value, schema["not"], root) is None:
+        return "not"
+    if "if" in schema:
+        side = "then" if schema_violation(value, schema["if"], root) is None else "else"
+        if bad := schema_violation(value, schema.get(side, {}), root):
+            return bad
     kinds = schema.get("type")
     if kinds is not None:
         ok = {
@@ -120,25 +136,56 @@ def schema_violation(value, schema: Mapping, root: Mapping | None = None) -> str
         }
         if not any(ok.get(k, False) for k in ([kinds] if isinstance(kinds, str) else kinds)):
             return "type"
-    if "enum" in schema and value not in schema["enum"]:
+    same = lambda a, b: type(a) is type(b) and a == b or isinstance(a, (int, float)) and isinstance(b, (int, float)) and not {bool} & {type(a), type(b)} and a == b
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         return "enum"
+    if "const" in schema and not same(value, schema["const"]):
+        return "const"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
             return "range"
+        if value <= schema.get("exclusiveMinimum", value - 1) or value >= schema.get("exclusiveMaximum", value + 1):
+            return "range"
+        step = schema.get("multipleOf")
+        if step and abs(value / step - round(value / step)) > 1e-9:
+            return "multipleOf"
     if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
         return "length"
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        return "pattern"
     if isinstance(value, dict):
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            return "properties"
         for name in schema.get("required", ()):
             if name not in value:
                 return f"required: {name}"
         props = schema.get("properties", {})
-        if schema.get("additionalProperties") is False and set(value) - set(props):
+        shaped = {name: [sub for p, sub in schema.get("patternProperties", {}).items() if re.search(p, name)] for name in value}
+        more, extra = schema.get("additionalProperties", True), [name for name in value if name not in props and not shaped[name]]
+        if more is False and extra:
             return "additionalProperties"
+        for name in extra if isinstance(more, Mapping) else ():
+            if bad := schema_violation(value[name], more, root):
+                return f"{name}: {bad}"
+        for name, subs in shaped.items():
+            for sub in subs:
+                if bad := schema_violation(value[name], sub, root):
+                    return f"{name}: {bad}"
         for name, sub in props.items():
             if name in value and (bad := schema_violation(value[name], sub, root)):
                 return f"{name}: {bad}"
-    if isinstance(value, list) and isinstance(schema.get("items"), Mapping):
-        for k, item in enumerate(value):
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return "items"
+        if schema.get("uniqueItems") and any(same(a, b) for i, a in enumerate(value) for b in value[:i]):
+            return "uniqueItems"
+        if "contains" in schema and all(schema_violation(x, schema["contains"], root) for x in value):
+            return "contains"
+        first = schema.get("prefixItems", ())
+        for k, (item, sub) in enumerate(zip(value, first, strict=False)):
+            if bad := schema_violation(item, sub, root):
+                return f"{k}: {bad}"
+        for k, item in enumerate(value[len(first) :] if isinstance(schema.get("items"), Mapping) else (), len(first)):
             if bad := schema_violation(item, schema["items"], root):
                 return f"{k}: {bad}"
     return None
@@ -173,9 +220,3 @@ def redacted_blocks(blocks: Column) -> Column:
             F.struct(b["type"].alias("type"), b["text"].alias("text"), F.lit(None).cast("long").alias("byte_count"))
         ),
     )
-
-
-def turn_gaps(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Turns with the turn before them, for checks of order."""
-    w = Window.partitionBy(conversation).orderBy(turn)
-    return messages.withColumn("previous_turn", F.lag(turn).over(w))

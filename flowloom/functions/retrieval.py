@@ -164,16 +164,3 @@ def stitched(responses: Sequence[Mapping], cap: int) -> dict:
         raise ProviderError("provider_invalid_response", "vectors differ in length")
     used = [r.get("tokens") for r in responses]
     return {"id": responses[0].get("id"), "model": responses[0].get("model"), "vectors": vectors, "tokens": None if None in used else sum(used)}
-
-
-def client_seam(call, schema: str):
-    """mapInPandas function for a provider client: call(texts) -> dict of columns, by batch.
-
-    The client is made on the executors; batches are what Arrow sends.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**call(pdf))
-
-    return run, re.sub(r"\s+", " ", schema)

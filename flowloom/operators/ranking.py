@@ -35,18 +35,23 @@ def result_error(results: DataFrame, query: str, index: str, n_documents: Column
     return g.select(query, bad.alias("error"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """The k most similar vectors of each query (stated set), ties to the lower id.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", max_queries: int = 10_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """The k most similar vectors of each query (a stated set), ties to the lower id.
 
-    The query set is counted, and must stay within max_queries: it is sent to every task, and
-    each task keeps k rows a query before anything is shuffled.
+    The queries are counted with their bytes and dealt to blocks of about max_queries and
+    block_bytes at most; each block is broadcast and meets all vectors, and each task keeps k rows a query before
+    anything is shuffled.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries; run them in parts")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")))
-    scored = vectors.crossJoin(q).select("query_id", F.col(id_col), cosine(F.col(vector_col), F.col("_q")).alias("score"))
-    return top_k(scored, "query_id", "score", id_col, k)
+    size = queries.agg(F.coalesce(F.sum(8 * F.size(vector_col) + 16), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-int(size["bytes"]) // block_bytes), -(-size["n"] // max_queries))
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+    out = None
+    for b in range(blocks):
+        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = vectors.crossJoin(F.broadcast(own)).select("query_id", F.col(id_col), cosine(F.col(vector_col), F.col("_q")).alias("score"))
+        top = top_k(scored, "query_id", "score", id_col, k)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def response_order(entries: DataFrame, request: str, index: str = "index") -> DataFrame:

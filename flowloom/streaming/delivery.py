@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +17,49 @@ def event_stream(spark: SparkSession, path: str, schema, files: str = "*.parquet
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(path)
 
 
-def deliver(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, phases=DEFAULT_PHASES, node_events: bool = False) -> StreamingQuery:
+class Sinks:
+    """Named sinks that may be attached and detached while a stream runs; a batch goes to
+    those that are attached when it comes."""
+
+    def __init__(self, sinks: dict[str, Callable[[DataFrame, int], None]] | None = None):
+        self._sinks, self._lock = dict(sinks or {}), threading.Lock()
+
+    def attach(self, name: str, sink: Callable[[DataFrame, int], None]) -> Callable[[], None]:
+        """Attaches a sink; what is returned detaches it (again and again without effect)."""
+        with self._lock:
+            self._sinks[name] = sink
+        return lambda: self.detach(name, sink)
+
+    def detach(self, name: str, sink: Callable[[DataFrame, int], None] | None = None) -> None:
+        with self._lock:
+            if sink is None or self._sinks.get(name) is sink:
+                self._sinks.pop(name, None)
+
+    def now(self) -> dict[str, Callable[[DataFrame, int], None]]:
+        with self._lock:
+            return dict(self._sinks)
+
+
+def deliver(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]] | Sinks, checkpoint: str, phases=DEFAULT_PHASES, node_events: bool = False, dead_letters: str | None = None) -> StreamingQuery:
     """Hands each micro-batch to all sinks; a sink's failure is recorded, the others still run.
 
     Batches repeat after a crash under the same number, so a sink that writes by batch number
-    writes once. Drain with processAllAvailable() or awaitTermination(seconds).
+    writes once. A batch that a sink fails on is lost to that sink, as an observer's error
+    mustn't stop the run; with dead_letters, a folder that all machines share, it is written
+    there below sink and batch number. Drain with drain().
     """
     failures: list[tuple[int, str, str]] = []
+    sinks = sinks if isinstance(sinks, Sinks) else Sinks(sinks)
 
     def hand_over(batch: DataFrame, number: int) -> None:
         batch.persist()
-        for name, sink in sinks.items():
+        for name, sink in sinks.now().items():
             try:
                 sink(batch, number)
             except Exception as e:  # noqa: BLE001  an observer's error is a warning, not the run's
                 failures.append((number, name, repr(e)))
+                if dead_letters is not None:
+                    batch.write.mode("overwrite").parquet(f"{dead_letters}/sink={name}/batch={number}")
         batch.unpersist()
 
     s = subscribed(stream, phases) if node_events else stream
@@ -39,6 +68,13 @@ def deliver(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]
     return q
 
 
+def drain(q: StreamingQuery, total: int, seconds: float | None = None) -> dict[str, int | bool]:
+    """Waits until all is delivered or the time is over: undelivered events of `total`, timed_out."""
+    ended = q.awaitTermination(seconds) if seconds is not None else (q.awaitTermination(), True)[1]
+    done = sum(p["numInputRows"] for p in q.recentProgress)
+    return {"undelivered": max(0, total - done), "timed_out": not ended}
+
+
 def windowed_counts(stream: DataFrame, at: str, late: str, width: str, *dims: str) -> DataFrame:
     """Counts in tumbling windows with a watermark: state older than `late` is dropped."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), *dims).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *dims, "n")

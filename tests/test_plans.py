@@ -139,3 +139,17 @@ def test_schema_violations():
     assert M.schema_violation({"n": 1, "xs": ["a"]}, s) is None
     for bad in ({}, {"n": True}, {"n": 0}, {"n": 1, "xs": ["b"]}, {"n": 1, "y": 2}, [], {"n": "1"}):
         assert M.schema_violation(bad, s)
+
+
+def test_more_schema_keywords():
+    check = M.schema_violation
+    for schema, good, bad in (
+        ({"const": 1}, [1, 1.0], [True, "1", 2]), ({"enum": [1, "a"]}, [1, "a"], [True, None]), ({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, [3, 5.5], [7, 2.5]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 3}]}, [1, 3], [0, 4]), ({"not": {"type": "string"}}, [1], ["a"]), ({"if": {"type": "string"}, "then": {"minLength": 2}, "else": {"minimum": 2}}, ["ab", 2], ["a", 1]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, [2], [1, 3]), ({"multipleOf": 0.1}, [0.3, 2], [0.25]), ({"pattern": "^a+$"}, ["aa", 3], ["ab"]),
+        ({"minItems": 1, "maxItems": 2, "uniqueItems": True}, [[1], [1, True]], [[], [1, 1], [1, 2, 3]]), ({"contains": {"const": 1}}, [[0, 1]], [[0]]),
+        ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, [["a", 1], []], [[1], ["a", "b"]]), ({"minProperties": 1, "maxProperties": 1}, [{"a": 1}], [{}, {"a": 1, "b": 2}]),
+        ({"patternProperties": {"^n": {"type": "integer"}}, "additionalProperties": False}, [{"n1": 1}], [{"n1": "x"}, {"x": 1}]), ({"additionalProperties": {"type": "string"}}, [{"a": "b"}], [{"a": 1}]),
+    ):
+        assert all(check(v, schema) is None for v in good), schema
+        assert all(check(v, schema) for v in bad), schema

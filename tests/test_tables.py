@@ -131,8 +131,10 @@ def test_cosine_of_zero_vectors_and_query_bound(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "vec_id int, embedding array<float>")
     got = {r["vec_id"]: r["score"] for r in nearest(df, df.where("vec_id = 1"), 3).collect()}
     assert got[1] == 1.0 and got[2] == 0.0 and abs(got[3] - 0.5**0.5) < 1e-12
-    with pytest.raises(ValueError):
-        nearest(df, df, 1, max_queries=2)
+    # more queries than a block takes go through in blocks
+    whole = sorted(tuple(r) for r in nearest(df, df, 2).collect())
+    assert len(whole) == 6 and sorted(tuple(r) for r in nearest(df, df, 2, max_queries=1).collect()) == whole
+    assert sorted(tuple(r) for r in nearest(df, df, 2, block_bytes=40).collect()) == whole
 
 
 def test_rerank_errors(spark):
@@ -183,3 +185,73 @@ def test_attempts_stop_at_permanent_failures(spark):
     got = {r["k"]: (r["attempt"], r["succeeded"]) for r in outcome(df, "k", "n", F.col("s") != "ok", F.col("s") == "busy").collect()}
     assert got == {"a": (1, True), "b": (0, False), "c": (2, False), "d": (0, False)}
     assert isolated(df, F.col("s") == "denied", {"s": F.lit("degraded")}).where("isolated").first()["s"] == "degraded"
+
+
+def test_sinks_come_and_go_and_lost_batches_are_kept(spark, tmp_path):
+    from flowloom.streaming.delivery import Sinks, drain
+
+    src = str(tmp_path / "events")
+    spark.createDataFrame([(k,) for k in range(6)], "id int").write.parquet(src)
+    seen: list[int] = []
+
+    def bad(batch, number):
+        raise RuntimeError("sink")
+
+    sinks = Sinks({"bad": bad})
+    gone = sinks.attach("gone", lambda b, n: seen.append(-1))
+    sinks.attach("good", lambda b, n: seen.append(b.count()))
+    gone()
+    gone()
+    q = deliver(event_stream(spark, src, "id int"), sinks, str(tmp_path / "cp"), dead_letters=str(tmp_path / "dead"))
+    assert drain(q, 8, 60) == {"undelivered": 2, "timed_out": False}
+    assert sum(seen) == 6 and spark.read.parquet(str(tmp_path / "dead")).where("sink = 'bad'").count() == 6
+
+
+@pytest.mark.parametrize(
+    ("template", "want"),
+    [
+        ("{{ a }}-{{ n + 1 }}", "x-3"), ("{% if n > 1 and not flag %}yes{% else %}no{% endif %}", "yes"), ("{% for x in xs %}{{ loop.index0 }}{{ x }}{% if not loop.last %},{% endif %}{% endfor %}", "0p,1q"),
+        ("{% for x in none_ %}{{ x }}{% else %}nothing{% endfor %}", "nothing"), ("{{ a|upper|replace('X', 'y') }}", "y"), ("{{ m.k }}{{ m['k'] }}", "vv"), ("{{ xs[1] }}{{ xs|join('+') }}", "qp+q"),
+        ("a {%- if flag -%} b {%- endif -%} c", "ac"), ("{# note #}{{ missing_|default('d') }}{{ missing_ }}", "d"), ("{% if a == 'x' or n == 9 %}{{ 'q' in xs }}{% endif %}", "true"),
+        ("{% for x in xs %}{% for y in xs %}{{ x ~ y }} {% endfor %}{% endfor %}", "pp pq qp qq "), ("{{ (n + 1) * 2 }} {{ 7 / 2 }}", "6 3.5"), ("plain", "plain"), ("", ""),
+    ],
+)
+def test_template_language(spark, template, want):
+    from flowloom.functions.templates import rendered_template
+
+    none = F.lit(None).cast("array<string>")
+    scope = {
+        "a": F.lit("x"), "n": F.lit(2), "flag": F.lit(False), "xs": F.array(F.lit("p"), F.lit("q")), "none_": none, "m": F.create_map(F.lit("k"), F.lit("v")), "missing_": F.lit(None).cast("string"),
+    }
+    assert spark.range(1).select(rendered_template(template, **scope).alias("t")).first()["t"] == want
+
+
+@pytest.mark.parametrize("template", ["{{ nope }}", "{% if a %}", "{% for x %}{% endfor %}", "{{ a|nope }}", "{{ a + }}", "{% include 'x' %}", "{{ (a }}"])
+def test_templates_that_are_refused(template):
+    from flowloom.errors import PromptError
+    from flowloom.functions.templates import rendered_template
+
+    with pytest.raises(PromptError):
+        rendered_template(template, a=F.lit("x"))
+
+
+def test_providers_fail_by_request(spark):
+    from flowloom.errors import ProviderError
+    from flowloom.operators.providers import embedded, reranked
+
+    def embed(texts):
+        if "bad" in texts:
+            raise ProviderError("provider_rate_limit", "busy")
+        return [(i, [1.0]) for i in range(len(texts))] if "odd" not in texts else [(0, [1.0])] * 2
+
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "bad"), (3, "c"), (4, "odd"), (5, "d"), (6, None)], "id int, t string").coalesce(1)
+    got = {r["id"]: (r["vector"], r["category"]) for r in embedded(rows, embed, "id", "t", 2, attempts=2).collect()}
+    assert got[0] == got[1] == ([1.0], None) and got[2] == got[3] == (None, "provider_rate_limit")
+    assert got[4] == (None, "provider_invalid_response") and got[6] == (None, "provider_invalid_request")
+
+    def rank(query, documents):
+        return [(k, float(len(x))) for k, x in enumerate(documents)] if query == "q" else [(0, 1.0), (0, 2.0)]
+
+    lists = spark.createDataFrame([(1, "q", ["aa", "b", "cc", "dddd"]), (2, "r", ["a"]), (3, "q", []), (4, None, ["a"])], "id int, q string, docs array<string>")
+    out = sorted((r["id"], r["rank"] or 0, r["index"], r["category"]) for r in reranked(lists, rank, "id", "q", "docs", 3, 3).collect())
+    assert out == [(1, 1, 3, None), (1, 2, 0, None), (1, 3, 2, None), (2, 0, None, "provider_invalid_response"), (3, 0, None, "provider_invalid_request"), (4, 0, None, "provider_invalid_request")]
