@@ -370,3 +370,32 @@ def test_pipeline_runs_and_rereads(spark):
 def test_stage_on_an_empty_table(spark, name):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, "").count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, name):
+    """Nulls in every column, empty and long texts, repeated rows and columns of clashing names."""
+    r = random.Random(12)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(n))
+    one, two, long = prose(90), prose(120), prose(30_000)
+    texts = [(1, one), (1, one), (None, one), (None, None), (2, None), (3, ""), (4, " \n"), (5, two + " a@b.co"), (None, two + " a@b.co x"), (6, long), (7, "short"), (8, prose(60)), (None, prose(70))]
+    clash = ["row", "m", "v", "kept", "id", "n", "rep", "band", "anchor", "key", "base", "spans", "clean", "some", "quality", "place", "_t", "_gone"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    df = spark.createDataFrame([(i, t, None, None if k % 3 else "s", None if t is None else len(t), *[None if k % 2 else c for c in clash]) for k, (i, t) in enumerate(texts)], kind)
+    out = dict(corpus_pipeline.STAGES)[name](spark, df, "")
+    rows = out.collect()
+    if name == "packing":
+        assert out.columns == ["doc_id", "piece", "n_tokens", "bin_id", "place"]
+        assert sum(x["n_tokens"] for x in rows) == sum(len(re.findall(packing.WORD, t or "")) for _, t in texts)
+        assert sum(x["bin_id"] is None for x in rows) == 4
+        return
+    assert out.columns == df.columns and all(x[c] in (None, c) for x in rows for c in clash)
+    got = Counter((x["doc_id"], x["text"]) for x in rows)
+    if name == "quality_rules":
+        assert sum(got.values()) == len([1 for _, t in texts if t and len(t.split()) >= 50]) and not [t for _, t in got if not t]
+    elif name == "near_dedup":
+        assert got[(1, one)] == 1 and (None, one) not in got and got[(None, None)] == got[(2, None)] == 1 and (5, two + " a@b.co") in got and len(got) == sum(got.values()) == 10
+    elif name == "substring_dedup":
+        assert len(rows) == len(texts) and got[(1, "")] == 2 and got[(None, "")] == 1 and got[(6, long)] == 1 and got[(2, None)] == 1
+    else:
+        assert len(rows) == len(texts) and not [t for _, t in got if t and "@" in t] and got[(2, None)] == 1
