@@ -173,7 +173,11 @@ def _predict_task(model):
             letters = batch.column(3).to_numpy(zero_copy_only=False)
             for i, j in chunks(offsets):
                 part, first = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                two, three = _grams(part)
+                # two blanks behind each text, so that its last bytes don't meet the next one's
+                at = np.arange(len(part)) + 2 * np.repeat(np.arange(j - i), np.diff(first))
+                apart = np.full(len(part) + 2 * (j - i), 32, np.uint8)
+                apart[at] = part
+                two, three = (g[at] for g in _grams(apart))
                 length = np.maximum(np.diff(first), 1)
                 margins = np.empty((j - i, len(m.pairs)))
                 for k, w in enumerate(m.weights):

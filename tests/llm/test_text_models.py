@@ -219,3 +219,78 @@ def test_an_id_with_both_labels_is_not_learned_from(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0), (1, 1)], "doc_id long, quality int")
     plain = fit(docs.where("doc_id < 3"), labels.where("doc_id < 3"))
     assert np.array_equal(fit(docs, labels), plain) and np.array_equal(fit(docs.repartition(3), labels.repartition(2)), plain)
+
+
+def odd_texts():
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcXYZ019é日-,.$") for _ in range(r.randint(1, 9)))
+    return ["", "a", " lead  and\ttabs ", "Same same SAME same", "é", *(r.choice([" ", "\n"]).join(word() for _ in range(r.randint(1, 60))) for _ in range(60))]
+
+
+def test_language_scores_match_a_plain_version(spark):
+    from flowloom.llm import language_id as L
+
+    rng = np.random.default_rng(5)
+    languages, families = ("de", "en", "es", "fr"), ("germanic", "romance")
+    pairs = ((True, 0, 1), (False, 0, 1), (False, 2, 3))
+    weights = rng.normal(size=(3, (2 << L.BITS) + 1)).astype(np.float32) * 0.1
+    model = L.LanguageModel(languages, families, pairs, weights)
+
+    def plain(text):
+        b = [ord(" ") if c < 128 and not chr(c).isalpha() else c + 32 if 65 <= c <= 90 else c for c in text.encode()] + [32, 32]
+        margins = []
+        for w in weights.astype(float):
+            total = 0.0
+            for i in range(len(b) - 2):
+                two = (b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA6B) % 2**32
+                three = (two + b[i + 2] * 0xC2B2AE35) % 2**32
+                at = [(((x ^ (x >> 15)) * 0x2C1B3C6D) % 2**32) >> (32 - L.BITS) for x in (two, three)]
+                total += w[at[0]] + w[(1 << L.BITS) + at[1]]
+            margins.append(w[-1] + 100 / max(len(b) - 2, 1) * total)
+        chance = [1 / (1 + np.exp(-4 * m)) for m in margins]
+        family, p = (0, chance[0]) if chance[0] > 0.5 else (1, 1 - chance[0])
+        k = 1 + family
+        lang, q = (2 * family, chance[k]) if chance[k] > 0.5 else (2 * family + 1, 1 - chance[k])
+        return languages[lang], p * q
+
+    rows = odd_texts()
+    df = spark.createDataFrame([(i, False, t, True) for i, t in enumerate(rows)], "id long, held_out boolean, text string, letters boolean").coalesce(1)
+    got = df.mapInArrow(L._predict_task(spark.sparkContext.broadcast(model)), "id long, held_out boolean, lang_pred string, score double").collect()
+    for r in got:
+        lang, score = plain(rows[r["id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+
+
+def test_quality_scores_match_a_plain_version(spark):
+    from flowloom.llm import quality_model as Q
+
+    weights = np.random.default_rng(6).normal(size=(1 << Q.BITS) + 1).astype(np.float32)
+    top = 2**64
+
+    def mixed(x, seed=0):
+        x = (x + seed * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) % top
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % top
+        return x ^ (x >> 31)
+
+    def hashed(values, seed=0):
+        return mixed(sum((v + 1) * pow(0x9E3779B97F4A7C15, i, top) for i, v in enumerate(values)) % top, seed)
+
+    def kind(c):
+        return 97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
+
+    def plain(text):
+        words, total, last, shape_last = text.encode().split(), 0.0, 0, 0
+        for w in words:
+            kinds = [kind(c) for c in w]
+            shape = hashed([k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k], 5)
+            h = hashed(w)
+            grams = (h, mixed(last, 1) ^ h, shape, mixed(shape_last, 2) ^ shape, int(last == h))
+            total += sum(float(weights[mixed(x, 31 + k) >> (64 - Q.BITS)]) for k, x in enumerate(grams))
+            last, shape_last = h, shape
+        return 1 / (1 + np.exp(-(float(weights[-1]) + total / max(len(words), 1))))
+
+    rows = odd_texts()
+    df = spark.createDataFrame([(i, False, t) for i, t in enumerate(rows)], "id long, held_out boolean, text string").coalesce(1)
+    got = df.mapInArrow(Q._score_task(spark.sparkContext.broadcast(weights)), "id long, held_out boolean, score double").collect()
+    assert all(abs(r["score"] - plain(rows[r["id"]])) < 1e-6 for r in got)
