@@ -52,6 +52,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows that a Python worker is sent at a time while a table is written: rows with texts or
+#: sets are several KB, and either side of the pipe holds a batch or two.
+BATCH, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 class Scratch:
     """Writes tables to the shared folder and reads them again, which cuts lineage.
 
@@ -71,7 +76,13 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         seen = Observation() if counts else None
-        (df.observe(seen, *(F.count_if(c).alias(k) for k, c in counts.items())) if counts else df).write.mode("overwrite").parquet(path)
+        seen_df = df.observe(seen, *(F.count_if(c).alias(k) for k, c in counts.items())) if counts else df
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(ROWS_A_BATCH, int(before)) if int(before) > 0 else ROWS_A_BATCH))
+        try:
+            seen_df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         out.counted = seen.get if counts else {}
@@ -210,6 +221,20 @@ def small_batches(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.Record
         yield batch.slice(i, rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows each."""
+    held, size = [], 0
+    for batch in batches:
+        for part in small_batches(batch, rows):
+            held.append(part)
+            size += part.num_rows
+            if size >= rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 # ---------------------------------------------------------------- components
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, chunks, components, contracted, mix, rolling, text_buffers
+from .common import U64, Scratch, Words, chunks, components, contracted, gathered, mix, rolling, text_buffers
 
 SHINGLE, PERCENT = 5, 75
 BANDS, BAND_ROWS = 32, 4
@@ -134,7 +134,7 @@ def _band_task(bands: int):
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, CHUNK_CLASSES) for b in batches for i in range(0, b.num_rows, CHUNK_CLASSES)):
+        for batch in gathered(batches, CHUNK_CLASSES):
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
             key = band_keys(regs, bands).ravel().view(np.int64)
             rep = np.repeat(batch.column(0).to_numpy(), bands)
