@@ -14,7 +14,8 @@ are linked if 100 * |intersection| >= percent * |union|.
    ALL_PAIRS members; of wider ones each member and the smallest. Then, only where a wide
    bucket still holds several components, the members of different components meet: pairwise
    in small buckets, and in large ones in blocks of about BLOCK by BLOCK that compare full
-   sets and let nothing but links between components out.
+   sets and let nothing but links between components out; there the members of the bucket's
+   largest component meet the others only.
 4. A pair's registers and sets come together once: its similarity is estimated by maximum
    likelihood from the numbers of larger, equal and smaller registers and the two sizes;
    pairs far below the limit go, and the others are verified on the full sets.
@@ -266,12 +267,12 @@ def _link_task(percent: int):
 def _block_task(percent: int, bands: int):
     """applyInArrow on a pair of blocks of one bucket: (a, b), linked components.
 
-    A pair that shares several buckets is compared in the one of its first shared band.
+    Rows of side 0 meet those of side 1. A pair that shares several buckets is compared in the one of its first shared band.
     """
 
     def task(t: pa.Table) -> pa.Table:
         side, comp, n = (t.column(c).to_numpy() for c in ("side", "comp", "n"))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
         if len(left) and len(right):
             band = t.column("band")[0].as_py()
@@ -395,19 +396,30 @@ def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, p
         inside = seen.join(mixed, "band", "left_semi").select("band", F.explode(both).alias("m")).select("band", "m.rep", "m.comp").distinct()
         sized = inside.join(cls.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n")), "rep")
         sized = scratch.save(sized, "mixed")
-        sizes = sized.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+        parts = sized.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+        first = F.struct("m", "comp")  # a bucket's largest component: its members needn't meet each other
+        sizes = parts.groupBy("band").agg(
+            F.sum("m").alias("size"), F.sum("t").alias("total"), F.max_by("comp", first).alias("main"), (F.sum("m") - F.max("m")).alias("others"), (F.sum("t") - F.max_by("t", first)).alias("rest")
+        )
         left = scratch.save(sized.join(sizes, "band"), "sized", many=F.col("size") > SMALL)
         few = left.where(F.col("size") <= SMALL)
         one, two = (few.select("band", F.col("rep").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
         found = linked(one.join(two, "band").where("a < b and ca <> cb").select("a", "b", "ca", "cb").repartition("b").dropDuplicates(["a", "b"]))
         if left.counted["many"]:
-            # blocks are bounded in members and in shingles
-            blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-            wide = left.where(F.col("size") > SMALL).drop("n").join(sets, "rep").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-            dealt = wide.select("band", "comp", "n", "regs", "set", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
-                "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "comp", "n", "regs", "set",
-                F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-            )
+            # blocks are bounded in members and in shingles; members of other components than
+            # the largest meet all members: p numbers blocks of members, q blocks of the others
+            def blocks(n: str, shingles: str):
+                return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+            def own(k: str, seed: int):
+                return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(k)).cast("int")
+
+            wide = left.where(F.col("size") > SMALL).drop("n").withColumns({"kp": blocks("size", "total"), "kq": blocks("others", "rest")})
+            wide = wide.withColumns({"p": own("kp", 1), "q": own("kq", 2)})
+            place = lambda p, q, side: F.struct(p.alias("p"), q.alias("q"), F.lit(side).alias("side"))
+            member = F.transform(F.sequence(F.lit(0), F.col("kq") - 1), lambda x: place(F.col("p"), x, 1))
+            other = F.when(F.col("comp") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("kp") - 1), lambda x: place(x, F.col("q"), 0))).otherwise(F.array().cast("array<struct<p:int,q:int,side:int>>"))
+            dealt = wide.join(sets, "rep").select("band", "comp", "n", "regs", "set", F.explode(F.concat(member, other)).alias("at")).select("band", "at.*", "comp", "n", "regs", "set")
             found = found.unionByName(dealt.groupBy("band", "p", "q").applyInArrow(_block_task(percent, bands), "a long, b long"))
         joined = components(found, scratch, roots=False).select(F.col("id").alias("component"), F.col("component").alias("joined"))
         comp = comp.join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))

@@ -299,3 +299,39 @@ def test_graph_recall():
     true = np.argsort(-(v[:200] @ v.T), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, true, strict=True)]) > 0.9
     assert (np.diff(sims, axis=1) <= 0).all()
+
+
+def test_large_mixed_buckets_are_compared_in_blocks(spark):
+    """Groups around bases that are near each other: stars leave several components in wide buckets."""
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for _ in range(220):
+        c = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            c[r.randrange(120)] = f"v{r.randrange(10**6)}"
+        rows.append(" ".join(c))
+    r.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in near_duplicates(df).collect()) == brute_near(rows)
+
+
+@pytest.mark.parametrize("cut", [1, 40])
+def test_block_task_finds_all_links_between_components(cut):
+    from flowloom.llm import minhash_dedup as N
+
+    r = np.random.default_rng(9)
+    base = r.integers(0, 2**62, 100).astype(np.uint64)
+    sets = [np.sort(np.r_[base[: 100 - k], r.integers(0, 2**62, k).astype(np.uint64)]) for k in r.integers(0, 12, 60)]
+    regs = [N.registers(s, np.array([0, len(s)]), 8)[0] for s in sets]
+    regs = [regs[0]] * 60  # all in one bucket
+    comp = np.where(np.arange(60) < cut, 0, np.arange(60))
+    band = int(N.band_keys(np.stack(regs[:1]), 2).view(np.int64)[0, 0])
+    side = [1] * 60 + [0] * (60 - cut)
+    at = [*range(60), *range(cut, 60)]
+    t = pa.table({
+        "band": [band] * len(at), "side": side, "comp": comp[at], "n": [100] * len(at), "regs": [regs[k].tobytes() for k in at], "set": [sets[k].tobytes() for k in at],
+    })
+    got = N._block_task(75, 2)(t).to_pydict()
+    links = {(int(comp[i]), int(comp[j])) for i in range(cut, 60) for j in range(60) if comp[i] != comp[j] and 400 * len(np.intersect1d(sets[i], sets[j])) >= 300 * len(np.union1d(sets[i], sets[j]))}
+    assert set(zip(got["a"], got["b"], strict=True)) == links
