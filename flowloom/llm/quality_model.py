@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _INV, _ODD, U64, Words, chunks, mix, powers, text_buffers
-from .linear_text import bounded_sample, id_hash, text_sums
+from .linear_text import id_hash, labelled_sample, text_sums
 
 BITS = 18
 EACH = 1200
@@ -98,14 +98,9 @@ class Ftrl:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = EACH, rounds: int = 6) -> np.ndarray | None:
     """Weights (the last one is the bias) from labelled documents; None if there are none.
 
-    `labels` must be the rows to learn from: they are sampled first (2 * each at most in the
-    mean), so what is broadcast to the documents is bounded. Ids with both labels are left out.
+    `labels` must be the rows to learn from. Ids with both labels are left out.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("label"))
-    known = known.groupBy("_k").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most").select("_k", "label")
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    sample = F.broadcast(bounded_sample(known, "label", each, "_k"))
-    rows = docs.join(sample, docs[id_col] == sample["_k"]).groupBy("_k", "label").agg(F.min(F.col(text_col).cast("string")).alias("text")).select("label", "text")
+    rows, sizes = labelled_sample(docs, labels, id_col, text_col, label_col, each)
     got = sorted((r["label"], bytes(r["at"]), bytes(r["value"])) for r in rows.mapInArrow(_sparse_task, "label int, at binary, value binary").toLocalIterator())
     if not got:
         return None

@@ -16,6 +16,7 @@ from .quality_model import op8_quality_classifier
 from .quality_rules import op9_quality_rules
 from .sentencepiece import op7_sentencepiece
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .toxicity import op12_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op12_toxicity": op12_toxicity,
 }
 
 ORACLES: dict[str, str] = {
