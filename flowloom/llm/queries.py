@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversations import OP11_SQL, op11_conversation_repair
 from .embedding_dedup import OP3_SQL, op3_embedding_near_dedup
 from .language_id import op4_language_id
 from .licenses import op5_license_scan
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_toxicity": op12_toxicity,
 }
 
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_minhash_near_dedup": OP2_SQL,
     "op3_embedding_near_dedup": OP3_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
