@@ -12,6 +12,7 @@ from .language_id import op4_language_id
 from .licenses import op5_license_scan
 from .minhash_dedup import OP2_SQL, op2_minhash_near_dedup
 from .packing import op6_best_fit_packing
+from .periodic_runs import op13_periodic_runs
 from .pii import op10_pii
 from .quality_model import op8_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_toxicity": op12_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
