@@ -4,12 +4,12 @@
    point. Classes are dealt to shards by hash; each shard's graph is built in one task and
    written to the shared folder.
 2. Every two shards meet in one task (and each shard meets itself): the points of either
-   query the graph of the other. A beam starts narrow; a query whose beam is full of links
-   searches again with a wider one, and each side audits itself: query after query is
-   compared with all the shard's vectors until TRUE_LINKS links to other vectors are known,
-   and while the search has found fewer than RECALL of them, the beam widens for all of its
-   queries. A side that has fewer links, or whose widest beam still misses some, is compared
-   exactly; so are two shards with more than PAIRS links, in blocks.
+   query the graph of the other. A beam starts narrow, and each side audits it: AUDITED
+   queries are compared with all the shard's vectors, and PLANTED more are made from sampled
+   vectors turned just above the limit. While the search finds fewer than RECALL of these
+   known links, the beam doubles. Then all queries search with it; one whose beam is full of
+   links searches again with a wider one. A side whose widest beam still misses known links
+   is compared exactly; so are two shards with more than PAIRS links, in blocks.
 3. Pairs are verified by cosine in double precision on the vectors as given. A task sends no
    pairs: for each of its points the number of links, and the smallest point that its links
    lead to. Components are the union of these.
@@ -34,7 +34,7 @@ COSINE = 0.95
 SHARDS, SHARD_BYTES = 8, 1 << 27
 #: Links of two shards that a task holds (8 bytes each); entries of beams that are wide at a time.
 PAIRS, BEAMS = 1 << 25, 1 << 23
-BEAM, AUDITED, TRUE_LINKS, RECALL = 32, 64, 256, 0.99
+BEAM, WIDEST, AUDITED, PLANTED, RECALL = 32, 2048, 32, 256, 0.995
 NEAR = 1e-4  # single precision finds pairs so far below the limit, double precision decides
 
 
@@ -82,52 +82,87 @@ def _links_of(graph: Graph, queries: np.ndarray, cosine: float, beam: int) -> tu
     return (np.concatenate(who), np.concatenate(point)) if who else (np.empty(0, int), np.empty(0, int))
 
 
-def _compared(graph: Graph, queries: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, similarity) of all pairs from `near` up, by comparing each with each in blocks."""
-    step = max(1, 8_000_000 // max(len(graph.vectors), 1))
-    who, point, sim = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, np.float32)]
-    for i in range(0, len(queries), step):
-        s = queries[i : i + step] @ graph.vectors.T
-        q, p = np.nonzero(s >= near)
-        who.append(q + i)
-        point.append(p)
-        sim.append(s[q, p])
-    return np.concatenate(who), np.concatenate(point), np.concatenate(sim)
+def _compared(vectors: np.ndarray, queries: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) of all pairs from `near` up, by comparing each with each."""
+    return np.nonzero(queries @ vectors.T >= near)
+
 
+def planted(vectors: np.ndarray, count: int, cosine: float, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(point, query): sampled points, each turned so far that its cosine is a little above the limit."""
+    point = random.integers(0, len(vectors), count)
+    v = vectors[point].astype(np.float64)
+    aside = random.normal(size=v.shape)
+    aside -= (aside * v).sum(1, keepdims=True) * v
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    c = cosine + NEAR + random.random((count, 1)) * 0.4 * (1 - cosine)
+    c[length < 1e-9] = 1  # with a single component there is nowhere to turn
+    return point, (c * v + np.sqrt(1 - c**2) * aside / np.maximum(length, 1e-9)).astype(np.float32)
 
-def found_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray, names: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray] | None:
-    """Links of unit queries, audited: the beam widens until the recall of known links is RECALL.
 
-    `own` names the queries, `names` the points; a query's own points aren't links. None:
-    there are more than PAIRS.
+def passing_beam(graph: Graph, queries: np.ndarray, cosine: float, beam: int = BEAM) -> int | None:
+    """The narrowest beam, by doubling, with which the search finds RECALL of the links known to the audit.
+
+    Known are the links of AUDITED queries, compared with all points, and the points that
+    PLANTED queries were turned from; so the audit is as large for a table without links as
+    for one with many, and grows with the points of a shard only. None: not even WIDEST.
     """
-    n, m, near = len(graph.vectors), len(queries), cosine - NEAR
-    order = np.random.default_rng(m).permutation(m)
-    who, point, known, audited = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)], 0
-    while audited < m and sum(map(len, known)) < TRUE_LINKS:
-        some = order[audited : audited + AUDITED]
-        q, p, s = _compared(graph, queries[some], near)
-        q = some[q]
-        other = own[q] != names[p]
-        who.append(q[other])
-        point.append(p[other])
-        known.append((q * n + p)[other & (s >= cosine)])
-        audited += len(some)
-    if audited == m:
-        return np.concatenate(who), np.concatenate(point)
-    truth = np.concatenate(known)
+    n, random = len(graph.vectors), np.random.default_rng(len(queries))
+    some = queries[random.permutation(len(queries))[:AUDITED]]
+    q, p = _compared(graph.vectors, some, cosine)
+    point, turned = planted(graph.vectors, PLANTED, cosine, random)
+    truth = np.r_[q * n + p, (len(some) + np.arange(PLANTED)) * n + point]
+    asked = np.concatenate([some, turned])
     while True:
-        got = _links_of(graph, queries, cosine, beam)
-        if got is None:
+        got = _links_of(graph, asked, cosine, beam)
+        if got is not None and np.isin(truth, got[0] * n + got[1]).sum() >= RECALL * len(truth):
+            return beam
+        if got is None or beam >= min(n, WIDEST):
             return None
-        q, p = got
-        if np.isin(truth, q * n + p).sum() >= RECALL * len(truth):
-            return q, p
-        if beam >= n:
-            return _compared(graph, queries, near)[:2]
         beam *= 2
 
 
+def found_links(graph: Graph, queries: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray] | None:
+    """Links of unit queries that the graph's search finds with a beam that passes its audit.
+
+    The few points that no path leads to are compared with all queries; only where no beam
+    passes are all points. None: there are more than PAIRS links.
+    """
+    passes = passing_beam(graph, queries, cosine, beam)
+    if passes is None:
+        return _all_links(graph.vectors, queries, cosine)
+    lost = unreached(graph)
+    got, more = _links_of(graph, queries, cosine, passes), _all_links(graph.vectors[lost], queries, cosine)
+    if got is None or more is None:
+        return None
+    found = np.isin(got[1], lost)
+    return np.r_[got[0][~found], more[0]], np.r_[got[1][~found], lost[more[1]]]
+
+
+def unreached(graph: Graph) -> np.ndarray:
+    """Points that no path of base links leads to from the first point."""
+    seen = np.zeros(len(graph.vectors), bool)
+    new = np.arange(min(1, len(seen)))
+    while len(new):
+        seen[new] = True
+        near = np.unique(graph.base[new])
+        near = near[near >= 0]
+        new = near[~seen[near]]
+    return np.flatnonzero(~seen)
+
+
+def _all_links(vectors: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
+    who, point, size = [np.empty(0, int)], [np.empty(0, int)], 0
+    step = max(1, 8_000_000 // max(len(vectors), 1))
+    for i in range(0, len(queries) if len(vectors) else 0, step):
+        q, p = _compared(vectors, queries[i : i + step], cosine - NEAR)
+        who.append(q + i)
+        point.append(p)
+        size += len(q)
+        if size > PAIRS:
+            return None
+    return np.concatenate(who), np.concatenate(point)
+
+
 class _Tally:
     """Verified links between the points of two shards (or of one): counts and forest."""
 
@@ -170,8 +205,8 @@ def _meet(cosine: float):
         graphs = [Graph(_unit(x[2]), x[3], x[4]) for x in sides]
         (u, _), (v, g) = [(x.vectors, x) for x in (graphs[0], graphs[-1])]
         tally, n = _Tally(one, two, cosine), len(two[0])
-        there = found_links(g, u, cosine, one[0], two[0])
-        back = (there if one is two else found_links(graphs[0], v, cosine, two[0], one[0])) if there is not None else None
+        there = found_links(g, u, cosine)
+        back = (there if one is two else found_links(graphs[0], v, cosine)) if there is not None else None
         if back is not None:
             q, p = np.r_[there[0], back[1]], np.r_[there[1], back[0]]
             if one is two:
@@ -181,7 +216,7 @@ def _meet(cosine: float):
         else:
             step = max(1, 8_000_000 // n)
             for i in range(0, len(u), step):
-                q, p, _ = _compared(g, u[i : i + step], cosine - NEAR)
+                q, p = _compared(g.vectors, u[i : i + step], cosine - NEAR)
                 q = q + i
                 tally.add(*((q[q < p], p[q < p]) if one is two else (q, p)))
         return tally.table()
@@ -213,8 +248,8 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = keyed.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("rows"), F.first("vector").alias("vector"))
     classes = classes.withColumn("dim", F.size("vector")).withColumn("rep", F.coalesce("low", "k1"))
     classes = scratch.save(classes, "classes", nameless=F.col("low").isNull())
-    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # a row a length
-    n_shards = max([shards, *(-(-8 * dim * n // shard_bytes) for dim, n in sizes.items())])
+    largest = classes.groupBy("dim").count().agg(F.max(F.col("dim") * F.col("count"))).first()[0] or 0
+    n_shards = max(shards, -(-8 * largest // shard_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = classes.select("dim", "rep", "rows", "vector", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(n_shards)).cast("int").alias("shard"))
     graphs = scratch.save(

@@ -285,12 +285,42 @@ def test_links_that_the_graph_misses_are_found(cut):
     g = Graph.build(v)
     lost = np.isin(g.base, near)
     g = Graph(v, np.where(lost, -1, g.base), [])
-    ids = np.arange(600)
-    q, p = found_links(g, v, 0.95, ids, ids)
+    q, p = found_links(g, v, 0.95)
     want = {(a, b) for k in near.tolist() for a, b in ((k - 1, k), (k, k - 1))}
     assert {(a, b) for a, b in zip(q.tolist(), p.tolist(), strict=True) if a != b} == want
 
 
+@pytest.mark.parametrize("links", [0, 20, 1500])
+def test_links_come_from_the_graph_whatever_their_number(links, monkeypatch):
+    """All queries search the graph, a bounded audit compares, and hardly a link is missed."""
+    r = np.random.default_rng(links)
+    v = r.normal(size=(3000, 32)).astype(np.float32)
+    for k in range(links):
+        v[3000 - links + k] = v[k % 700] + r.normal(size=32).astype(np.float32) * 0.1
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph, searched, compared = Graph.build(v), [], []
+    search, compare = Graph.search, embedding_dedup._compared
+    monkeypatch.setattr(Graph, "search", lambda self, q, beam, limit=None: searched.append(len(q)) or search(self, q, beam, limit))
+    monkeypatch.setattr(embedding_dedup, "_compared", lambda a, b, near: compared.append(len(a) * len(b)) or compare(a, b, near))
+    q, p = found_links(graph, v, 0.95)
+    assert sum(searched) >= 3000 and sum(compared) <= (embedding_dedup.AUDITED + 30) * 3000
+    want = {(i, j) for i, j in zip(*np.nonzero(v @ v.T >= 0.95), strict=True) if i != j}
+    got = set(zip(q.tolist(), p.tolist(), strict=True))
+    assert len(want & got) >= 0.99 * len(want) and (links == 0) == (not want)
+
+
+def test_planted_queries_are_just_above_the_limit():
+    r = np.random.default_rng(2)
+    v = r.normal(size=(50, 8))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    point, turned = embedding_dedup.planted(v, 200, 0.95, r)
+    c = np.einsum("kd,kd->k", v[point].astype(float), turned.astype(float))
+    assert (c >= 0.95).all() and (c < 0.9706).all() and np.allclose(np.linalg.norm(turned, axis=1), 1, atol=1e-5)
+    one = np.array([[1.0], [-1.0]], np.float32)
+    point, turned = embedding_dedup.planted(one, 5, 0.95, r)
+    assert (turned == one[point]).all()
+
+
 def test_graph_recall():
     r = np.random.default_rng(3)
     v = r.normal(size=(1500, 24)).astype(np.float32)
