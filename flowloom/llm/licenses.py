@@ -71,14 +71,19 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SEPARATORS), "")
 
 
-def _spellings() -> Column:
-    return F.array(*(F.lit(x) for w in VOCABULARY for x in dict.fromkeys((w, w.capitalize(), w.upper()))))
+def _vocabulary() -> Column:
+    return F.array(*(F.lit(w) for w in VOCABULARY))
+
+
+def _small(text: Column) -> Column:
+    """The text in lower case; all of a vocabulary word's spellings become the word."""
+    return F.lower(text)
 
 
 def word_weights(texts: DataFrame) -> dict[str, float]:
     """Inverse document frequency of the vocabulary over a one-column table of texts."""
     text = F.coalesce(F.col(texts.columns[0]).cast("string"), F.lit(""))
-    found = texts.select(F.explode(F.array_distinct(F.transform(F.array_intersect(_words(text), _spellings()), F.lower))).alias("w"))
+    found = texts.select(F.explode(F.array_intersect(_words(_small(text)), _vocabulary())).alias("w"))
     df = {r["w"]: r["count"] for r in found.groupBy("w").count().collect()}  # a row a vocabulary word
     n = texts.count()
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in VOCABULARY}
@@ -196,10 +201,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"),
         F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"),
     )
-    # a base phrase holds "license", whatever its case
+    # lower case neither joins nor splits words, so it counts them; "license" of the base phrases is in the vocabulary
     found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("_t")).select(
         "row", "_t",
-        let(_words(F.col("_t")), lambda w: F.struct(F.size(w).cast("long").alias("n"), (F.arrays_overlap(w, _spellings()) | F.col("_t").rlike("(?i)license")).alias("some"))).alias("_w"),
+        let(_words(_small(F.col("_t"))), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.arrays_overlap(w, _vocabulary()).alias("some"))).alias("_w"),
     )
     low = F.translate("_t", UPPER, LOWER)
     out = found.select("row", F.col("_w.n").alias("n_words"), F.when(F.col("_w.some"), let(_words(low), details)).otherwise(nothing).alias("d"))

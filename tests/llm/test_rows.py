@@ -46,6 +46,20 @@ def test_licence_scan_matches_plain_version(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_licence_words_count_in_any_spelling(spark):
+    r = random.Random(4)
+    odd = lambda t: "".join(r.choice([c.upper(), c]) for c in t)
+    rows = ["aLL RiGHTs ReSERVED", "All rights reserved", *(odd(words) for _, words, _ in licenses.NOTICES), "\u212aeep l\u0130cense ALL R\u0130GHTS", "miT LICENSe"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in licenses.scan(df).select("row.doc_id", "labels", "n_words", "n_base").collect()}
+    assert got[0]["labels"] == got[1]["labels"] == "proprietary" and got[len(rows) - 1]["n_base"] == 1
+    assert all(label in got[i + 2]["labels"].split(",") for i, (label, _, _) in enumerate(licenses.NOTICES))
+    assert {i: x["n_words"] for i, x in got.items()} == {i: plain_base(t)[0] for i, t in enumerate(rows)}
+    assert "license" in licenses.VOCABULARY and all("license" in phrase for phrase, _ in licenses.BASE if phrase != "general public license")
+    counted = licenses.word_weights(df.where("doc_id < 2").select("text"))
+    assert counted["reserved"] < counted["license"]
+
+
 def test_licence_scan_finds_every_notice_of_one_text(spark):
     rows = [f"intro {words} end" for _, words, _ in licenses.NOTICES] + [". ".join(words for _, words, _ in licenses.NOTICES)]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
