@@ -1,102 +1,257 @@
-"""Checkpoints as append-only tables: latest record, listing, resume, batching, migration."""
+"""Checkpoints as append-only tables: saves of runs, lineage, latest record, resume, migration.
+
+A run saves every node that a row has completed. What it saves is told apart by invocation
+and sequence number: the number starts above the largest that the table holds of the
+invocation, or of the record that a resumed row comes from, so records of a restarted driver
+or of another store object over the same folder are later ones. A resumed row is a new
+invocation of the same root and correlation id, and saves as such.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CheckpointError
-from ..plans.graph import CompiledGraph, Migrations
-from ..plans.program import WAS, inner_columns, run
-from ..sources.scratch import Scratch
+from ..plans.graph import CompiledGraph, FanOut, Migrations
+from ..plans.program import RUN, WAS, error, inner_columns, run
 
 #: The columns of a checkpoint table; `state` is a struct or JSON.
 KEY, SEQUENCE = "invocation_id", "seq"
+#: What a run's records hold. completed_positions: path and step of every node that the row
+#: has completed so far, in this run and in those that it goes on with.
+POSITIONS = "array<struct<path: string, step: bigint>>"
+RECORD = f"invocation_id string, root_id string, resumed_from string, correlation_id string, seq bigint, node string, schema_version string, last_saved_at timestamp, completed_positions {POSITIONS}, state string"
+#: A finished instance of a fan-out. visit: how often the row had completed the node before.
+PROGRESS = "root_id string, invocation_id string, path string, visit bigint, fan_out_index int, instance_count int, state string, result string, result_is_error boolean"
+#: How timestamps are kept in JSON.
+STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 class CheckpointStore:
-    """A Parquet table to which every save appends; readers see the last save of each key.
+    """A folder to which every save appends; readers see the last save of each key.
 
-    Appending keeps saves independent: a lost executor repeats its own files only, and a
-    save that is written twice has the same (invocation_id, seq).
+    Below it lie `records` (saved and deleted by hand), `frames` (a table for each save of a
+    run: records, and the frame that the run goes on with, written together) and `progress`
+    (finished instances of fan-outs). Appending keeps saves independent: a lost executor
+    repeats its own files only, and a save that is written twice has the same key and number.
     """
 
-    def __init__(self, spark, path: str, key: str = KEY, sequence: str = SEQUENCE):
-        self.spark, self.path, self.key, self.sequence = spark, path, key, sequence
+    def __init__(self, spark: SparkSession, path: str, key: str = KEY, sequence: str = SEQUENCE):
+        self.spark, self.path, self.key, self.sequence = spark, path.rstrip("/"), key, sequence
+
+    # -------------------------------------------------------------- records
 
     def save(self, records: DataFrame) -> None:
-        records.write.mode("append").parquet(self.path)
+        records.withColumn("_deleted", F.lit(False)).write.mode("append").parquet(f"{self.path}/records")
+
+    def _read(self, folder: str, schema: str | None = None) -> DataFrame | None:
+        """A table below the store's folder; None if nothing has been written to it."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return None
+        reader = self.spark.read.option("recursiveFileLookup", "true").option("mergeSchema", str(schema is None).lower())
+        return (reader.schema(schema) if schema else reader).parquet(f"{self.path}/{folder}")
+
+    def _raw(self) -> DataFrame:
+        own, frames = self._read("records"), self._read("frames", f"{RECORD}, _saved boolean")
+        if frames is not None:
+            frames = frames.where("_saved").drop("_saved").withColumn("_deleted", F.lit(False))
+        if own is None and frames is None:
+            return self.spark.createDataFrame([], f"{RECORD}, _deleted boolean")
+        return own.unionByName(frames, allowMissingColumns=True) if own is not None and frames is not None else frames if own is None else own
 
     def all(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self._raw().where("not _deleted").drop("_deleted")
 
     def latest(self) -> DataFrame:
-        return latest(self.all(), self.key, self.sequence)
+        return self._last(self._raw())
+
+    def _last(self, raw: DataFrame) -> DataFrame:
+        return latest(raw, self.key, self.sequence).where("not _deleted").drop("_deleted")
 
     def load(self, invocation: str) -> DataFrame:
         """The record's row, none if there is none; the filter reaches the scan."""
-        return latest(self.all().where(F.col(self.key) == invocation), self.key, self.sequence)
+        return self._last(self._raw().where(F.col(self.key) == invocation))
+
+    def heads(self) -> DataFrame:
+        """The last record of each root, whichever of its invocations saved it."""
+        return latest(self.latest(), "root_id", self.sequence)
 
     def list(self, correlation: str | None = None) -> DataFrame:
         return listing(self.latest(), correlation)
 
     def delete(self, invocation: str) -> None:
-        """Appends a tombstone; deleting what isn't there is no error."""
-        names = self.all().schema
+        """Appends a tombstone; deleting what isn't there is no error. Later saves count again."""
+        raw = self._raw()
+        last = raw.where(F.col(self.key) == invocation).agg(F.max(self.sequence)).first()[0] or 0
+        kind = {f.name: f.dataType for f in raw.schema}
         row = self.spark.range(1).select(
-            *(
-                F.lit(invocation).alias(f.name) if f.name == self.key else F.lit(2**62).cast(f.dataType).alias(f.name) if f.name == self.sequence else F.lit(None).cast(f.dataType).alias(f.name)
-                for f in names
-            )
+            F.lit(invocation).cast(kind[self.key]).alias(self.key), F.lit(last + 1).cast(kind[self.sequence]).alias(self.sequence), F.lit(True).alias("_deleted")
         )
-        self.save(row)
+        row.write.mode("append").parquet(f"{self.path}/records")
 
+    def compact(self) -> None:
+        """The last record of each invocation replaces all that was saved; deleted ones go.
 
-    def saver(self, graph: CompiledGraph, df: DataFrame, invocation: str):
-        """What a run calls after each node: appends a record of every row that completed it.
+        The new table is complete before anything is removed; until then a reader that sees
+        both finds the same records twice, under the same numbers.
+        """
+        kept = f"compact-{uuid.uuid4().hex[:12]}"
+        self.latest().withColumn("_deleted", F.lit(False)).write.parquet(f"{self.path}/{kept}")
+        jvm = self.spark.sparkContext._jvm
+        path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}")
+        fs = path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        old = [path("frames"), *(s.getPath() for s in (fs.listStatus(path("records")) if fs.exists(path("records")) else []))]
+        fs.mkdirs(path("records"))
+        if not fs.rename(path(kept), path(f"records/{kept}")):
+            raise CheckpointError("checkpoint_save_failed", f"{kept} can't be moved")
+        for p in old:
+            fs.delete(p, True)
+
+    # -------------------------------------------------------------- runs
+
+    def begun(self, df: DataFrame, invocation: str | None, correlation: str | None = None) -> DataFrame:
+        """df with who each row is (`_run`); its numbers go on above those the table has of it."""
+        if RUN not in df.columns:
+            name = F.col(invocation).cast("string")
+            other = F.col(correlation).cast("string") if correlation is not None else name
+            df = df.withColumn(RUN, _who(name, name, F.lit(None).cast("string"), other, F.lit(0).cast("long"), F.array().cast(POSITIONS)))
+        saved = self._raw() if self._read("frames", RECORD) is not None or self._read("records") is not None else None
+        if saved is None or self.key not in saved.columns:
+            return df
+        top = saved.groupBy(F.col(self.key).cast("string").alias("_k")).agg(F.max(F.col(self.sequence).cast("long")).alias("_top"))
+        both = df.join(top, F.col(RUN)["invocation"] == F.col("_k"), "left")
+        return both.withColumn(RUN, F.col(RUN).withField("base", F.greatest(F.col(RUN)["base"], F.coalesce("_top", F.lit(0))))).drop("_k", "_top")
+
+    def saver(self, graph: CompiledGraph, spark: SparkSession) -> Saver:
+        return Saver(self, graph, spark)
+
+    def progress(self) -> DataFrame:
+        """The finished instances of fan-outs, as they were flushed."""
+        got = self._read("progress", PROGRESS)
+        return self.spark.createDataFrame([], PROGRESS) if got is None else got
+
+    def save_progress(self, instances: DataFrame) -> None:
+        instances.write.mode("append").parquet(f"{self.path}/progress")
+
+
+def _who(invocation: Column, root: Column, before: Column, correlation: Column, base: Column, done: Column) -> Column:
+    return F.struct(
+        invocation.alias("invocation"), root.alias("root"), before.alias("resumed_from"), correlation.alias("correlation"), base.alias("base"), done.alias("done")
+    )
+
+
+class Saver:
+    """What a run calls after each node: saves the rows that have completed it.
+
+    A record has the next place (`_at`), the path of the node, and the state as JSON, with
+    that of the subgraphs that the row is in. It is written in one table with the frame that
+    the run goes on with, so saving neither writes twice nor runs earlier nodes again.
+    """
 
-        A record has the next place (`at`), the path of the node, and the state as JSON, with
-        that of the subgraphs that the row is in. The frame is written before, so that saving
-        doesn't run earlier nodes again.
+    def __init__(self, store: CheckpointStore, graph: CompiledGraph, spark: SparkSession):
+        self.store, self.graph, self.spark = store, graph, spark
+        self.inner, self.run, self.n = inner_columns(graph), uuid.uuid4().hex[:12], 0
+
+    def __call__(self, frame: DataFrame, path: list[str], completed: Column, drop: list[str]) -> DataFrame:
+        self.n += 1
+        where, who = "/".join(path), F.col(RUN)
+        mark = F.coalesce(completed, F.lit(False))
+        step = F.array(F.struct(F.lit(where).alias("path"), F.col("_step").alias("step")))
+        frame = frame.withColumns({"_saved": mark, RUN: F.when(mark, who.withField("done", F.concat(who["done"], step))).otherwise(who)})
+        # a row stands in the subgraphs on the path; what other columns hold is over
+        own = [c for c in self.inner if c in frame.columns and c not in drop and any(c.startswith("__" + "__".join(path[:k])) for k in range(1, len(path)))]
+        whole = F.to_json(F.struct("_at", "_step", *self.graph.schema.fields, *own), STAMPS)
+        # inside a subgraph the outer step doesn't move: the run's saves are numbered themselves
+        record = {
+            "invocation_id": who["invocation"], "root_id": who["root"], "resumed_from": who["resumed_from"], "correlation_id": who["correlation"], "seq": who["base"] + self.n,
+            "node": F.lit(where), "schema_version": F.lit(self.graph.schema.version), "last_saved_at": F.current_timestamp(), "completed_positions": who["done"], "state": whole,
+        }
+        kept = [c for c in frame.columns if c != "_saved" and (c not in drop or c.endswith("_here"))]
+        out = frame.select(*(F.when(F.col("_saved"), c).alias(n) for n, c in record.items()), "_saved", F.struct(*kept).alias("_frame"))
+        folder = f"{self.store.path}/frames/{self.run}-{self.n:05d}"
+        out.write.parquet(folder)
+        return self.spark.read.schema(out.select("_frame").schema).parquet(folder).select("_frame.*")
+
+    def progress(self, path: list[str], child: CompiledGraph, spec: FanOut):
+        """Runs a fan-out's instances in `flushes` jobs and saves each job's finished ones.
+
+        Those that an earlier run of the row's root has saved at this place (path, visit and
+        index) aren't run again. A row whose number of instances isn't the saved one fails
+        with checkpoint_record_invalid. Under fail_fast only instances without error count
+        as finished.
         """
-        scratch, state, inner = Scratch(df.sparkSession, "saves"), list(graph.schema.fields), inner_columns(graph)
-        mark = "_saved"
-
-        def save(frame: DataFrame, path: list[str], completed: Column, drop: list[str]) -> DataFrame:
-            table = scratch.save(frame.withColumn(mark, completed).drop(*(c for c in drop if c in frame.columns and not c.endswith("_here"))))
-            # a row stands in the subgraphs on the path; what other columns hold is over
-            own = [c for c in inner if c in table.columns and c not in drop and any(c.startswith("__" + "__".join(path[:k])) for k in range(1, len(path)))]
-            whole = F.to_json(F.struct("_at", "_step", *state, *own), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
-            records = table.where(mark).select(
-                F.col(invocation).cast("string").alias(self.key), F.col("_step").alias(self.sequence), F.lit("/".join(path)).alias("node"), F.lit(graph.schema.version).alias("schema_version"),
-                F.current_timestamp().alias("last_saved_at"), whole.alias("state"),
-            )
-            # inside a subgraph the outer step doesn't move: later nodes count as later saves
-            self.n = getattr(self, "n", 0) + 1
-            self.save(records.withColumn(self.sequence, F.lit(self.n).cast("long")))
-            return table.drop(mark)
-
-        return save
-
-
-def resume(graph: CompiledGraph, df: DataFrame, records: DataFrame, invocation: str, key: str = KEY, **options) -> DataFrame:
+        where = "/".join(path)
+        who = F.col(RUN)
+        visit = F.size(F.filter(who["done"], lambda d: d["path"] == where)).cast("long")
+        kind = ", ".join(f"`{n}`: {f.type}" for n, f in child.schema.fields.items())
+        kind = f"struct<{kind}, _error: struct<category: string, message: string, node: string, fan_out_category: string>>"
+
+        def saved(rows: DataFrame) -> DataFrame:
+            """The last saved result of each place, by name and visit."""
+            mine = self.store.progress().where(F.col("path") == where).withColumnsRenamed({"root_id": "_root", "visit": "_visit", "fan_out_index": "_at_index"})
+            return mine.groupBy("_root", "_visit", "_at_index").agg(F.max("instance_count").alias("_count"), F.max("result").alias("_json"))
+
+        def of(instances: DataFrame, key: str, results) -> DataFrame:
+            named = instances.withColumns({"_name": who["root"], "_times": visit, "_invocation": who["invocation"]})
+            same = lambda s: (F.col("_name") == s["_root"]) & (F.col("_times") == s["_visit"]) & (F.col("_pos") == s["_at_index"])
+            before = saved(named)
+            todo = named.join(before, same(before), "left_anti")
+            for k in range(spec.flushes):
+                part = todo.where(F.pmod(F.col("_pos"), F.lit(spec.flushes)) == k)
+                done = results(part, "_name", "_times", "_invocation", "_n")
+                failed = F.col("_result")["_error"].isNotNull()
+                rows = done.where(~failed) if spec.error_policy == "fail_fast" else done
+                self.store.save_progress(rows.select(
+                    F.col("_name").alias("root_id"), F.col("_invocation").alias("invocation_id"), F.lit(where).alias("path"), F.col("_times").alias("visit"), F.col("_pos").alias("fan_out_index"),
+                    F.col("_n").alias("instance_count"), F.lit("completed").alias("state"), F.to_json("_result", STAMPS).alias("result"), failed.alias("result_is_error"),
+                ))
+            # all that is finished now, and the instances that failed: those run once more, as an expression would
+            after = saved(named)
+            have = named.join(after, same(after), "left")
+            wrong = error("checkpoint_record_invalid", F.concat(F.lit("saved instances "), F.col("_count"), F.lit(", now "), F.col("_n")), where)
+            counts = have.where("_json is not null").withColumn("_result", F.from_json("_json", kind, STAMPS))
+            counts = counts.withColumn("_result", F.when(F.col("_count") != F.col("_n"), F.col("_result").withField("_error", wrong)).otherwise(F.col("_result")))
+            out = counts.select(key, "_pos", "_result")
+            return out if spec.error_policy == "collect" else out.unionByName(results(have.where("_json is null").select(*instances.columns)), allowMissingColumns=False)
+
+        return of
+
+
+def resume(graph: CompiledGraph, df: DataFrame, records: DataFrame, rows: str, key: str = KEY, run_id: str | None = None, **options) -> DataFrame:
     """Runs the rows of df: those with a record from where it was saved, the others whole.
 
-    df has the schema's columns; records are the latest of each invocation. State of
-    subgraphs that a row was in is taken up again, so only nodes after the saved one run.
+    df has the schema's columns; records are the latest of each invocation, or of each root
+    (CheckpointStore.heads), which `rows`, the column that names df's rows, is held against.
+    State of subgraphs that a row was in is taken up again, so only nodes after the saved one
+    run. With a checkpoint store on the graph the run saves: a row with a record as
+    invocation `<root>~<run_id>`, with the record's correlation id and with numbers above
+    it, the others under their own names. Without run_id a new one is made for each call.
     """
     inner = inner_columns(graph)
     fields = {"_at": "string", **{n: f.type for n, f in graph.schema.fields.items()}, **inner}
     kind = ", ".join(f"`{n}` {t}" for n, t in fields.items())
-    saved = records.select(F.col(key).alias("_key"), F.from_json("state", kind, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("_saved"))
-    both = df.join(saved, df[invocation].cast("string") == saved["_key"], "left")
+    there = lambda name, instead: F.col(name) if name in records.columns else instead
+    root = F.coalesce(there("root_id", F.lit(None)), F.col(key).cast("string"))
+    last = _who(
+        F.concat_ws("~", root, F.lit(run_id or uuid.uuid4().hex[:12])), root, F.col(key).cast("string"), F.coalesce(there("correlation_id", F.lit(None)), root),
+        there(SEQUENCE, F.lit(0)).cast("long"), F.coalesce(there("completed_positions", F.lit(None)).cast(POSITIONS), F.array().cast(POSITIONS)),
+    ) if graph.checkpoints is not None else F.lit(None)
+    saved = records.select(root.alias("_key"), F.from_json("state", kind, STAMPS).alias("_saved"), last.alias("_last"))
+    name = F.col(rows).cast("string")
+    both = df.join(saved, name == saved["_key"], "left")
     have = F.col("_saved").isNotNull()
     made = {n: F.when(have, F.col("_saved")[n]).otherwise(F.col(n)) for n in graph.schema.fields}
     made |= {WAS + c: F.col("_saved")[c] for c in inner}
+    if graph.checkpoints is not None:
+        fresh = _who(name, name, F.lit(None).cast("string"), name, F.lit(0).cast("long"), F.array().cast(POSITIONS))
+        made[RUN] = F.when(have, F.col("_last")).otherwise(fresh)
     start = F.coalesce(F.col("_start"), F.lit(graph.entry))
-    return run(graph, both.withColumns({**made, "_start": F.col("_saved")["_at"]}).drop("_key", "_saved"), start=start, **options).drop("_start")
+    return run(graph, both.withColumns({**made, "_start": F.col("_saved")["_at"]}).drop("_key", "_saved", "_last"), start=start, **options).drop("_start")
 
 
 def latest(saves: DataFrame, key: str = KEY, sequence: str = SEQUENCE) -> DataFrame:

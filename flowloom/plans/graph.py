@@ -144,7 +144,8 @@ class FanOut:
 
     items_field or count (int or function of state) gives the instances; collect_field of
     each, in instance order, goes to target_field through its rule, as do extra_outputs
-    (parent <- child). inputs: child <- parent, alike for all instances.
+    (parent <- child). inputs: child <- parent, alike for all instances. With flushes and a
+    checkpoint store, finished instances are saved in so many jobs while the node runs.
     """
 
     graph: CompiledGraph
@@ -161,6 +162,7 @@ class FanOut:
     on_empty: str = "raise"
     concurrency: int | Callable[[State], Column] | None = 10
     degraded: Mapping[str, Any] | None = None
+    flushes: int | None = None
 
 
 @dataclass(frozen=True)

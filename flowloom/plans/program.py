@@ -5,7 +5,9 @@ place (`_at`), so conditional edges need no filter and no union, and Catalyst fu
 chain. A subgraph is run the same way on prefixed columns. A fan-out evaluates its child
 graph inside `transform` over the item array: instances keep their order and nothing is
 shuffled. A cyclic graph is run in rounds over the rows that are still on their way, with a
-limit on rounds; each round's table is written to the shared folder.
+limit on rounds; each round's table is written to the shared folder. A cycle inside a subgraph
+or a branch is run in rounds on that child's columns; instances of a fan-out whose graph loops
+become rows of their own, which leave the rounds one by one and are folded back in order.
 
 Failures are data: `_error` is set, the row keeps the state from before the failing node,
 and later nodes skip it. `strict` raises at the end instead.
@@ -14,10 +16,11 @@ and later nodes skip it. `strict` raises at the end instead.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..errors import ERROR_TYPE, FlowError, RunError
 from ..functions.binding import let
@@ -66,14 +69,17 @@ def apply_partial(schema, state: Mapping[str, Column], partial: Mapping[str, Any
 Step = tuple[Column | None, Callable[[Column | None], tuple[dict[str, Column], Column]]]
 
 
-def _branches(schema, state: Mapping[str, Column], node: Node) -> Step:
-    """Branches in declared order: present contributions are folded through the rules."""
+def _branches(schema, state: Mapping[str, Column], node: Node, expressions: bool = True) -> Step:
+    """Branches in declared order: present contributions are folded through the rules.
+
+    Without `expressions` the child graphs' final states come from elsewhere.
+    """
     spec = node.run
     collect = spec.error_policy == "collect"
     shown = {name: F.coalesce(b.when(state), F.lit(False)) if b.when is not None else F.lit(True) for name, b in spec.branches.items()}
     graphs = {
         name: inline(b.graph, child_state(b.graph, {c: state[s] for c, s in Explicit(b.inputs, b.outputs).inward(schema, b.graph.schema).items()}))
-        for name, b in spec.branches.items() if b.call is None
+        for name, b in spec.branches.items() if b.call is None and expressions
     }
     once = let(F.struct(*(F.when(shown[name], g).alias(name) for name, g in graphs.items())), lambda x: x) if graphs else None
 
@@ -115,11 +121,39 @@ def _branch_result(schema, state, b: Branch, name: str, value: Column | None) ->
     return {k: result[c] for k, c in Explicit(b.inputs, b.outputs).outward(schema, b.graph.schema).items()}, result["_error"]
 
 
+def _asked(schema, state: Mapping[str, Column], spec) -> Column:
+    """What the instances are made of: the items, or their number (it may be null or negative)."""
+    if spec.items_field is not None:
+        return F.coalesce(state[spec.items_field], F.array().cast(schema.fields[spec.items_field].type))
+    return (spec.count(state) if callable(spec.count) else F.lit(spec.count)).cast("int")
+
+
+def _items(spec, asked: Column) -> tuple[Column, Column]:
+    """The instances' items, and their number."""
+    if spec.items_field is not None:
+        return asked, F.size(asked)
+    return F.when(asked > 0, F.sequence(F.lit(0), asked - 1)).otherwise(F.array().cast("array<int>")), asked
+
+
+def _outs(spec) -> dict[str, str]:
+    return {spec.target_field: spec.collect_field, **spec.extra_outputs}
+
+
+def _gathered(spec, n: Column, results: Column) -> Column:
+    """What the parent takes from the instances' final states, in instance order."""
+
+    def of(results: Column) -> Column:
+        failed = F.filter(F.transform(results, lambda r, i: F.struct(i.cast("string").alias("fan_out_index"), r["_error"]["category"].alias("category"))), lambda r: r["category"].isNotNull())
+        kept = F.filter(results, lambda r: r["_error"].isNull()) if spec.error_policy == "collect" else results
+        return F.struct(n.alias("_n"), *(_gather(kept, c).alias(p) for p, c in _outs(spec).items()), failed.alias("_failed"), _first_error(results).alias("_first"))
+
+    return let(results, of)
+
+
 def _fan_out(schema, state: Mapping[str, Column], node: Node) -> Step:
     spec, child = node.run, node.run.graph
-    if isinstance(spec.concurrency, int) and spec.concurrency <= 0:
-        return None, lambda _: ({}, error("node_exception", "concurrency", node.name, "fan_out_invalid_concurrency"))
-    outs = {spec.target_field: spec.collect_field, **spec.extra_outputs}
+    if _refused(spec):
+        return None, _finish_fan_out(schema, state, node)
 
     def instance(x: Column) -> Column:
         own = {c: state[p] for c, p in spec.inputs.items()}
@@ -127,21 +161,24 @@ def _fan_out(schema, state: Mapping[str, Column], node: Node) -> Step:
             own[spec.item_field] = x
         return inline(child, child_state(child, own))
 
-    def gathered(n: Column, items: Column) -> Column:
-        def of(results: Column) -> Column:
-            failed = F.filter(F.transform(results, lambda r, i: F.struct(i.cast("string").alias("fan_out_index"), r["_error"]["category"].alias("category"))), lambda r: r["category"].isNotNull())
-            kept = F.filter(results, lambda r: r["_error"].isNull()) if spec.error_policy == "collect" else results
-            return F.struct(n.alias("_n"), *(_gather(kept, c).alias(p) for p, c in outs.items()), failed.alias("_failed"), _first_error(results).alias("_first"))
+    def all_of(asked: Column) -> Column:
+        items, n = _items(spec, asked)
+        return _gathered(spec, n, F.transform(items, instance))
 
-        return let(F.transform(items, instance), of)
+    return let(_asked(schema, state, spec), all_of), _finish_fan_out(schema, state, node)
+
+
+def _refused(spec) -> bool:
+    return isinstance(spec.concurrency, int) and spec.concurrency <= 0
 
-    if spec.items_field is not None:
-        once = let(F.coalesce(state[spec.items_field], F.array().cast(schema.fields[spec.items_field].type)), lambda items: gathered(F.size(items), items))
-    else:
-        count = (spec.count(state) if callable(spec.count) else F.lit(spec.count)).cast("int")
-        once = let(count, lambda n: gathered(n, F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
 
-    def finish(got: Column) -> tuple[dict[str, Column], Column]:
+def _finish_fan_out(schema, state: Mapping[str, Column], node: Node) -> Callable[[Column | None], tuple[dict[str, Column], Column]]:
+    spec = node.run
+    outs = _outs(spec)
+
+    def finish(got: Column | None) -> tuple[dict[str, Column], Column]:
+        if got is None:
+            return {}, error("node_exception", "concurrency", node.name, "fan_out_invalid_concurrency")
         err, n = no_error(), got["_n"]
         if spec.items_field is None:
             err = F.when(F.coalesce(n, F.lit(-1)) < 0, error("node_exception", "count", node.name, "fan_out_invalid_count"))
@@ -161,7 +198,7 @@ def _fan_out(schema, state: Mapping[str, Column], node: Node) -> Step:
         fields, bad = apply_partial(schema, state, partial, node.name)
         return fields, F.coalesce(err, bad)
 
-    return once, finish
+    return finish
 
 
 def _gather(results: Column, name: str) -> Column:
@@ -252,23 +289,52 @@ def inline(graph: CompiledGraph, state: Column) -> Column:
     return out
 
 
-def _frame_step(graph: CompiledGraph, df: DataFrame, name: str, col: Mapping[str, str], pre: str, trace: bool, saver=None) -> DataFrame:
+class How(NamedTuple):
+    """How a frame is run: whether it keeps paths, what saves completed nodes, how many rounds a cycle may take."""
+
+    trace: bool = False
+    saver: Any = None
+    max_rounds: int = 100
+
+
+def graphs_inside(node: Node) -> list[CompiledGraph]:
+    if node.kind == "branches":
+        return [b.graph for b in node.run.branches.values() if b.graph is not None]
+    return [node.run.graph] if node.kind in ("subgraph", "fan_out") else []
+
+
+def loops(graph: CompiledGraph) -> bool:
+    """Whether the graph or one inside it has a cycle: then its rounds are jobs, not an expression."""
+    return graph.order() is None or any(loops(g) for node in graph.nodes.values() for g in graphs_inside(node))
+
+
+def _frame_step(graph: CompiledGraph, df: DataFrame, name: str, col: Mapping[str, str], pre: str, how: How) -> DataFrame:
     node = graph.nodes[name]
     at, err = F.col(pre + "_at"), F.col(pre + "_error")
     here = (at == name) & err.isNull()
     state = {n: F.col(c) for n, c in col.items()}
     if node.kind == "subgraph":
-        df, fields, failed, extra = _frame_subgraph(graph, df, node, col, pre, here, trace, saver)
+        df, fields, failed, extra = _frame_subgraph(graph, df, node, col, pre, here, how)
     else:
-        once, finish = updated(graph, node, state)
-        if once is not None:  # used more than once below, so the optimizer keeps it a column
-            df = df.withColumn(pre + "_once", F.when(here, once))
-        (fields, failed), extra = finish(None if once is None else F.col(pre + "_once")), [] if once is None else [pre + "_once"]
+        path, extra = [*pre.strip("_").split("__"), name] if pre else [name], [pre + "_once"]
+        if node.kind == "fan_out" and not _refused(node.run) and (loops(node.run.graph) or (node.run.flushes and how.saver is not None)):
+            df = _frame_fan_out(graph, df, node, state, pre, here, path, how)
+            finish = _finish_fan_out(graph.schema, state, node)
+        elif node.kind == "branches" and any(map(loops, graphs_inside(node))):
+            df, more = _frame_branches(graph, df, node, state, pre, here, how)
+            extra, (_, finish) = [*extra, *more], _branches(graph.schema, state, node, expressions=False)
+        else:
+            once, finish = updated(graph, node, state)
+            if once is None:
+                extra = []
+            else:  # used more than once below, so the optimizer keeps it a column
+                df = df.withColumn(pre + "_once", F.when(here, once))
+        fields, failed = finish(F.col(pre + "_once") if extra else None)
     df = df.withColumn(pre + "_new", F.when(here, failed))
     ok = here & F.col(pre + "_new").isNull()
     made = {col[n]: F.when(ok, new).otherwise(F.col(col[n])) for n, new in fields.items()}
     made[pre + "_here"] = here
-    if trace:
+    if how.trace:
         made["_path"] = F.when(here, F.concat("_path", F.array(F.lit(name)))).otherwise(F.col("_path"))
     df = df.withColumns(made)
     to, bad = routed(graph, name, state)
@@ -280,33 +346,96 @@ def _frame_step(graph: CompiledGraph, df: DataFrame, name: str, col: Mapping[str
             "_step": F.col("_step") + F.when(F.col(pre + "_here"), 1).otherwise(0) if node.kind != "subgraph" else F.col("_step"),
         }
     )
-    if saver is not None:
-        df = saver(df, [*pre.strip("_").split("__"), name] if pre else [name], ok & F.col(pre + "_error").isNull(), [pre + "_new", pre + "_here", *extra])
+    if how.saver is not None:
+        df = how.saver(df, [*pre.strip("_").split("__"), name] if pre else [name], ok & F.col(pre + "_error").isNull(), [pre + "_new", pre + "_here", *extra])
     return df.drop(pre + "_new", pre + "_here", *extra)
 
 
-def _frame_subgraph(graph, df, node: Node, col, pre, here, trace, saver=None):
-    """A child graph on columns of its own beside the parent's: no lambda, full codegen."""
-    p, child = node.run.projection, node.run.graph
-    own = f"{pre}__{node.name}"
+def _frame_child(child: CompiledGraph, df: DataFrame, own: str, given: Mapping[str, Column], here: Column, how: How) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """Runs a child graph on columns of its own beside the parent's: no lambda, full codegen.
+
+    Rows where `here` doesn't hold are at its end from the start. Returns the child's columns
+    by field, and all columns that it has added.
+    """
     names = {n: f"{own}__{n}" for n in child.schema.fields}
-    inward = p.inward(graph.schema, child.schema)
-    first = {names[n]: (F.col(col[inward[n]]).cast(f.type) if n in inward else f.initial()) for n, f in child.schema.fields.items()}
+    first = {names[n]: (given[n].cast(f.type) if n in given else f.initial()) for n, f in child.schema.fields.items()}
     begin = F.lit(child.entry)
-    if WAS + own + "_at" in df.columns:  # a resumed row goes on inside the child
+    if WAS + own + "_at" in df.columns:  # a resumed row goes on inside the child, once
         inside = F.col(WAS + own + "_at")
         first = {c: F.when(inside.isNotNull(), F.col(WAS + c)).otherwise(v) for c, v in first.items()}
         begin = F.coalesce(inside, begin)
+        first[WAS + own + "_at"] = F.when(here, F.lit(None).cast("string")).otherwise(inside)
     df = df.withColumns({**first, own + "_at": F.when(here, begin).otherwise(F.lit(END)), own + "_error": no_error()})
     order = child.order()
     if order is None:
-        raise FlowError("node_exception", f"{node.name}: a cyclic graph can't be a subgraph")
-    for n in order:
-        df = _frame_step(child, df, n, names, own, trace, saver)
+        df = _rounds(child, df, names, own, how)
+    else:
+        for n in order:
+            df = _frame_step(child, df, n, names, own, how)
+    return df, names, [*names.values(), own + "_at", own + "_error"]
+
+
+def _frame_subgraph(graph, df, node: Node, col, pre, here, how: How):
+    p, child = node.run.projection, node.run.graph
+    own = f"{pre}__{node.name}"
+    df, names, extra = _frame_child(child, df, own, {c: F.col(col[s]) for c, s in p.inward(graph.schema, child.schema).items()}, here, how)
     outward = p.outward(graph.schema, child.schema)
     fields, bad = apply_partial(graph.schema, {n: F.col(c) for n, c in col.items()}, {k: F.col(names[c]) for k, c in outward.items()}, node.name)
-    return df, fields, F.coalesce(F.col(own + "_error"), bad), [*names.values(), own + "_at", own + "_error"]
+    return df, fields, F.coalesce(F.col(own + "_error"), bad), extra
+
 
+def _frame_branches(graph, df, node: Node, state, pre, here, how: How) -> tuple[DataFrame, list[str]]:
+    """The branches' child graphs on columns of their own; their final states in `_once`."""
+    extra, values = [], []
+    for name, b in node.run.branches.items():
+        if b.call is not None:
+            continue
+        own, shown = f"{pre}__{node.name}__{name}", here
+        if b.when is not None:
+            shown = here & F.coalesce(b.when(state), F.lit(False))
+        inward = Explicit(b.inputs, b.outputs).inward(graph.schema, b.graph.schema)
+        df, names, more = _frame_child(b.graph, df, own, {c: state[s] for c, s in inward.items()}, shown, how._replace(saver=None))
+        values.append(F.when(shown, F.struct(*(F.col(c).alias(n) for n, c in names.items()), F.col(own + "_error").alias("_error"))).alias(name))
+        extra += more
+    return df.withColumn(pre + "_once", F.struct(*values)), extra
+
+
+def _frame_fan_out(graph, df, node: Node, state, pre, here, path: list[str], how: How) -> DataFrame:
+    """The instances as rows of their own, run by themselves and folded back in order into `_once`.
+
+    A row is named by a number that is written down first, an instance by that and its place;
+    both go with it through all rounds of the child graph, and of fan-outs inside it. With a
+    checkpoint store the results are saved as they come (FanOut.flushes).
+    """
+    spec, child = node.run, node.run.graph
+    key = f"_row{sum(c.startswith('_row') for c in df.columns)}"
+    scratch = Scratch(df.sparkSession, "instances")
+    table = scratch.save(df.withColumns({key: F.monotonically_increasing_id(), key + "_of": F.when(here, _asked(graph.schema, state, spec))}))
+    items, n = _items(spec, F.col(key + "_of"))
+    carried = [c for c in table.columns if c == RUN]
+    given = [state[p].alias("_in_" + c) for c, p in spec.inputs.items()]
+    planned = table.where(here).select(key, *carried, n.alias("_n"), *given, F.posexplode(items).alias("_pos", "_item"))
+    own = {c: F.col("_in_" + c) for c in spec.inputs}
+    if spec.item_field is not None:
+        own[spec.item_field] = F.col("_item")
+    instances = planned.select(key, *carried, "_n", "_pos", child_state(child, own).alias("_first"))
+    fields = list(child.schema.fields)
+
+    def results(some: DataFrame, *more: str) -> DataFrame:
+        done = run(child, some.select(key, "_pos", *more, "_first.*"), max_rounds=how.max_rounds)
+        return done.select(key, "_pos", *more, F.struct(*fields, "_error").alias("_result"))
+
+    progress = how.saver.progress(path, child, spec) if how.saver is not None and spec.flushes else None
+    done = results(instances) if progress is None else progress(instances, key, results)
+    folded = done.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_result")), lambda a, b: a["_pos"] - b["_pos"]).alias("_all"))
+    back = table.join(folded.withColumnRenamed(key, "_of"), F.col(key) == F.col("_of"), "left").drop("_of")
+    kind = back.schema["_all"].dataType.elementType["_result"].dataType
+    every = F.coalesce(F.transform("_all", lambda x: x["_result"]), F.array().cast(ArrayType(kind)))
+    return back.withColumn(pre + "_once", F.when(here, _gathered(spec, n, every))).drop("_all", key, key + "_of")
+
+
+#: The column of a saved run: who it is, whose run it goes on with, what it has completed.
+RUN = "_run"
 
 #: Prefix of the columns that hold where a resumed row stood inside subgraphs.
 WAS = "_was"
@@ -322,27 +451,30 @@ def inner_columns(graph: CompiledGraph, pre: str = "") -> dict[str, str]:
     return out
 
 
-def run(graph: CompiledGraph, df: DataFrame, strict: bool = False, max_rounds: int = 100, trace: bool = False, start: Column | None = None, invocation: str | None = None) -> DataFrame:
+def run(graph: CompiledGraph, df: DataFrame, strict: bool = False, max_rounds: int = 100, trace: bool = False, start: Column | None = None, invocation: str | None = None, correlation: str | None = None) -> DataFrame:
     """df with its state columns after the run, and `_at`, `_error`, `_step` (and `_path`).
 
     df must have the schema's columns (StateSchema.initial_state); other columns are kept.
     `start` is where each row begins, the entry by default: a resumed row begins later. With
     a checkpoint store on the graph and `invocation`, the column that names rows, every
     completed node is saved, those inside subgraphs included (checkpoints.resume goes on
-    from there).
+    from there); `correlation` names what a row belongs to, itself by default.
     """
-    saver = graph.checkpoints.saver(graph, df, invocation) if graph.checkpoints is not None and invocation is not None else None
+    saver = None
+    if graph.checkpoints is not None and (invocation is not None or RUN in df.columns):
+        df = graph.checkpoints.begun(df, invocation, correlation)
+        saver = graph.checkpoints.saver(graph, df.sparkSession)
     df = df.withColumns({"_at": start if start is not None else F.lit(graph.entry), "_error": no_error(), "_step": F.lit(0).cast("long")})
     if trace:
         df = df.withColumn("_path", F.array().cast("array<string>"))
-    col = {n: n for n in graph.schema.fields}
+    col, how = {n: n for n in graph.schema.fields}, How(trace, saver, max_rounds)
     order = graph.order()
     if order is not None:
         for name in order:
-            df = _frame_step(graph, df, name, col, "", trace, saver)
-        df = df.drop(*(c for c in df.columns if c.startswith(WAS)))
+            df = _frame_step(graph, df, name, col, "", how)
     else:
-        df = _rounds(graph, df, col, max_rounds, trace, saver)
+        df = _rounds(graph, df, col, "", how)
+    df = df.drop(RUN, *(c for c in df.columns if c.startswith(WAS)))
     if strict:
         failed = df.where(F.col("_error").isNotNull()).select("_error").first()
         if failed is not None:
@@ -351,21 +483,22 @@ def run(graph: CompiledGraph, df: DataFrame, strict: bool = False, max_rounds: i
     return df
 
 
-def _rounds(graph: CompiledGraph, df: DataFrame, col, max_rounds: int, trace: bool, saver=None) -> DataFrame:
+def _rounds(graph: CompiledGraph, df: DataFrame, col: Mapping[str, str], pre: str, how: How) -> DataFrame:
     """Rows that are done leave the loop at once; only those on their way are worked on.
 
     Of small graphs several rounds make one job. Each job's table is written to the shared
     folder, with the number of rows that are still moving.
     """
     scratch = Scratch(df.sparkSession, "rounds")
-    moving = (F.col("_at") != END) & F.col("_error").isNull()
-    at_once = max(1, STEPS_A_JOB // len(graph.nodes)) if saver is None else 1
+    moving = (F.col(pre + "_at") != END) & F.col(pre + "_error").isNull()
+    jobs_inside = how.saver is not None or any(loops(g) for node in graph.nodes.values() for g in graphs_inside(node))
+    at_once = 1 if jobs_inside else max(1, STEPS_A_JOB // len(graph.nodes))
     done: list[DataFrame] = []
-    todo, left = df, max_rounds
+    todo, left = df, how.max_rounds
     while left > 0:
         for _ in range(min(at_once, left)):
             for name in graph.nodes:
-                todo = _frame_step(graph, todo, name, col, "", trace, saver)
+                todo = _frame_step(graph, todo, name, col, pre, how)
         left -= at_once
         table, n = scratch.counted(todo, moving)
         done.append(table.where(~moving))
@@ -373,7 +506,7 @@ def _rounds(graph: CompiledGraph, df: DataFrame, col, max_rounds: int, trace: bo
         if not n:
             break
     else:
-        raise RunError("node_exception", f"rows are still moving after {max_rounds} rounds")
+        raise RunError("node_exception", f"rows are still moving after {how.max_rounds} rounds")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

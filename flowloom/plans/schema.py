@@ -56,7 +56,7 @@ class Field:
 class StateSchema:
     fields: Mapping[str, Field]
     version: str = ""
-    reserved: tuple[str, ...] = field(default=("_id", "_at", "_error", "_step", "_path"), repr=False)
+    reserved: tuple[str, ...] = field(default=("_id", "_at", "_error", "_step", "_path", "_run"), repr=False)
 
     def __post_init__(self):
         for name in self.fields:
