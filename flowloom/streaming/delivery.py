@@ -49,30 +49,35 @@ def deliver(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]
     there below sink and batch number. Drain with drain().
     """
     failures: list[tuple[int, str, str]] = []
+    rows: dict[str, int] = {}
     sinks = sinks if isinstance(sinks, Sinks) else Sinks(sinks)
 
     def hand_over(batch: DataFrame, number: int) -> None:
         batch.persist()
+        # counted before the phases are looked at: what no sink asks for is delivered, too
+        count, chosen = batch.count(), subscribed(batch, phases) if node_events else batch
         for name, sink in sinks.now().items():
             try:
-                sink(batch, number)
+                sink(chosen, number)
             except Exception as e:  # noqa: BLE001  an observer's error is a warning, not the run's
                 failures.append((number, name, repr(e)))
                 if dead_letters is not None:
-                    batch.write.mode("overwrite").parquet(f"{dead_letters}/sink={name}/batch={number}")
+                    chosen.write.mode("overwrite").parquet(f"{dead_letters}/sink={name}/batch={number}")
         batch.unpersist()
+        rows["all"] = rows.get("all", 0) + count
 
-    s = subscribed(stream, phases) if node_events else stream
-    q = s.writeStream.foreachBatch(hand_over).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.sink_failures = failures
+    q = stream.writeStream.foreachBatch(hand_over).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.sink_failures, q.handed_over = failures, rows
     return q
 
 
 def drain(q: StreamingQuery, total: int, seconds: float | None = None) -> dict[str, int | bool]:
-    """Waits until all is delivered or the time is over: undelivered events of `total`, timed_out."""
+    """Waits until all is delivered or the time is over: undelivered events of `total`, timed_out.
+
+    Delivered is what `deliver` has handed over since it was started, however many batches.
+    """
     ended = q.awaitTermination(seconds) if seconds is not None else (q.awaitTermination(), True)[1]
-    done = sum(p["numInputRows"] for p in q.recentProgress)
-    return {"undelivered": max(0, total - done), "timed_out": not ended}
+    return {"undelivered": max(0, total - q.handed_over.get("all", 0)), "timed_out": not ended}
 
 
 def windowed_counts(stream: DataFrame, at: str, late: str, width: str, *dims: str) -> DataFrame:
