@@ -132,7 +132,7 @@ def schema_violation(value, schema: Mapping, root: Mapping | None = None) -> str
     if kinds is not None:
         ok = {
             "object": isinstance(value, dict), "array": isinstance(value, list), "string": isinstance(value, str), "null": value is None, "boolean": isinstance(value, bool),
-            "integer": isinstance(value, int) and not isinstance(value, bool), "number": isinstance(value, (int, float)) and not isinstance(value, bool),
+            "integer": isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer(), "number": isinstance(value, (int, float)) and not isinstance(value, bool),
         }
         if not any(ok.get(k, False) for k in ([kinds] if isinstance(kinds, str) else kinds)):
             return "type"

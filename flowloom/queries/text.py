@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
+from ..functions.json_schema import schema_check
 from ..functions import prompts as P
 from ..session import table
 from .registry import query
@@ -44,8 +45,8 @@ def message_tool_references(spark, d):
 @query("""SELECT event_id, json_valid(props) AND json_type(props) = 'OBJECT' AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AS ok FROM events""")
 def structured_output_parse(spark, d):
     """JSON objects with a whole number k."""
-    parse = M.structured_output({"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"]})
-    return table(spark, d, "events", "event_id", "props").select("event_id", parse("props")["ok"].alias("ok"))
+    broken = schema_check({"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"]})
+    return table(spark, d, "events", "event_id", "props").select("event_id", broken(F.col("props")).isNull().alias("ok"))
 
 
 @query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 10 = 0 THEN 'pinned' END, CASE lang WHEN 'en' THEN 'stable' WHEN 'de' THEN 'beta' END, 'latest') AS label FROM documents""")
