@@ -17,7 +17,8 @@ whose word sequence also starts anywhere else (same text included) is removed.
    repeats is lost at any step.
 
 The sketch is sized from the bytes of text, up to `max_cells` counters a row; beyond that
-more windows reach the exact pass, and the result is the same.
+more windows reach the exact pass and, once counters fill up, are dealt one by one: no hot
+anchor stays whole, and the result is the same.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ ROWS = 2
 MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 29
 #: Counters to a block of the sketch: blocks are what tasks send and executors merge.
 BLOCK_BITS = 16
-#: Counters end here; anchors that reach it are dealt window by window. At most HOT_CELLS of a
-#: block are named (the largest first): which they are makes no difference to the result.
-HOT, HOT_CELLS = 255, 64
+#: Counters end here; all anchors whose counter reaches it are dealt window by window. Which
+#: they are makes no difference to the result.
+HOT = 255
 #: Candidate windows that a task gathers before it joins equal ones and sends them.
 FLUSH = 1_500_000
 
@@ -73,6 +74,10 @@ def _cells(value: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix(value, row + 1) >> U64(64 - bits)
 
 
+def _bit(row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (row[cell >> U64(3)] >> (cell & U64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _sketch_task(bits: int, window: int, anchor: int):
     """mapInArrow: the count-min sketch of a task's texts, as its blocks' used counters."""
     low = U64((1 << BLOCK_BITS) - 1)
@@ -120,8 +125,8 @@ def _sketch_task(bits: int, window: int, anchor: int):
 
 
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: adds a partition's sketch blocks; gives a bit a counter (two or more) and
-    the first row's hot counters."""
+    """mapInArrow: adds a partition's sketch blocks; gives a bit a counter (two or more) and,
+    for the first row, a second one (hot), where a block has any."""
     counts: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for row, block, once, more, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -129,19 +134,19 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at, n in ((np.frombuffer(once, np.uint16), 1), (np.frombuffer(more, np.uint16), np.frombuffer(often, np.uint8))):
                 c[at] = np.minimum(c[at].astype(np.int16) + n, HOT)
     for (row, block), c in counts.items():
-        hot = np.flatnonzero(c == HOT)[:HOT_CELLS] if row == 0 else np.empty(0, int)
+        hot = np.packbits(c == HOT, bitorder="little").tobytes() if row == 0 and (c == HOT).any() else b""
         yield pa.RecordBatch.from_arrays(
-            [pa.array([row], pa.int32()), pa.array([block], pa.int64()), pa.array([np.packbits(c > 1, bitorder="little").tobytes()], pa.binary()), pa.array([hot.astype(np.uint16).tobytes()], pa.binary())],
+            [pa.array([row], pa.int32()), pa.array([block], pa.int64()), pa.array([np.packbits(c > 1, bitorder="little").tobytes()], pa.binary()), pa.array([hot], pa.binary())],
             names=["row", "block", "bits", "hot"],
         )
 
 
 def sketch(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_cells: int = MAX_CELLS) -> tuple[int, np.ndarray, np.ndarray]:
-    """The merged sketch of a one-column table of texts: counter bits, ROWS bit rows, and the
-    hot counters of the first row.
+    """The merged sketch of a one-column table of texts: counter bits, ROWS bit rows, and a bit
+    for each counter of the first row that is hot.
 
-    What reaches the driver is ROWS * cells / 8 bytes, 128 MB at the largest, and 8 bytes a
-    hot counter, HOT_CELLS of each 2 ** BLOCK_BITS at most.
+    What reaches the driver is (ROWS + 1) * cells / 8 bytes, 192 MB at the largest, whatever
+    the number of hot counters.
     """
     n_bytes = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0])))).first()[0] or 0
     cells = MIN_CELLS
@@ -156,12 +161,14 @@ def sketch(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_cel
         .repartition(parts, "row", "block")
         .mapInArrow(_merge_task, "row int, block long, bits binary, hot binary")
     )
-    out, hot = np.zeros((ROWS, cells // 8), np.uint8), [np.empty(0, U64)]
+    out, hot = np.zeros((ROWS, cells // 8), np.uint8), np.zeros(cells // 8, np.uint8)
     width = (1 << BLOCK_BITS) // 8
     for r in merged.toLocalIterator():
-        out[r["row"], r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-        hot.append(np.frombuffer(r["hot"], np.uint16).astype(U64) + U64(r["block"] << BLOCK_BITS))
-    return bits, out, np.sort(np.concatenate(hot))
+        own = slice(r["block"] * width, (r["block"] + 1) * width)
+        out[r["row"], own] = np.frombuffer(r["bits"], np.uint8)
+        if r["hot"]:
+            hot[own] = np.frombuffer(r["hot"], np.uint8)
+    return bits, out, hot
 
 
 _RUN = "anchor long, id long, tag int, place int, mask int, twice int, hashes binary"
@@ -234,12 +241,11 @@ def _query_task(bits: int, sketch_bits, window: int, anchor: int):
                     continue
                 often = np.ones(len(start), bool)
                 for row in range(ROWS):
-                    c = _cells(value, row, bits)
-                    often &= (filled[row][c >> U64(3)] >> (c & U64(7)).astype(np.uint8)) & 1 == 1
+                    often &= _bit(filled[row], _cells(value, row, bits))
                 if often.any():
                     start, doc, value = start[often], doc[often], value[often]
                     h = rolling(w.hashes, window)[start]
-                    common = np.isin(_cells(value, 0, bits), hot)
+                    common = _bit(hot, _cells(value, 0, bits))
                     value = np.where(common, mix(value ^ mix(h, 31), 32), value)
                     held.append((ids[i + doc], tags[i + doc], (start - w.first[doc]).astype(np.int32), value, h))
                     size += len(start)
