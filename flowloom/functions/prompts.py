@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,16 +51,17 @@ def undefined(template: Column, variables: Column) -> Column:
     return F.array_sort(F.filter(names, lambda n: ~F.map_contains_key(variables, n)))
 
 
-def chat(segments: Column, variables: Column, injected: Column) -> Column:
+def chat(segments: Column, variables: Column, injected: Column, text: Callable[[Column], Column] | None = None) -> Column:
     """Messages of a chat prompt: segment (role, template, placeholder) in order.
 
-    A placeholder brings its list of messages from the map `injected`; a missing one, an
+    `text` renders a segment's template (templates.Dispatcher.text, for blocks and filters);
+    without it plain variables are filled in. A placeholder brings its list of messages from the map `injected`; a missing one, an
     empty text or no message at all make the whole null.
     """
 
     def one(s: Column) -> Column:
-        text = rendered(s["template"], variables)
-        own = F.when(F.coalesce(text != "", F.lit(False)), F.array(F.struct(s["role"].alias("role"), text.alias("content"))))
+        said = rendered(s["template"], variables) if text is None else text(s["template"])
+        own = F.when(F.coalesce(said != "", F.lit(False)), F.array(F.struct(s["role"].alias("role"), said.alias("content"))))
         return F.when(s["placeholder"].isNotNull(), F.element_at(injected, s["placeholder"])).otherwise(own)
 
     parts = F.transform(segments, one)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PromptError
@@ -171,9 +171,23 @@ class _Parser:
         return name
 
 
+#: Types whose zero counts as false.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def truth(value: Column) -> Column:
-    """Whether a value counts as true: booleans themselves, else not null, empty, 0 or 'false'."""
-    return F.coalesce(~value.cast("string").isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False))
+    """Whether a value counts as true, by its type: a boolean itself, a number unless it is
+    zero, a text, list or map unless it is empty, anything else unless it is null.
+
+    The type is known when the query is planned, so one branch is left of the choice.
+    """
+    kind, text, inside = F.typeof(value), value.cast("string"), F.to_json(F.struct(value.alias("v")))
+    number = kind.isin(*_NUMBERS) | kind.startswith("decimal")
+    said = (
+        F.when(kind == "boolean", text == "true").when(kind.startswith("string") | kind.startswith("varchar") | kind.startswith("char"), text != "")
+        .when(kind.startswith("array"), value.isNotNull() & (inside != '{"v":[]}')).when(kind.startswith("map"), value.isNotNull() & (inside != '{"v":{}}')).when(number, text.try_cast("double") != 0).otherwise(value.isNotNull())
+    )
+    return F.coalesce(said, F.lit(False))
 
 
 def compiled(template: str) -> Callable[[Scope], Column]:
@@ -268,3 +282,55 @@ def compiled(template: str) -> Callable[[Scope], Column]:
 def rendered_template(template: str, **scope: Column) -> Column:
     """A template's text with names given as columns."""
     return compiled(template)(scope)
+
+
+#: Templates that hold more than text and plain {{ name }}.
+_BLOCKS = r"\{%|\{#|\{\{(?!-?\s*[A-Za-z_][A-Za-z0-9_]*\s*-?\}\})|\{\{-|-\}\}"
+
+
+class Dispatcher:
+    """Rows with templates of their own: text and error of a template column.
+
+    Templates with blocks, filters or expressions are compiled once each and chosen by their
+    hash; those of plain names are filled in by one expression, however many there are. What
+    can't be read, or names something that isn't given, is an error of its rows only.
+    """
+
+    def __init__(self, templates: list[str], scope: Scope):
+        self.plain = F.map_from_arrays(F.array(*(F.lit(k) for k in scope)).cast("array<string>"), F.array(*(c.cast("string") for c in scope.values())).cast("array<string>"))
+        self.texts: list[tuple[str, Column]] = []
+        self.errors: list[tuple[str, str]] = []
+        for t in templates:
+            try:
+                self.texts.append((t, rendered_template(t, **scope)))
+            except PromptError as e:
+                self.errors.append((t, e.message or e.category))
+
+    @classmethod
+    def of(cls, df: DataFrame, template: Column, scope: Scope, most: int = 500) -> Dispatcher:
+        """The dispatcher of a column's templates; more than `most` with blocks raise."""
+        found = df.where(template.rlike(_BLOCKS)).select(template.alias("t")).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise PromptError("prompt_render_error", f"more than {most} templates with blocks")
+        return cls(sorted(r["t"] for r in found), scope)
+
+    def _chosen(self, template: Column, made: list[tuple[str, Column]], otherwise: Column) -> Column:
+        out = F
+        for t, value in made:  # hashes are compared first, texts only where they agree
+            out = out.when((F.xxhash64(template) == F.xxhash64(F.lit(t))) & (template == F.lit(t)), value)
+        return out.otherwise(otherwise) if made else otherwise
+
+    def text(self, template: Column) -> Column:
+        """The rendered text; null where there is an error."""
+        from .prompts import rendered
+
+        return F.when(self.error(template).isNull(), self._chosen(template, self.texts, rendered(template, self.plain)))
+
+    def error(self, template: Column) -> Column:
+        """Why a template can't be rendered, or null: `x is not defined`, or what can't be read."""
+        from .prompts import undefined
+
+        lost = F.get(undefined(template, self.plain), F.lit(0))
+        missing = F.when(lost.isNotNull(), F.concat(lost, F.lit(" is not defined")))
+        known = [(t, F.lit(None).cast("string")) for t, _ in self.texts] + [(t, F.lit(why)) for t, why in self.errors]
+        return F.when(template.isNull(), "no template").otherwise(self._chosen(template, known, missing))

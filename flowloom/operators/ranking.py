@@ -35,25 +35,29 @@ def result_error(results: DataFrame, query: str, index: str, n_documents: Column
     return g.select(query, bad.alias("error"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", max_queries: int = 10_000, block_bytes: int = 8 << 20) -> DataFrame:
-    """The k most similar vectors of each query (a stated set), ties to the lower id.
+def best_of(items: DataFrame, queries: DataFrame, score: Column, query: str, index: str, k: int | None, max_queries: int = 10_000, block_bytes: int = 8 << 20, bytes_each: Column | None = None) -> DataFrame:
+    """The k best items of each query by `score`, an expression of both tables' columns, with score and rank.
 
-    The queries are counted with their bytes and dealt to blocks of about max_queries and
-    block_bytes at most; each block is broadcast and meets all vectors, and each task keeps k rows a query before
-    anything is shuffled.
+    The queries, a stated set, are counted with their bytes and dealt to blocks of about
+    max_queries and block_bytes at most; each block is broadcast and meets all items, and
+    each task keeps k rows a query before anything is shuffled. Ties go to the lower index.
     """
-    size = queries.agg(F.coalesce(F.sum(8 * F.size(vector_col) + 16), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    size = queries.agg(F.coalesce(F.sum(bytes_each if bytes_each is not None else F.lit(64)), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     blocks = max(1, -(-int(size["bytes"]) // block_bytes), -(-size["n"] // max_queries))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
     out = None
     for b in range(blocks):
-        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.crossJoin(F.broadcast(own)).select("query_id", F.col(id_col), cosine(F.col(vector_col), F.col("_q")).alias("score"))
-        top = top_k(scored, "query_id", "score", id_col, k)
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        top = top_k(items.crossJoin(F.broadcast(own)).select(query, index, score.alias("score")), query, "score", index, k)
         out = top if out is None else out.unionByName(top)
     return out
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", max_queries: int = 10_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """The k most similar vectors of each query (a stated set), ties to the lower id; see best_of."""
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+    return best_of(vectors, q, cosine(F.col(vector_col), F.col("_q")), "query_id", id_col, k, max_queries, block_bytes, 8 * F.size("_q") + 16)
+
+
 def response_order(entries: DataFrame, request: str, index: str = "index") -> DataFrame:
     """Per request whether the entries' indices are exactly 0..n-1 (then sorting restores order)."""
     g = entries.groupBy(request).agg(F.count("*").alias("n"), F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.countDistinct(index).alias("_d"))

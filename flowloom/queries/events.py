@@ -138,10 +138,11 @@ def metadata_augmentation(spark, d):
     return out.join(nations, F.element_at("namespace", 2) == F.col("n_name")).select(F.array_join("namespace", "/").alias("span"), F.element_at("metadata", "mark").alias("own"), (F.col("n_nationkey") == 3).alias("unused"))
 
 
-@query("SELECT count(*) AS n_total, count(CASE WHEN event_id % 3 <> 0 THEN 1 END) AS n_delivered, count(*) - count(CASE WHEN event_id % 3 <> 0 THEN 1 END) AS n_outstanding FROM events WHERE event_id <= 5000")
+@query("SELECT count(*) AS n_total, count(CASE WHEN event_id % 3 <> 0 THEN 1 END) AS n_delivered, count(*) - count(CASE WHEN event_id % 3 <> 0 THEN 1 END) AS n_outstanding FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)")
 def drain_snapshot(spark, d):
     e = table(spark, d, "events", "event_id").withColumn("delivered", F.col("event_id") % 3 != 0)
-    return E.delivered(e, "event_id", 5000)
+    half = e.agg(F.floor(F.max("event_id") / 2)).first()[0]  # the number that the log had come to
+    return E.delivered(e, "event_id", half)
 
 
 @query("""SELECT event_id, '{"kind":"' || event_type || '","user":' || CAST(user_id AS VARCHAR) || '}' AS payload FROM events""")

@@ -43,11 +43,11 @@ def cosine_topk(spark, d):
     return K.nearest(e, e.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-def _scores(spark, d):
-    """Documents scored for the stated benchmark items (every 50th) by a deterministic number."""
+def _best(spark, d, k: int | None):
+    """The k best documents (None: all) of the stated benchmark items (every 50th) by a deterministic number."""
     docs = table(spark, d, "documents", "doc_id", "n_chars")
     items = table(spark, d, "benchmark", "item_id").where("item_id % 50 = 0")
-    return docs.crossJoin(F.broadcast(items)).withColumn("score", (F.col("n_chars") * (F.col("item_id") + 3)) % 101)
+    return K.best_of(docs, items, (F.col("n_chars") * (F.col("item_id") + 3)) % 101, "item_id", "doc_id", k)
 
 
 _RANK_SQL = "SELECT item_id, doc_id, (n_chars * (item_id + 3)) % 101 AS score FROM documents, (SELECT item_id FROM benchmark WHERE item_id % 50 = 0)"
@@ -55,14 +55,14 @@ _RANK_SQL = "SELECT item_id, doc_id, (n_chars * (item_id + 3)) % 101 AS score FR
 
 @query(f"SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ({_RANK_SQL})) WHERE rank <= 5")
 def rerank_topk(spark, d):
-    return K.top_k(_scores(spark, d), "item_id", "score", "doc_id", 5).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _best(spark, d, 5).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"SELECT item_id, doc_id AS index, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ({_RANK_SQL})) WHERE rank <= 5")
 def rerank_chunk_rebase(spark, d):
     """Chunks of 32 documents, whose local indices are rebased before the one global cut."""
     cap = V.REQUEST_CAPS["tei"]
-    s = _scores(spark, d).select("item_id", "score", F.floor(F.col("doc_id") / cap).alias("chunk"), (F.col("doc_id") % cap).alias("local_index"))
+    s = _best(spark, d, None).select("item_id", "score", F.floor(F.col("doc_id") / cap).alias("chunk"), (F.col("doc_id") % cap).alias("local_index"))
     return K.top_k(K.rebased(s, cap), "item_id", "score", "index", 5).select("item_id", "index", F.col("rank").cast("long").alias("rank"))
 
 

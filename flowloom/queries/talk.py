@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ProviderError
 from ..functions.json_schema import schema_check
+from ..functions.templates import Dispatcher
 from ..operators import chat
 from ..session import table
 from .registry import query
@@ -98,3 +99,28 @@ def schema_native_rules(spark, d):
     text = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"), F.coalesce("quantities", F.array().cast("array<double>")).alias("quantities"), note.alias("note")))
     broken = schema_check(schema)(text)
     return orders.select("o_orderkey", F.when(broken.rlike("^quantities: [0-9]"), "quantities: quantity").otherwise(broken).alias("broken"))
+
+
+# ------------------------------------------------------------------ templates by row
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus AS s, o_totalprice AS p, o_orderkey % 6 AS k, (SELECT list(l_linenumber ORDER BY l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN CASE WHEN p > 150000 THEN 'big' ELSE 'small' END || ' ' || s WHEN 1 THEN coalesce(array_to_string(list_transform(lines, lambda x, i: CAST(i AS VARCHAR) || ':' || CAST(x AS VARCHAR)), ','), 'none')
+  WHEN 2 THEN 'Order ' || CAST(o_orderkey AS VARCHAR) || ': ' || s WHEN 5 THEN 'yes-no-' || CASE WHEN len(lines) > 0 THEN 'some' ELSE 'empty' END END AS text,
+CASE k WHEN 3 THEN 'nothing is not defined' WHEN 4 THEN 'other is not defined' END AS error FROM o""")
+def prompt_template_by_row(spark, d):
+    """Each order has a template of its own: with blocks, with plain names and a key, or with names that aren't there."""
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"))
+    o = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    kinds = {
+        0: F.lit("{% if price > 150000 %}big{% else %}small{% endif %} {{ status }}"), 1: F.lit("{% for x in lines %}{{ loop.index }}:{{ x }}{% if not loop.last %},{% endif %}{% else %}none{% endfor %}"),
+        2: F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(": {{ status }}")), 3: F.lit("{{ nothing|upper }}"), 4: F.lit("{{ other }}"),
+        5: F.lit("{% if zero_text %}yes{% endif %}-{% if zero %}yes{% else %}no{% endif %}-{% if lines %}some{% else %}empty{% endif %}"),
+    }
+    template = F
+    for k, t in kinds.items():
+        template = template.when(F.col("o_orderkey") % 6 == k, t)
+    o = o.withColumn("template", template)
+    scope = {"price": F.col("o_totalprice"), "status": F.col("o_orderstatus"), "lines": F.coalesce("lines", F.array().cast("array<int>")), "zero_text": F.lit("0"), "zero": F.lit(0).cast("decimal(9,2)")}
+    by = Dispatcher.of(o, F.col("template"), scope)
+    return o.select("o_orderkey", by.text(F.col("template")).alias("text"), by.error(F.col("template")).alias("error"))

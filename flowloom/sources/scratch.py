@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,7 +13,8 @@ class Scratch:
     """Writes a table to spark.checkpoint.dir and reads it again.
 
     Only where that setting is absent and the session is a local one, as in tests, a folder
-    below /tmp is used; on a cluster each machine would write to a disk of its own.
+    below /tmp is used; on a cluster each machine would write to a disk of its own. `drop`
+    deletes what no later step reads; what is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -20,6 +22,7 @@ class Scratch:
         if not base and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         self.spark, self.root, self.n = spark, f"{(base or 'file:/tmp/checkpoints').rstrip('/')}/flowloom/{name}-{uuid.uuid4().hex[:12]}", 0
+        atexit.register(self._end)
 
     def save(self, df: DataFrame) -> DataFrame:
         return self.counted(df, F.lit(True))[0]
@@ -30,3 +33,16 @@ class Scratch:
         path, seen = f"{self.root}/{self.n:04d}", Observation()
         df.observe(seen, F.count_if(condition).alias("n")).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables below the root; without names all of them."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names or ("",):
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _end(self) -> None:
+        try:
+            self.drop()
+        except Exception:  # noqa: BLE001  the session has ended before: its folder goes with it
+            pass
