@@ -97,11 +97,17 @@ class CheckpointStore:
     def compact(self) -> None:
         """The last record of each invocation replaces all that was saved; deleted ones go.
 
-        The new table is complete before anything is removed; until then a reader that sees
+        The new table is sorted by key over its files, and has bloom filters on the key, the
+        root and the correlation id: a point load reads the one row group that may hold it.
+        It is complete before anything is removed; until then a reader that sees
         both finds the same records twice, under the same numbers.
         """
         kept = f"compact-{uuid.uuid4().hex[:12]}"
-        self.latest().withColumn("_deleted", F.lit(False)).write.parquet(f"{self.path}/{kept}")
+        last = self.latest().withColumn("_deleted", F.lit(False))
+        writer = last.repartitionByRange(self.key).sortWithinPartitions(self.key).write
+        for c in {self.key, "root_id", "correlation_id"} & set(last.columns):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{self.path}/{kept}")
         jvm = self.spark.sparkContext._jvm
         path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}")
         fs = path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

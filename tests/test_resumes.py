@@ -145,6 +145,22 @@ def test_rows_resume_inside_a_looping_subgraph(spark, tmp_path):
     assert out == {"1": (2, [0, 1], 0), "2": (5, [0, 1, 2, 3, 4], 2)}
 
 
+def test_compacted_stores_are_sorted_and_filtered(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    store = C.CheckpointStore(spark, str(tmp_path))
+    run(chain(store), start(spark, range(200)), invocation="id", correlation="conv").count()
+    store.compact()
+    spans = []
+    for f in sorted(p for p in tmp_path.rglob("*.parquet")):
+        t = pq.read_table(f, columns=["invocation_id"]).column(0).to_pylist()
+        assert t == sorted(t)
+        spans += [(t[0], t[-1])] if t else []
+    assert all(a[1] < b[0] for a, b in zip(sorted(spans), sorted(spans)[1:], strict=False))
+    plan = store.load("77")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(invocation_id,77)" in plan and store.load("77").first()["node"] == "c" and store.list("c7").count() == 1
+
+
 class Breaking(C.CheckpointStore):
     def save_progress(self, instances):
         if getattr(self, "flushed", 0) == 2:
