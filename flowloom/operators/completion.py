@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -93,8 +94,9 @@ def completed(rows: DataFrame, client: Client, id_col: str, prompt_col: str, con
     """id, text, category, attempts, temperature, reasons of one call per row, in Arrow batches.
 
     A task that is repeated calls again: give the client an idempotency key, the row's id.
-    With a response schema answers are checked against it. `concurrency` bounds the tasks,
-    and so the calls that run at a time.
+    With a response schema answers are checked against it. `concurrency` bounds the calls that
+    are under way at a time: so many tasks at most, each with a pool of its share of them.
+    Results keep the order of the rows.
     """
     config = with_tools(config, tools, tool_choice, response_schema)
     if response_schema is not None:
@@ -102,17 +104,20 @@ def completed(rows: DataFrame, client: Client, id_col: str, prompt_col: str, con
     if concurrency is not None:
         if concurrency <= 0:
             raise ValueError("concurrency must be 1 or more")
-        rows = rows.coalesce(concurrency)
+        tasks = min(concurrency, rows.sparkSession.sparkContext.defaultParallelism)
+        rows = rows.coalesce(tasks)
+    share = 1 if concurrency is None else concurrency // tasks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [call(client, [{"role": "user", "content": p, "id": int(i)}], config, retry) for i, p in zip(pdf["id"], pdf["prompt"], strict=True)]
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"], "text": [g["text"] for g in got], "category": [g["category"] for g in got], "attempts": [g["attempts"] for g in got],
-                    "temperature": [g["config"].get("temperature") for g in got], "reasons": [",".join(g["reasons"]) for g in got],
-                }
-            )
+        with ThreadPoolExecutor(share) as pool:
+            for pdf in batches:
+                got = list(pool.map(lambda i, p: call(client, [{"role": "user", "content": p, "id": int(i)}], config, retry), pdf["id"], pdf["prompt"]))
+                yield pd.DataFrame(
+                    {
+                        "id": pdf["id"], "text": [g["text"] for g in got], "category": [g["category"] for g in got], "attempts": [g["attempts"] for g in got],
+                        "temperature": [g["config"].get("temperature") for g in got], "reasons": [",".join(g["reasons"]) for g in got],
+                    }
+                )
 
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(prompt_col).alias("prompt")).mapInPandas(run, "id long, text string, category string, attempts long, temperature double, reasons string")
 

@@ -55,6 +55,29 @@ def branches_events(runs: DataFrame, invocation: str, node: str, names: list[str
     return runs.select(*_event("parallel_branches", F.col(invocation), F.col(at), F.lit(node), branch_count=F.lit(len(names)), branches=F.lit(",".join(names)), error_policy=F.lit(error_policy)))
 
 
+def save_events(records: DataFrame) -> DataFrame:
+    """checkpoint_saved of each record that a run has saved (CheckpointStore.all), at its node."""
+    return records.select(
+        *_event("checkpoint_saved", F.col("invocation_id"), F.col("last_saved_at"), F.col("node"), correlation=F.col("correlation_id"), seq=F.col("seq"), completed=F.size("completed_positions"))
+    )
+
+
+def branch_events(runs: DataFrame, invocation: str, node: str, shown: Mapping[str, Column], at: str, errors: str | None = None) -> DataFrame:
+    """A started and a completed event of each branch that ran, called or subgraph alike.
+
+    shown: by branch, the condition under which it ran (Branch.when; F.lit(True) without
+    one). errors: the node's errors_field, whose entries give failed branches their category.
+    """
+    each = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(k).alias("k"), F.coalesce(when, F.lit(False)).alias("ran")) for k, (name, when) in enumerate(shown.items())))
+    ran = runs.withColumn("_b", F.explode(F.filter(each, lambda b: b["ran"])))
+    bad = F.lit(None).cast("string")
+    if errors is not None:
+        bad = F.get(F.transform(F.filter(errors, lambda e: e["branch_name"] == F.col("_b")["name"]), lambda e: e["category"]), F.lit(0))
+    both = ran.withColumn("_category", bad).withColumn("_phase", F.explode(F.array(F.lit("started"), F.lit("completed"))))
+    category = F.when(F.col("_phase") == "completed", F.col("_category"))
+    return both.select(*_event(F.concat(F.lit("branch_"), "_phase"), F.col(invocation), F.col(at), F.concat(F.lit(f"{node}/"), F.col("_b")["name"]), category, index=F.col("_b")["k"]))
+
+
 def call_events(calls: DataFrame, what: str, invocation: str, at: str, category: str = "category", node: str | None = None, attributes: Mapping[str, str] | None = None) -> DataFrame:
     """An event a provider or tool call: of the kind's own name, or its failed one."""
     good, bad = CALLS[what]

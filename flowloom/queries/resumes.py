@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import reducers as R
 from ..operators import checkpoints
-from ..plans.graph import END, Fail, FanOut, GraphBuilder
+from ..operators.typed_events import branch_events, branches_events, save_events
+from ..plans.graph import END, Branch, Fail, FanOut, GraphBuilder
 from ..plans.program import run
 from ..plans.schema import Field, StateSchema
 from ..session import table
@@ -123,3 +124,46 @@ def fanout_progress_resumed(spark, d):
     )
     done = out.select("l_orderkey", "total", F.array_join(F.col("outs").cast("array<string>"), ",").alias("outs"))
     return done.join(saved, done["l_orderkey"] == saved["root"]).drop("root")
+
+
+# ------------------------------------------------------------------ events of saves and branches
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS c FROM supplier),
+n AS (SELECT k, c, CAST(k AS VARCHAR) AS i, 'a' AS node, 1 AS seq, 1 AS done FROM s UNION ALL SELECT k, c, CAST(k AS VARCHAR), 'b', 2, 2 FROM s WHERE k % 3 <> 0 UNION ALL SELECT k, c, CAST(k AS VARCHAR), 'c', 3, 3 FROM s WHERE k % 3 <> 0 AND k % 5 <> 0
+  UNION ALL SELECT k, c, CAST(k AS VARCHAR), 'd', 4, 4 FROM s WHERE k % 3 <> 0 AND k % 5 <> 0
+  UNION ALL SELECT k, c, CAST(k AS VARCHAR) || '~r1', 'b', 3, 2 FROM s WHERE k % 3 = 0 UNION ALL SELECT k, c, CAST(k AS VARCHAR) || '~r1', 'c', 4, 3 FROM s WHERE k % 3 = 0 AND k % 5 <> 0 UNION ALL SELECT k, c, CAST(k AS VARCHAR) || '~r1', 'd', 5, 4 FROM s WHERE k % 3 = 0 AND k % 5 <> 0
+  UNION ALL SELECT k, c, CAST(k AS VARCHAR) || '~r2', 'c', CASE WHEN k % 3 = 0 THEN 6 ELSE 5 END, 3 FROM s WHERE k % 5 = 0 UNION ALL SELECT k, c, CAST(k AS VARCHAR) || '~r2', 'd', CASE WHEN k % 3 = 0 THEN 7 ELSE 6 END, 4 FROM s WHERE k % 5 = 0)
+SELECT 'checkpoint_saved' AS kind, i AS invocation_id, CAST(c AS VARCHAR) AS correlation_id, node, '{"completed":' || CAST(done AS VARCHAR) || ',"seq":' || CAST(seq AS VARCHAR) || '}' AS attributes FROM n""")
+def checkpoint_saved_events(spark, d):
+    """An event for every save of a run and of two resumed ones."""
+    store, _ = _resumed_twice(spark, d)
+    return save_events(store.all()).select("kind", "invocation_id", "correlation_id", "node", "attributes")
+
+
+def _branching(spark, d):
+    schema = StateSchema({"k": Field("bigint"), "size": Field("bigint"), "a": Field("bigint"), "b": Field("bigint"), "errors": Field("array<struct<branch_name:string,category:string,message:string,cause_type:string>>", [])})
+    inner = StateSchema({"x": Field("bigint")})
+    child = GraphBuilder(inner).add_node("w", lambda s: {"x": s["x"] * 2, "!": Fail(s["x"] % 7 == 0, "seven")}).add_edge("w", END).set_entry("w").compile()
+    spec = {"graph": Branch(child, inputs={"x": "size"}, outputs={"a": "x"}), "call": Branch(call=lambda s: {"b": s["size"] + 1, "!": Fail(s["k"] % 11 == 0, "eleven")}, when=lambda s: s["size"] % 2 == 0)}
+    g = GraphBuilder(schema).add_branches("both", spec, error_policy="collect", errors_field="errors").add_edge("both", END).set_entry("both").compile()
+    return run(g, schema.initial_state(table(spark, d, "part", "p_partkey", "p_size"), k="p_partkey", size="p_size")), spec
+
+
+@query("""WITH b AS (SELECT p_partkey AS k, p_size AS s, unnest(['graph', 'call']) AS name FROM part), r AS (SELECT k, name, CASE WHEN (name = 'graph' AND s % 7 = 0) OR (name = 'call' AND k % 11 = 0) THEN 'node_exception' END AS bad, CASE name WHEN 'graph' THEN 0 ELSE 1 END AS i FROM b WHERE name = 'graph' OR s % 2 = 0)
+SELECT 'branch_started' AS kind, CAST(k AS VARCHAR) AS invocation_id, 'both/' || name AS node, NULL::VARCHAR AS category, '{"index":' || CAST(i AS VARCHAR) || '}' AS attributes FROM r
+UNION ALL SELECT 'branch_completed', CAST(k AS VARCHAR), 'both/' || name, bad, '{"index":' || CAST(i AS VARCHAR) || '}' FROM r""")
+def branch_event_log(spark, d):
+    """Started and completed events of branches, called ones as well as graphs; skipped ones have none."""
+    out, spec = _branching(spark, d)
+    state = {n: F.col(n) for n in ("k", "size")}
+    shown = {name: b.when(state) if b.when is not None else F.lit(True) for name, b in spec.items()}
+    return branch_events(out.withColumn("at", F.lit(None).cast("timestamp")), "p_partkey", "both", shown, "at", "errors").select("kind", "invocation_id", "node", "category", "attributes")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS invocation_id, 'parallel_branches' AS kind, '{"branch_count":2,"branches":"graph,call","error_policy":"collect"}' AS attributes FROM part""")
+def branch_config_events(spark, d):
+    """The configuration of a branches node for each run."""
+    out, spec = _branching(spark, d)
+    e = branches_events(out.withColumn("at", F.lit(None).cast("timestamp")), "p_partkey", "both", list(spec), "at", "collect")
+    return e.select("invocation_id", "kind", "attributes")
