@@ -110,6 +110,23 @@ def payload(value: Column, shown: bool = False) -> Column:
     return value if shown else F.lit(None).cast("string")
 
 
+def trace_io(stub: Mapping[str, Column], state: Mapping[str, Column], hook: Column | None = None, shown: bool = False, isolated: bool = True, limit: int | None = None) -> Column:
+    """What a trace shows as its input or output, as JSON.
+
+    The caller's hook, where it isn't null; else the whole state, if it is to be shown; else
+    a stub of ids, without those that are null. A destination that others share (isolated =
+    False) gets the stub whatever else is asked for. `limit` bounds the bytes of what isn't
+    the stub.
+    """
+    least = canonical_json({k: c.cast("string") for k, c in stub.items()})
+    if not isolated:
+        return least
+    own = hook if not shown else F.coalesce(hook, canonical_json(state)) if hook is not None else canonical_json(state)
+    if own is None:
+        return least
+    return F.coalesce(truncated(own, limit) if limit is not None else own, least)
+
+
 def cause_category(chain: Column) -> Column:
     """Of a chain of (carrier, category, message), outermost first: the first real category."""
     real = F.filter(chain, lambda x: ~x["carrier"] & F.coalesce(x["category"] != "", F.lit(False)))

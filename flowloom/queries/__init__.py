@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calls, events, graphs, loops, more, provider_calls, resumes, retrieval, streams, talk, text  # noqa: F401  they register themselves
+from . import calls, events, graphs, loops, more, provider_calls, resumes, retrieval, streams, talk, text, tracing  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -67,3 +67,14 @@ def test_best_of_is_the_same_in_blocks(spark):
     whole = [best_of(items, queries, (F.col("x") * (F.col("q") + 1)) % 13, "q", "doc", 4, **o).orderBy("q", "rank").collect() for o in ({}, {"max_queries": 2}, {"block_bytes": 100})]
     assert whole[0] == whole[1] == whole[2] and len(whole[0]) == 36
     assert best_of(items, queries.where("false"), F.col("x"), "q", "doc", 4).count() == 0
+
+
+def test_trace_payloads_fall_back_and_are_bounded(spark):
+    from flowloom.functions.telemetry import trace_io
+
+    df = spark.createDataFrame([("a", None, "hook"), ("b", "c2", None)], "node string, corr string, said string")
+    stub, state = {"entry_node": F.col("node"), "correlation_id": F.col("corr")}, {"x": F.lit("é" * 200)}
+    got = df.select(trace_io(stub, state), trace_io(stub, state, F.col("said")), trace_io(stub, state, F.col("said"), shown=True, limit=256), trace_io(stub, state, F.col("said"), shown=True, isolated=False)).collect()
+    assert tuple(got[0])[:2] == ('{"entry_node":"a"}', "hook") and got[0][2] == "hook" and got[0][3] == got[0][0]
+    least = '{"correlation_id":"c2","entry_node":"b"}'
+    assert (got[1][0], got[1][1], got[1][3]) == (least, least, least) and len(got[1][2].encode()) <= 256 and "truncated" in got[1][2]
