@@ -137,6 +137,34 @@ def test_cosine_of_zero_vectors_and_query_bound(spark):
     assert sorted(tuple(r) for r in nearest(df, df, 2, block_bytes=40).collect()) == whole
 
 
+def test_nearest_makes_no_row_a_pair_and_scores_like_sql(spark):
+    import duckdb
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in r.normal(size=16).astype("f4")]) for k in range(400)]
+    rows += [(k + 400, rows[k % 3][1]) for k in range(60)]  # copies tie
+    rows += [(460, [0.0] * 16), (461, None), (462, [1.0, None] * 8), (463, [1.0] * 5), (464, []), (465, [float("nan")] * 16), (466, [float("inf")] + [1.0] * 15), (467, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = nearest(df, df.where("vec_id % 20 = 0 or vec_id > 455"), 12)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan and "lambda" not in plan
+    # as the expression has it row by row, odd vectors included
+    one, other = (df.select(F.col("vec_id").alias(n + "_id"), F.col("embedding").alias(n)) for n in ("a", "b"))
+    every = one.crossJoin(other.where("b_id % 20 = 0 or b_id > 455")).select("b_id", "a_id", V.cosine(F.col("a"), F.col("b")).alias("s")).collect()
+    key = lambda s: (2.0 if s != s else -2.0 if s is None else round(s, 12))
+    want = {q: sorted(((-key(s), v) for b, v, s in every if b == q))[:12] for q in {x[0] for x in every}}
+    got = {}
+    for x in found.orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((-key(x["score"]), x["vec_id"]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    # and to the last bit as the SQL has it
+    plain = {k: v for k, v in rows[:400]}
+    for x in found.where("query_id < 400 and vec_id < 400").limit(200).collect():
+        sql = duckdb.execute("SELECT list_cosine_similarity(CAST(? AS DOUBLE[]), CAST(? AS DOUBLE[]))", [plain[x["query_id"]], plain[x["vec_id"]]]).fetchone()[0]
+        assert x["score"] == sql
+
+
 def test_rerank_errors(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 0), ("c", 9), ("d", 0), ("d", 1), ("d", 2)], "q string, i int")
     assert {r["q"]: r["error"] for r in result_error(df, "q", "i", F.lit(3), 2).collect()} == {"a": None, "b": "index_repeated", "c": "index_range", "d": "too_many"}
