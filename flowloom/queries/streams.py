@@ -18,19 +18,26 @@ def _events(spark, d, *more: str):
     return table(spark, d, "events", "event_id", "user_id", "ts", *more).withColumn("ts", F.timestamp_micros(micros))
 
 
+#: About how many rows a file of the stream has; its micro-batches are as many at any size.
+ROWS_A_FILE = 1_000_000
+
+
 def _arriving(spark, rows, name: str, of: str, made):
     """Feeds `rows` to a stream in shuffled files, half of them before a restart, some twice; what it gives out, by batch.
 
     A row of its own far in the future comes last, so that patience is over.
     """
-    root = Scratch(spark, name).root
-    place = F.pmod(F.xxhash64(of), F.lit(4))
-    every = rows.unionByName(rows.where(F.col(of) % 10 == 0)).withColumn("part", place)
+    scratch = Scratch(spark, name)
+    root = scratch.root
+    # numbered and dealt once; the halves, and what comes twice, are read from there
+    saved, n = scratch.counted(rows.withColumn("part", F.pmod(F.xxhash64(of), F.lit(4))), F.lit(True))
+    times = max(1, n // ROWS_A_FILE)
+    every = saved.unionByName(saved.where(F.col(of) % 10 == 0))
     last = {"user_id": F.lit(-1), "seq": F.lit(1), "ts": F.col("ts") + F.expr("interval 10 years")}
-    end = rows.agg(F.max("ts").alias("ts")).select(*(last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
-    for some in (*(every.where(F.col("part") % 2 == half).drop("part").repartition(3, of) for half in (0, 1)), end):
+    end = saved.agg(F.max("ts").alias("ts")).select(*(last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+    for some in (*(every.where(F.col("part") % 2 == half).drop("part").repartition(3 * times, of) for half in (0, 1)), end):
         some.write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * times).parquet(f"{root}/in")
         sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
         q = deliver(made(stream), {"table": sink}, f"{root}/checkpoint")
         q.awaitTermination()

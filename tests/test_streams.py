@@ -4,7 +4,7 @@ import datetime
 import random
 
 from flowloom.streaming.delivery import deliver, drain, event_stream
-from flowloom.streaming.ordered import assembled_spans, in_order
+from flowloom.streaming.ordered import BUCKETS, assembled_spans, in_order
 
 KIND = "run string, seq long, at timestamp, note string"
 START = datetime.datetime(2024, 1, 1)
@@ -91,3 +91,17 @@ def test_spans_are_assembled_with_parents_and_time_outs(spark, tmp_path):
         assert mine == {"a/b": ("a", at(1), at(2), "bad", False), "a/c/d": ("a", at(3), at(4), None, False), "a": (None, at(0), at(5), None, False)}
     written(spark, src, [[("clock", 1, at(3600), "t", "completed", None)]], kind)
     assert sorted((x[1], x[2], x[3], x[5], x[7]) for x in collected(spark, stream(), cp)) == [(r, *s) for r in ("r1", "r2") for s in (("e", None, None, True), ("e/f", "e", None, True))]
+
+
+def test_spans_of_many_runs_share_states(spark, tmp_path):
+    kind = "run long, seq long, at timestamp, namespace string, phase string"
+    tree = [("a", "started"), ("a/b/c", "started"), ("a/b/c", "completed"), ("b", "started")]
+    rows = [(run, k + 1, at(k), *e) for run in range(1500) for k, e in enumerate(tree)]
+    random.Random(4).shuffle(rows)
+    src, got = str(tmp_path / "src"), []
+    written(spark, src, [rows[:3000], rows[3000:], [(-1, 1, at(3600), "t", "completed")]], kind)
+    stream = assembled_spans(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(src), "run", "seq", "at", patience="1 minute")
+    q = deliver(stream, {"list": lambda b, n: got.extend(tuple(r) for r in b.collect())}, str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert sorted(got, key=str) == sorted((s for r in range(1500) for s in ((r, "a", None, at(0), None, None, True), (r, "a/b/c", "a", at(1), at(2), None, False), (r, "b", None, at(3), None, None, True))), key=str)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS
