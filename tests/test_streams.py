@@ -93,6 +93,31 @@ def test_spans_are_assembled_with_parents_and_time_outs(spark, tmp_path):
     assert sorted((x[1], x[2], x[3], x[5], x[7]) for x in collected(spark, stream(), cp)) == [(r, *s) for r in ("r1", "r2") for s in (("e", None, None, True), ("e/f", "e", None, True))]
 
 
+def test_many_keys_share_states_and_whole_numbers_stay_whole(spark, tmp_path):
+    kind = "run string, seq long, at timestamp, big long"
+    rows = [(f"r{k}", s, at(s), 2**53 + 2 * k + 1 if (k + s) % 2 else None) for k in range(1500) for s in (1, 2)]
+    random.Random(2).shuffle(rows)
+    src, got = str(tmp_path / "src"), []
+    written(spark, src, [rows[:1500], rows[1500:]], kind)
+    stream = in_order(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(src), "run", "seq", "at", "1 day")
+    q = deliver(stream, {"list": lambda b, n: got.extend(tuple(r) for r in b.collect())}, str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert sorted(got) == sorted((*r, r[1], False) for r in rows)
+    # calls of Python a batch: one for a bucket, however many keys there are
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS < 1500
+
+
+def test_patience_is_over_by_key_within_a_bucket(spark, tmp_path):
+    src, cp = str(tmp_path / "src"), str(tmp_path / "cp")
+    stream = lambda: in_order(spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(src), "run", "seq", "at", "1 minute", buckets=1)
+    written(spark, src, [[("a", 1, at(0), "x"), ("a", 3, at(2), "x"), ("b", 1, at(0), "x")], [("clock", 1, at(3600), "x")], [("b", 3, at(3650), "x"), ("b", 2, at(3640), "x"), ("c", 2, at(3650), "x")]], KIND)
+    first = [x[1:3] + x[5:] for x in collected(spark, stream(), cp)]
+    # a's time is over while b and c get events; c waits on
+    assert sorted(first) == [("a", 1, 1, False), ("a", 3, 2, True), ("b", 1, 1, False), ("b", 2, 2, False), ("b", 3, 3, False), ("clock", 1, 1, False)]
+    written(spark, src, [[("c", 1, at(3660), "x"), ("a", 2, at(3670), "x")]], KIND)
+    assert [x[1:3] + x[5:] for x in collected(spark, stream(), cp)] == [("c", 1, 1, False), ("c", 2, 2, False)]
+
+
 def test_spans_of_many_runs_share_states(spark, tmp_path):
     kind = "run long, seq long, at timestamp, namespace string, phase string"
     tree = [("a", "started"), ("a/b/c", "started"), ("a/b/c", "completed"), ("b", "started")]
