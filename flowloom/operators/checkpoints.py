@@ -12,10 +12,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CheckpointError
+from ..functions.binding import let
 from ..plans.graph import CompiledGraph, FanOut, Migrations
 from ..plans.program import RUN, WAS, error, inner_columns, run
 
@@ -27,6 +28,8 @@ POSITIONS = "array<struct<path: string, step: bigint>>"
 RECORD = f"invocation_id string, root_id string, resumed_from string, correlation_id string, seq bigint, node string, schema_version string, last_saved_at timestamp, completed_positions {POSITIONS}, state string"
 #: A finished instance of a fan-out. visit: how often the row had completed the node before.
 PROGRESS = "root_id string, invocation_id string, path string, visit bigint, fan_out_index int, instance_count int, state string, result string, result_is_error boolean"
+#: Records repeat much of each other's JSON and are read once or twice.
+CODEC = "zstd"
 #: How timestamps are kept in JSON.
 STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -122,16 +125,30 @@ class CheckpointStore:
 
     def begun(self, df: DataFrame, invocation: str | None, correlation: str | None = None) -> DataFrame:
         """df with who each row is (`_run`); its numbers go on above those the table has of it."""
-        if RUN not in df.columns:
-            name = F.col(invocation).cast("string")
-            other = F.col(correlation).cast("string") if correlation is not None else name
-            df = df.withColumn(RUN, _who(name, name, F.lit(None).cast("string"), other, F.lit(0).cast("long"), F.array().cast(POSITIONS)))
+        if RUN in df.columns:  # resumed rows
+            return df
+        name = F.col(invocation).cast("string")
+        other = F.col(correlation).cast("string") if correlation is not None else name
+        df = df.withColumn(RUN, _who(name, name, F.lit(None).cast("string"), other, F.lit(0).cast("long"), F.array().cast(POSITIONS)))
+        return self.above(df, name)
+
+    def above(self, df: DataFrame, name: Column, run_id: str | None = None) -> DataFrame:
+        """df with the base of `_run` at the largest number saved of the row's invocation: name itself, or `<name>~<run_id>`.
+
+        Both are found by name, which the rows of a resumed run are dealt by already.
+        """
         saved = self._raw() if self._read("frames", RECORD) is not None or self._read("records") is not None else None
         if saved is None or self.key not in saved.columns:
             return df
-        top = saved.groupBy(F.col(self.key).cast("string").alias("_k")).agg(F.max(F.col(self.sequence).cast("long")).alias("_top"))
-        both = df.join(top, F.col(RUN)["invocation"] == F.col("_k"), "left")
-        return both.withColumn(RUN, F.col(RUN).withField("base", F.greatest(F.col(RUN)["base"], F.coalesce("_top", F.lit(0))))).drop("_k", "_top")
+        own, tail = F.col(self.key).cast("string"), f"~{run_id}"
+        of = F.struct(own.alias("name"), F.lit(False).alias("resumed"))
+        resumed = F.struct(F.substring(own, F.lit(1), F.length(own) - len(tail)).alias("name"), F.lit(True).alias("resumed"))
+        each = F.array(of) if run_id is None else F.when(own.endswith(tail), F.array(of, resumed)).otherwise(F.array(of))
+        top = saved.select(F.explode(each).alias("_e"), F.col(self.sequence).cast("long").alias("_n")).groupBy(F.col("_e")["name"].alias("_k"))
+        top = top.agg(F.max(F.when(~F.col("_e")["resumed"], F.col("_n"))).alias("_own"), F.max(F.when(F.col("_e")["resumed"], F.col("_n"))).alias("_resumed"))
+        last = F.when(F.col(RUN)["invocation"] == F.col(RUN)["root"], F.col("_own")).otherwise(F.col("_resumed"))
+        both = df.join(top, name == F.col("_k"), "left")
+        return both.withColumn(RUN, F.col(RUN).withField("base", F.greatest(F.col(RUN)["base"], F.coalesce(last, F.lit(0))))).drop("_k", "_own", "_resumed")
 
     def saver(self, graph: CompiledGraph, spark: SparkSession) -> Saver:
         return Saver(self, graph, spark)
@@ -141,8 +158,11 @@ class CheckpointStore:
         got = self._read("progress", PROGRESS)
         return self.spark.createDataFrame([], PROGRESS) if got is None else got
 
+    def has_progress(self) -> bool:
+        return self._read("progress", PROGRESS) is not None
+
     def save_progress(self, instances: DataFrame) -> None:
-        instances.write.mode("append").parquet(f"{self.path}/progress")
+        instances.write.mode("append").option("compression", CODEC).parquet(f"{self.path}/progress")
 
 
 def _who(invocation: Column, root: Column, before: Column, correlation: Column, base: Column, done: Column) -> Column:
@@ -180,52 +200,78 @@ class Saver:
         kept = [c for c in frame.columns if c != "_saved" and (c not in drop or c.endswith("_here"))]
         out = frame.select(*(F.when(F.col("_saved"), c).alias(n) for n, c in record.items()), "_saved", F.struct(*kept).alias("_frame"))
         folder = f"{self.store.path}/frames/{self.run}-{self.n:05d}"
-        out.write.parquet(folder)
+        out.write.option("compression", CODEC).parquet(folder)
         return self.spark.read.schema(out.select("_frame").schema).parquet(folder).select("_frame.*")
 
-    def progress(self, path: list[str], child: CompiledGraph, spec: FanOut):
-        """Runs a fan-out's instances in `flushes` jobs and saves each job's finished ones.
+    def progress(self, path: list[str], child: CompiledGraph, spec: FanOut) -> FanOutProgress:
+        return FanOutProgress(self.store, "/".join(path), child, spec)
 
-        Those that an earlier run of the row's root has saved at this place (path, visit and
-        index) aren't run again. A row whose number of instances isn't the saved one fails
-        with checkpoint_record_invalid. Under fail_fast only instances without error count
-        as finished.
-        """
-        where = "/".join(path)
+
+class FanOutProgress:
+    """Runs a fan-out's instances in `flushes` jobs and saves each job's finished ones.
+
+    Those that an earlier run of the row's root has saved at this place (path, visit and
+    index) aren't run again. A row whose number of instances isn't the saved one fails
+    with checkpoint_record_invalid. Under fail_fast only instances without error count
+    as finished. What is saved is brought to the rows, all instances of a row at once: before
+    the run their places, after it their results. No instance is shuffled on its way there.
+    """
+
+    def __init__(self, store: CheckpointStore, where: str, child: CompiledGraph, spec: FanOut):
+        self.store, self.where, self.child, self.spec = store, where, child, spec
+
+    def _names(self) -> tuple[Column, Column]:
+        """A row's root, and how often it had completed the node before."""
         who = F.col(RUN)
-        visit = F.size(F.filter(who["done"], lambda d: d["path"] == where)).cast("long")
-        kind = ", ".join(f"`{n}`: {f.type}" for n, f in child.schema.fields.items())
+        return who["root"], F.size(F.filter(who["done"], lambda d: d["path"] == self.where)).cast("long")
+
+    def _with_saved(self, df: DataFrame, here: Column, name: str, each: Column) -> DataFrame:
+        """df with what is saved of each row, as an array."""
+        root, visit = self._names()
+        mine = self.store.progress().where(F.col("path") == self.where).select(F.col("root_id").alias("_root"), F.col("visit").alias("_visit"), each.alias("_each"))
+        mine = mine.repartition("_root", "_visit").groupBy("_root", "_visit").agg(F.collect_list("_each").alias(name))
+        return df.join(mine, (F.when(here, root) == F.col("_root")) & (visit == F.col("_visit")), "left").drop("_root", "_visit")
+
+    def begun(self, df: DataFrame, here: Column) -> DataFrame:
+        """df with the places of its rows' finished instances."""
+        if self.store.has_progress():
+            return self._with_saved(df, here, "_done", F.col("fan_out_index"))
+        return df.withColumn("_done", F.lit(None).cast("array<int>"))
+
+    def run(self, table: DataFrame, key: str, here: Column, n: Column, results, folded) -> DataFrame:
+        """table with the instances' places and results (`_all`). results: runs the instances at given places of rows; folded: those by row."""
+        flushes, fail_fast = self.spec.flushes, self.spec.error_policy == "fail_fast"
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        todo = F.when(F.col("_done").isNull(), places).otherwise(F.array_except(places, "_done"))
+        (root, visit), lost = self._names(), 0
+        named = table.where(here).withColumns({"_name": root, "_times": visit, "_invocation": F.col(RUN)["invocation"]})
+        for k in range(flushes):
+            done = results(named, F.filter(todo, lambda p: F.pmod(p, F.lit(flushes)) == k), "_name", "_times", "_invocation")  # noqa: B023
+            failed, seen = F.col("_result")["_error"].isNotNull(), Observation()
+            rows = done.observe(seen, F.count_if(failed).alias("n")).where(~failed) if fail_fast else done
+            self.store.save_progress(rows.select(
+                F.col("_name").alias("root_id"), F.col("_invocation").alias("invocation_id"), F.lit(self.where).alias("path"), F.col("_times").alias("visit"), F.col("_pos").alias("fan_out_index"),
+                F.col("_n").alias("instance_count"), F.lit("completed").alias("state"), F.to_json("_result", STAMPS).alias("result"), failed.alias("result_is_error"),
+            ))
+            lost += seen.get["n"] if fail_fast else 0
+        kind = ", ".join(f"`{n}`: {f.type}" for n, f in self.child.schema.fields.items())
         kind = f"struct<{kind}, _error: struct<category: string, message: string, node: string, fan_out_category: string>>"
+        wrong = lambda count: error("checkpoint_record_invalid", F.concat(F.lit("saved instances "), count, F.lit(", now "), n), self.where)
+
+        def result(x: Column) -> Column:
+            value = F.from_json(x["result"], kind, STAMPS)
+            return F.struct(x["fan_out_index"].alias("_pos"), F.when(x["instance_count"] != n, value.withField("_error", wrong(x["instance_count"]))).otherwise(value).alias("_result"))
 
-        def saved(rows: DataFrame) -> DataFrame:
-            """The last saved result of each place, by name and visit."""
-            mine = self.store.progress().where(F.col("path") == where).withColumnsRenamed({"root_id": "_root", "visit": "_visit", "fan_out_index": "_at_index"})
-            return mine.groupBy("_root", "_visit", "_at_index").agg(F.max("instance_count").alias("_count"), F.max("result").alias("_json"))
-
-        def of(instances: DataFrame, key: str, results) -> DataFrame:
-            named = instances.withColumns({"_name": who["root"], "_times": visit, "_invocation": who["invocation"]})
-            same = lambda s: (F.col("_name") == s["_root"]) & (F.col("_times") == s["_visit"]) & (F.col("_pos") == s["_at_index"])
-            before = saved(named)
-            todo = named.join(before, same(before), "left_anti")
-            for k in range(spec.flushes):
-                part = todo.where(F.pmod(F.col("_pos"), F.lit(spec.flushes)) == k)
-                done = results(part, "_name", "_times", "_invocation", "_n")
-                failed = F.col("_result")["_error"].isNotNull()
-                rows = done.where(~failed) if spec.error_policy == "fail_fast" else done
-                self.store.save_progress(rows.select(
-                    F.col("_name").alias("root_id"), F.col("_invocation").alias("invocation_id"), F.lit(where).alias("path"), F.col("_times").alias("visit"), F.col("_pos").alias("fan_out_index"),
-                    F.col("_n").alias("instance_count"), F.lit("completed").alias("state"), F.to_json("_result", STAMPS).alias("result"), failed.alias("result_is_error"),
-                ))
-            # all that is finished now, and the instances that failed: those run once more, as an expression would
-            after = saved(named)
-            have = named.join(after, same(after), "left")
-            wrong = error("checkpoint_record_invalid", F.concat(F.lit("saved instances "), F.col("_count"), F.lit(", now "), F.col("_n")), where)
-            counts = have.where("_json is not null").withColumn("_result", F.from_json("_json", kind, STAMPS))
-            counts = counts.withColumn("_result", F.when(F.col("_count") != F.col("_n"), F.col("_result").withField("_error", wrong)).otherwise(F.col("_result")))
-            out = counts.select(key, "_pos", "_result")
-            return out if spec.error_policy == "collect" else out.unionByName(results(have.where("_json is null").select(*instances.columns)), allowMissingColumns=False)
-
-        return of
+        # all that is finished now; of one place that was saved twice the last
+        back = self._with_saved(table.drop("_done"), here, "_saved_all", F.struct("fan_out_index", "instance_count", "result"))
+        last = let(F.array_sort("_saved_all"), lambda s: F.filter(s, lambda x, i: (x["fan_out_index"] < n) & F.coalesce(F.get(s, i + 1)["fan_out_index"] != x["fan_out_index"], F.lit(True))))
+        back = back.withColumn("_all", F.transform(last, result)).drop("_saved_all")
+        if lost:  # and the instances that failed: those run once more, as an expression would
+            have = F.coalesce(F.transform("_all", lambda x: x["_pos"]), F.array().cast("array<int>"))
+            again = folded(results(back.where(here), F.array_except(places, have))).withColumnRenamed("_all", "_more")
+            back = back.join(again, F.col(key) == F.col("_of"), "left").drop("_of")
+            back = back.withColumn("_all", F.when(F.col("_all").isNull(), F.col("_more")).when(F.col("_more").isNull(), F.col("_all")).otherwise(F.concat("_all", "_more"))).drop("_more")
+        return back
 
 
 def resume(graph: CompiledGraph, df: DataFrame, records: DataFrame, rows: str, key: str = KEY, run_id: str | None = None, **options) -> DataFrame:
@@ -241,15 +287,19 @@ def resume(graph: CompiledGraph, df: DataFrame, records: DataFrame, rows: str, k
     inner = inner_columns(graph)
     fields = {"_at": "string", **{n: f.type for n, f in graph.schema.fields.items()}, **inner}
     kind = ", ".join(f"`{n}` {t}" for n, t in fields.items())
-    there = lambda name, instead: F.col(name) if name in records.columns else instead
-    root = F.coalesce(there("root_id", F.lit(None)), F.col(key).cast("string"))
+    # records are joined as they were saved: the JSON is smaller than what is read from it
+    needed = [c for c in dict.fromkeys(("root_id", key, "correlation_id", SEQUENCE, "completed_positions", "state")) if c in records.columns]
+    there = lambda name, instead: F.col("_r_" + name) if name in needed else instead
+    root = F.coalesce(there("root_id", F.lit(None)), F.col("_r_" + key).cast("string"))
+    run_id = run_id or uuid.uuid4().hex[:12]
     last = _who(
-        F.concat_ws("~", root, F.lit(run_id or uuid.uuid4().hex[:12])), root, F.col(key).cast("string"), F.coalesce(there("correlation_id", F.lit(None)), root),
+        F.concat_ws("~", root, F.lit(run_id)), root, F.col("_r_" + key).cast("string"), F.coalesce(there("correlation_id", F.lit(None)), root),
         there(SEQUENCE, F.lit(0)).cast("long"), F.coalesce(there("completed_positions", F.lit(None)).cast(POSITIONS), F.array().cast(POSITIONS)),
     ) if graph.checkpoints is not None else F.lit(None)
-    saved = records.select(root.alias("_key"), F.from_json("state", kind, STAMPS).alias("_saved"), last.alias("_last"))
+    raw = [F.col(c).alias("_r_" + c) for c in needed]
     name = F.col(rows).cast("string")
-    both = df.join(saved, name == saved["_key"], "left")
+    both = df.join(records.select(*raw), name == root, "left")
+    both = both.withColumns({"_saved": F.from_json("_r_state", kind, STAMPS), "_last": last}).drop(*("_r_" + c for c in needed))
     have = F.col("_saved").isNotNull()
     made = {n: F.when(have, F.col("_saved")[n]).otherwise(F.col(n)) for n in graph.schema.fields}
     made |= {WAS + c: F.col("_saved")[c] for c in inner}
@@ -257,7 +307,10 @@ def resume(graph: CompiledGraph, df: DataFrame, records: DataFrame, rows: str, k
         fresh = _who(name, name, F.lit(None).cast("string"), name, F.lit(0).cast("long"), F.array().cast(POSITIONS))
         made[RUN] = F.when(have, F.col("_last")).otherwise(fresh)
     start = F.coalesce(F.col("_start"), F.lit(graph.entry))
-    return run(graph, both.withColumns({**made, "_start": F.col("_saved")["_at"]}).drop("_key", "_saved", "_last"), start=start, **options).drop("_start")
+    ready = both.withColumns({**made, "_start": F.col("_saved")["_at"]}).drop("_saved", "_last")
+    if graph.checkpoints is not None:
+        ready = graph.checkpoints.above(ready, name, run_id)
+    return run(graph, ready, start=start, **options).drop("_start")
 
 
 def latest(saves: DataFrame, key: str = KEY, sequence: str = SEQUENCE) -> DataFrame:

@@ -409,29 +409,42 @@ def _frame_fan_out(graph, df, node: Node, state, pre, here, path: list[str], how
     """
     spec, child = node.run, node.run.graph
     key = f"_row{sum(c.startswith('_row') for c in df.columns)}"
-    scratch = Scratch(df.sparkSession, "instances")
-    table = scratch.save(df.withColumns({key: F.monotonically_increasing_id(), key + "_of": F.when(here, _asked(graph.schema, state, spec))}))
-    items, n = _items(spec, F.col(key + "_of"))
-    carried = [c for c in table.columns if c == RUN]
+    progress = how.saver.progress(path, child, spec) if how.saver is not None and spec.flushes else None
+    if progress is not None:
+        df = progress.begun(df, here)
+    asked, kept = _asked(graph.schema, state, spec), {key: F.monotonically_increasing_id()}
+    if spec.items_field is None:  # a number may be another when it is asked for again
+        kept[key + "_of"] = F.when(here, asked)
+    table = Scratch(df.sparkSession, "instances").save(df.withColumns(kept))
+    items, n = _items(spec, F.when(here, asked) if spec.items_field is not None else F.col(key + "_of"))
     given = [state[p].alias("_in_" + c) for c, p in spec.inputs.items()]
-    planned = table.where(here).select(key, *carried, n.alias("_n"), *given, F.posexplode(items).alias("_pos", "_item"))
     own = {c: F.col("_in_" + c) for c in spec.inputs}
     if spec.item_field is not None:
         own[spec.item_field] = F.col("_item")
-    instances = planned.select(key, *carried, "_n", "_pos", child_state(child, own).alias("_first"))
     fields = list(child.schema.fields)
 
-    def results(some: DataFrame, *more: str) -> DataFrame:
-        done = run(child, some.select(key, "_pos", *more, "_first.*"), max_rounds=how.max_rounds)
-        return done.select(key, "_pos", *more, F.struct(*fields, "_error").alias("_result"))
+    def results(rows: DataFrame, places: Column | None = None, *more: str) -> DataFrame:
+        """The instances of rows (those at `places` only) with their final states."""
+        if places is None:
+            planned = rows.select(key, *more, n.alias("_n"), *given, F.posexplode(items).alias("_pos", "_item"))
+        else:
+            one = F.explode(F.transform(places, lambda p: F.struct(p.alias("_pos"), F.get(items, p).alias("_item"))))
+            planned = rows.select(key, *more, n.alias("_n"), *given, one.alias("_one")).select("*", "_one.*")
+        kept = [key, "_pos", *more, *(["_n"] if more else [])]
+        done = run(child, planned.select(*kept, child_state(child, own).alias("_first")).select(*kept, "_first.*"), max_rounds=how.max_rounds)
+        return done.select(*kept, F.struct(*fields, "_error").alias("_result"))
 
-    progress = how.saver.progress(path, child, spec) if how.saver is not None and spec.flushes else None
-    done = results(instances) if progress is None else progress(instances, key, results)
-    folded = done.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_result")), lambda a, b: a["_pos"] - b["_pos"]).alias("_all"))
-    back = table.join(folded.withColumnRenamed(key, "_of"), F.col(key) == F.col("_of"), "left").drop("_of")
+    def folded(done: DataFrame) -> DataFrame:
+        return done.groupBy(F.col(key).alias("_of")).agg(F.collect_list(F.struct("_pos", "_result")).alias("_all"))
+
+    if progress is None:
+        back = table.join(folded(results(table.where(here))), F.col(key) == F.col("_of"), "left").drop("_of")
+    else:
+        back = progress.run(table, key, here, n, results, folded)
     kind = back.schema["_all"].dataType.elementType["_result"].dataType
-    every = F.coalesce(F.transform("_all", lambda x: x["_result"]), F.array().cast(ArrayType(kind)))
-    return back.withColumn(pre + "_once", F.when(here, _gathered(spec, n, every))).drop("_all", key, key + "_of")
+    every = F.transform(F.array_sort("_all", lambda a, b: a["_pos"] - b["_pos"]), lambda x: x["_result"])
+    every = F.coalesce(every, F.array().cast(ArrayType(kind)))
+    return back.withColumn(pre + "_once", F.when(here, _gathered(spec, n, every))).drop("_all", *kept)
 
 
 #: The column of a saved run: who it is, whose run it goes on with, what it has completed.

@@ -31,7 +31,7 @@ class Scratch:
         """The table, and how many of its rows met a condition while it was written."""
         self.n += 1
         path, seen = f"{self.root}/{self.n:04d}", Observation()
-        df.observe(seen, F.count_if(condition).alias("n")).write.parquet(path)
+        df.observe(seen, F.count_if(condition).alias("n")).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
     def drop(self, *names: str) -> None:

@@ -223,3 +223,36 @@ def test_each_visit_of_a_fan_out_has_its_own_progress(spark, tmp_path):
     df = schema.initial_state(spark.createDataFrame([("1", [1, 2])], "id string, items array<int>"))
     assert run(g, df, invocation="id").first()["outs"] == [121, 144]
     assert sorted((r["visit"], r["fan_out_index"]) for r in store.progress().collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_progress_meets_rows_not_instances(spark, tmp_path):
+    """What is saved is joined with rows before they are exploded, and a first run joins nothing."""
+    plans = []
+
+    class Seen(C.CheckpointStore):
+        def save_progress(self, instances):
+            plans.append(instances._jdf.queryExecution().optimizedPlan().toString())
+            super().save_progress(instances)
+
+    rows = [(str(k), list(range(k % 5))) for k in range(12)]
+    df = spark.createDataFrame(rows, "id string, items array<int>")
+    g, schema = squares(Breaking(spark, str(tmp_path)))
+    with pytest.raises(InterruptedError):
+        run(g, schema.initial_state(df), invocation="id").count()
+    before = {(r["root_id"], r["fan_out_index"]) for r in C.CheckpointStore(spark, str(tmp_path)).progress().collect()}
+    # a place that was saved twice counts once
+    C.CheckpointStore(spark, str(tmp_path)).save_progress(C.CheckpointStore(spark, str(tmp_path)).progress().where("root_id = '4'").persist())
+    g, _ = squares(Seen(spark, str(tmp_path)))
+    out = {r["id"]: r["outs"] for r in C.resume(g, schema.initial_state(df), C.CheckpointStore(spark, str(tmp_path)).heads(), "id", run_id="r").collect()}
+    assert out == {k: [x * x for x in items] for k, items in rows}
+    later = {(r["root_id"], r["fan_out_index"]) for r in C.CheckpointStore(spark, str(tmp_path)).progress().where("invocation_id like '%~r' or root_id = invocation_id").collect()}
+    assert before < later and len(plans) == 4 and not any("Join" in p for p in plans)
+    # a resumed run's numbers go on above its own earlier ones, also where a name looks like one of another's
+    names = spark.createDataFrame([("1",), ("1~r",), ("2",)], "id string")
+    top = C.CheckpointStore(spark, str(tmp_path / "top"))
+    top.save(spark.createDataFrame([("1", "1", 3), ("1~r", "1", 7), ("2", "2", 5)], "invocation_id string, root_id string, seq long"))
+    who = lambda name, root: F.struct(name.alias("invocation"), root.alias("root"), F.lit(1).cast("long").alias("base"))
+    got = {r["id"]: r["_run"]["base"] for r in top.above(names.withColumn("_run", who(F.col("id"), F.col("id"))), F.col("id"), "r").collect()}
+    assert got == {"1": 3, "1~r": 7, "2": 5}
+    got = {r["id"]: r["_run"]["base"] for r in top.above(names.withColumn("_run", who(F.concat("id", F.lit("~r")), F.col("id"))), F.col("id"), "r").collect()}
+    assert got == {"1": 7, "1~r": 1, "2": 1}
