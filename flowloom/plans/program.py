@@ -415,7 +415,7 @@ def _frame_fan_out(graph, df, node: Node, state, pre, here, path: list[str], how
     asked, kept = _asked(graph.schema, state, spec), {key: F.monotonically_increasing_id()}
     if spec.items_field is None:  # a number may be another when it is asked for again
         kept[key + "_of"] = F.when(here, asked)
-    table = Scratch(df.sparkSession, "instances").save(df.withColumns(kept))
+    table = Scratch(df.sparkSession, "instances", "zstd").save(df.withColumns(kept))
     items, n = _items(spec, F.when(here, asked) if spec.items_field is not None else F.col(key + "_of"))
     given = [state[p].alias("_in_" + c) for c, p in spec.inputs.items()]
     own = {c: F.col("_in_" + c) for c in spec.inputs}

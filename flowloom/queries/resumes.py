@@ -112,7 +112,7 @@ def fanout_progress_resumed(spark, d):
     items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("bigint").alias("q")))), lambda x: x["q"])
     g, schema = _flushing(_Breaking(spark, folder))
     # both runs take the same rows: grouped once
-    rows = schema.initial_state(Scratch(spark, "orders").save(lines.groupBy("l_orderkey").agg(items.alias("items"))))
+    rows = schema.initial_state(Scratch(spark, "orders", "zstd").save(lines.groupBy("l_orderkey").agg(items.alias("items"))))
     try:
         run(g, rows, invocation="l_orderkey").count()
     except InterruptedError:

@@ -17,11 +17,11 @@ class Scratch:
     deletes what no later step reads; what is left goes when the driver ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, codec: str = "snappy"):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        self.spark, self.root, self.n = spark, f"{(base or 'file:/tmp/checkpoints').rstrip('/')}/flowloom/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.codec, self.spark, self.root, self.n = codec, spark, f"{(base or 'file:/tmp/checkpoints').rstrip('/')}/flowloom/{name}-{uuid.uuid4().hex[:12]}", 0
         atexit.register(self._end)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ class Scratch:
         """The table, and how many of its rows met a condition while it was written."""
         self.n += 1
         path, seen = f"{self.root}/{self.n:04d}", Observation()
-        df.observe(seen, F.count_if(condition).alias("n")).write.option("compression", "zstd").parquet(path)
+        df.observe(seen, F.count_if(condition).alias("n")).write.option("compression", self.codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
     def drop(self, *names: str) -> None:
