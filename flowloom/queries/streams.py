@@ -25,6 +25,7 @@ ROWS_A_FILE = 1_000_000
 def _arriving(spark, rows, name: str, of: str, made):
     """Feeds `rows` to a stream in shuffled files, half of them before a restart, some twice; what it gives out, by batch.
 
+    Patience is longer than all of the events' time, so that none is late however they are dealt.
     A row of its own far in the future comes last, so that patience is over.
     """
     scratch = Scratch(spark, name)
@@ -33,13 +34,15 @@ def _arriving(spark, rows, name: str, of: str, made):
     saved, n = scratch.counted(rows.withColumn("part", F.pmod(F.xxhash64(of), F.lit(4))), F.lit(True))
     times = max(1, n // ROWS_A_FILE)
     every = saved.unionByName(saved.where(F.col(of) % 10 == 0))
-    last = {"user_id": F.lit(-1), "seq": F.lit(1), "ts": F.col("ts") + F.expr("interval 10 years")}
+    first, latest = saved.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    days = ((latest or 0) - (first or 0)) // 86_400_000_000 + 2
+    last = {"user_id": F.lit(-1), "seq": F.lit(1), "ts": F.col("ts") + F.expr(f"interval {days + 1} days")}
     end = saved.agg(F.max("ts").alias("ts")).select(*(last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
     for some in (*(every.where(F.col("part") % 2 == half).drop("part").repartition(3 * times, of) for half in (0, 1)), end):
         some.write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * times).parquet(f"{root}/in")
         sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
-        q = deliver(made(stream), {"table": sink}, f"{root}/checkpoint")
+        q = deliver(made(stream, f"{days} days"), {"table": sink}, f"{root}/checkpoint")
         q.awaitTermination()
         if q.sink_failures:
             raise RuntimeError(str(q.sink_failures))
@@ -51,7 +54,7 @@ def stream_ordered_delivery(spark, d):
     """Every event of a user once and in order, whatever the order of arrival; `serial`: no earlier batch than the one before it."""
     e = _events(spark, d)
     e = e.withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
-    got = _arriving(spark, e, "ordered", "event_id", lambda s: in_order(s, "user_id", "seq", "ts", "2000 days"))
+    got = _arriving(spark, e, "ordered", "event_id", lambda s, patience: in_order(s, "user_id", "seq", "ts", patience))
     before = F.lag("batch").over(Window.partitionBy("user_id").orderBy("place"))
     return got.select("event_id", "user_id", "place", (F.coalesce(before, F.col("batch")) <= F.col("batch")).alias("serial"), "late")
 
@@ -70,5 +73,5 @@ def stream_spans(spark, d):
                      .otherwise(F.array(F.struct(F.col("first").alias("ts"), F.lit("started").alias("phase"), F.lit(0).alias("rank")))))
     root = root.select("user_id", ends.alias("e")).select((-F.col("user_id") * 2 - F.col("e.rank")).cast("long").alias("event_id"), "user_id", "e.ts", F.lit("s").alias("namespace"), "e.phase", "e.rank")
     both = own.unionByName(root).withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", F.col("rank"), "event_id")).cast("long")).drop("rank")
-    got = _arriving(spark, both, "spans", "event_id", lambda s: assembled_spans(s, "user_id", "seq", "ts", patience="2000 days"))
+    got = _arriving(spark, both, "spans", "event_id", lambda s, patience: assembled_spans(s, "user_id", "seq", "ts", patience=patience))
     return got.select("user_id", "namespace", "parent", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "open")

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from flowloom.queries.streams import stream_ordered_delivery, stream_spans
 from flowloom.streaming.delivery import deliver, drain, event_stream
 from flowloom.streaming.ordered import BUCKETS, assembled_spans, in_order
 
@@ -130,3 +131,13 @@ def test_spans_of_many_runs_share_states(spark, tmp_path):
     q.awaitTermination()
     assert sorted(got, key=str) == sorted((s for r in range(1500) for s in ((r, "a", None, at(0), None, None, True), (r, "a/b/c", "a", at(1), at(2), None, False), (r, "b", None, at(3), None, None, True))), key=str)
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS
+
+
+def test_events_of_many_years_are_all_delivered(spark, tmp_path):
+    kind = "event_id long, ts timestamp, user_id long, event_type string"
+    rows = [(k, at(86_400 * 60 * k), k % 3, "view") for k in range(120)]  # 20 years
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in stream_ordered_delivery(spark, str(tmp_path)).collect())
+    assert got == [(k, k % 3, k // 3 + 1, True, False) for k in range(120)]
+    spans = [(r["user_id"], r["namespace"], r["open"]) for r in stream_spans(spark, str(tmp_path)).collect()]
+    assert sorted(spans) == sorted([(u, "s", u == 1) for u in range(3)] + [(u, "s/view", False) for u in range(3) for _ in range(20)])
